@@ -28,7 +28,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, let, save
+from .common import let, save
 
 BROADCAST_ROWS = 1_000_000  # of an id and a mask: some 16 MB
 MOST_STRINGS = 96  # of exact strings that a derivation carries along
