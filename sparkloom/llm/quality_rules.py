@@ -116,7 +116,8 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: Rules = Rules()) ->
         F.col("__share").alias("kept_share"),
         F.array_join(F.col("__passed.line"), "\n").alias("text"),
     )
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], quality.alias("quality"))
+    # Filters on what explode() makes aren't pushed below it, where they would compute all counts again.
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(quality)).alias("quality"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
