@@ -34,6 +34,7 @@ from .byte_bpe import batches
 from .common import remainder
 
 PER_LANGUAGE = 400
+OVERSAMPLE = 3
 ROUNDS = 4
 LONG = 32
 MOST = 10  # characters of a piece
@@ -198,6 +199,10 @@ def train(docs: DataFrame, pieces: list[str], per_language: int = PER_LANGUAGE)
     """Languages in order, and piece probabilities with a column each, from rows of doc_id, text and lang."""
     spark = docs.sparkSession
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h"))
+    # A first cut by hash to some OVERSAMPLE times the bound, so that what reaches a language's task doesn't grow with the input.
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, OVERSAMPLE * per_language / n)]), F.col("lang")) if sizes else F.lit(1.0)
+    known = known.filter(F.pmod("h", F.lit(1 << 40)) < share * float(1 << 40))
     ranked = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.length("text"), "text")))
     sample = ranked.filter(F.col("n") <= per_language).select("lang", "text")
     given = spark.sparkContext.broadcast(pieces)
