@@ -13,7 +13,7 @@ of documents that it is linked to.
 4. Verification. All texts of a component are compared exactly, by their whole gram sets. Only counts and merges leave a task.
    So the links that count are all pairs within a component: a pair missed by the forest is found if others connect it.
 
-Skew. A prefix or a component with more than BLOCK texts is cut into blocks by hash, and each pair of blocks is a task's group
+Skew. A prefix with more than BLOCK texts, or a component with more than VERIFY_BLOCK, is cut into blocks by hash, and each pair of blocks is a task's group
 of its own; groups are dealt by hash. Exact copies never meet: they are one text. No pair is emitted as a row.
 
 Defined results: a null or empty text has no grams; it is linked to nothing and is a class of its own. Repeated rows are
@@ -38,7 +38,8 @@ THRESHOLD = 0.8
 TREES = 32
 DEPTH = 8
 RECALL = 0.9999
-BLOCK = 2000
+BLOCK = 2000  # rows of a prefix that are compared by sketch in one task
+VERIFY_BLOCK = 250  # texts of a component that are compared exactly in one task, with as many others
 MARGIN = 6.0  # standard deviations of the sketch's estimate
 BATCH_CHARS = 6_000_000
 LOW = (1 << 63) - 1
@@ -327,7 +328,7 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
 def verify(members: DataFrame, threshold: float) -> DataFrame:
     """members: (root, text_key, copies, text) in whole components. Returns (a, b, links): for a text a, b null, the number of
     documents of other texts that it is linked to, as far as one task saw; and merges a, b with links null."""
-    dealt = blocked(members, "root", "text_key").select("part", "block", "text_key", "copies", "text")
+    dealt = blocked(members, "root", "text_key", VERIFY_BLOCK).select("part", "block", "text_key", "copies", "text")
     dealt = dealt.repartition("part").sortWithinPartitions("part", "block", "text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
