@@ -5,7 +5,8 @@ exclamation marks, does not repeat itself), navigation (no menu of separators) a
 notice). Failing lines are removed; a document is rejected when too small a share of its characters is left.
 
 Defined results: null and empty texts have no words, fail the base rules and are rejected; their cleaned text is empty.
-Blank lines neither pass nor fail and are kept. Repeated rows are judged one by one. Other columns are not looked at.
+Blank lines neither pass nor fail and are kept. Repeated rows are judged one by one. Other columns are passed
+through; `into` has to be a name that none of them has.
 All work is within a row, so there is no shuffle and no key to be skewed.
 """
 
@@ -87,8 +88,8 @@ def line_ok(line: Column, ws: Column, rules: Rules) -> Column:
     )
 
 
-def apply_rules(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """docs with one more column `quality`: the base counts, base_failed, kept, kept_share and the cleaned text.
+def apply_rules(docs: DataFrame, text: str = "text", rules: Rules = Rules(), into: str = "quality") -> DataFrame:
+    """docs with one more column, `quality` unless named otherwise: the base counts, base_failed, kept, kept_share and the cleaned text.
 
     Each step is a projection of its own, so that nothing is computed again for each column that uses it.
     """
@@ -117,7 +118,7 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: Rules = Rules()) ->
         F.array_join(F.col("__passed.line"), "\n").alias("text"),
     )
     # Filters on what explode() makes aren't pushed below it, where they would compute all counts again.
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(quality)).alias("quality"))
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(quality)).alias(into))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +131,6 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go, the others keep their passing lines (n_chars follows the text)."""
-    out = apply_rules(docs).filter("quality.kept")
-    now = {"text": F.col("quality.text"), "n_chars": F.length("quality.text").cast("long")}
+    out = apply_rules(docs, into="__quality").filter("__quality.kept")
+    now = {"text": F.col("__quality.text"), "n_chars": F.length("__quality.text").cast("long")}
     return out.select(*[(now[c] if c in now else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, byte_bpe, jaccard_join, language_id, lm_scoring, mpeg_audio, quality_rules, secret_scans, sharding, warc
+from . import best_fit_packing, byte_bpe, jaccard_join, language_id, lm_scoring, mpeg_audio, oracles, quality_rules, secret_scans, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -21,4 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.quality_rules(),
+    "op7_sharding": oracles.sharding(),
+    "op9_secret_scans": oracles.secret_scans(),
+}

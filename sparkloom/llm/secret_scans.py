@@ -112,7 +112,7 @@ def derive_item(op, arg) -> tuple[frozenset[str] | None, Query]:
     if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
         least, most, inner = arg
         strings, query = derive(inner)
-        if strings is not None and most <= 2:
+        if strings is not None and most <= 4 and len(strings) ** int(most) <= MOST_STRINGS:
             made = [frozenset(map("".join, product(strings, repeat=n))) for n in range(int(least), int(most) + 1)]
             return frozenset().union(*made), ANY
         return None, query if least else ANY
