@@ -40,6 +40,7 @@ DEPTH = 8
 RECALL = 0.9999
 BLOCK = 2000  # rows of a prefix that are compared by sketch in one task
 VERIFY_BLOCK = 250  # texts of a component that are compared exactly in one task, with as many others
+SALTS = 16  # over which the neighbours of a text are dealt
 MARGIN = 6.0  # standard deviations of the sketch's estimate
 BATCH_CHARS = 6_000_000
 LOW = (1 << 63) - 1
@@ -264,9 +265,13 @@ def components(edges: DataFrame, name: str = "component-edges") -> DataFrame:
     now = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        # A node's neighbours are dealt by a salt too; its minimum goes to the salts that it has.
+        both = both.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        parts = both.groupBy("a", "s").agg(F.min("b").alias("m"))
+        least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_set("s").alias("salts"))
+        least = least.select(F.col("a").alias("u"), F.least("a", "m").alias("m"), F.explode("salts").alias("z"))
         # Large star: neighbours above a node point to the smallest of all its neighbours and itself.
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b").distinct()
+        large = both.filter("b > a").join(least, (F.col("a") == F.col("u")) & (F.col("s") == F.col("z"))).select(F.col("m").alias("a"), "b").distinct()
         # Small star: neighbours below a node, and itself, point to the smallest.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low.withColumnRenamed("b", "u"), F.col("b") == F.col("u"))
