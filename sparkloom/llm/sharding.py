@@ -53,7 +53,8 @@ def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: in
     """rows with their slot and shard."""
     spark = rows.sparkSession
     owners = F.array(*[F.lit(x) for x in shards])
-    filled = spark.range(1).select(F.posexplode(F.lit(fill(shards, slots))).alias("__slot", "__owner"))
+    numbers = F.lit(",".join(map(str, fill(shards, slots))))  # one literal, where an array would be one for each slot
+    filled = spark.range(1).select(F.posexplode(F.split(numbers, ",").cast("array<int>")).alias("__slot", "__owner"))
     lookup = filled.select(F.col("__slot").cast("long").alias("__slot"), F.get(owners, F.col("__owner")).alias("__shard"))
     keyed = rows.withColumn("__key_slot", slot_of(F.col(f"`{key}`"), slots))
     joined = keyed.join(F.broadcast(lookup), keyed["__key_slot"] == lookup["__slot"])
