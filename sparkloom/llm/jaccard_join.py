@@ -42,7 +42,7 @@ BLOCK = 2000  # rows of a prefix that are compared by sketch in one task
 VERIFY_BLOCK = 250  # texts of a component that are compared exactly in one task, with as many others
 SALTS = 16  # over which the neighbours of a text are dealt
 MARGIN = 6.0  # standard deviations of the sketch's estimate
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 4_000_000
 LOW = (1 << 63) - 1
 
 
@@ -58,7 +58,7 @@ def gram_hashes(text: bytes, gram: int = GRAM) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_known) > 500_000:
+    if len(_known) > 250_000:
         _known.clear()
     ids = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(ids) - gram + 1)

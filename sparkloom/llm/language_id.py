@@ -40,7 +40,8 @@ LONG = 32
 MOST = 10  # characters of a piece
 FLOOR = 1e-7  # of a character outside the vocabulary
 SMOOTH = 0.05  # expected counts added to each piece
-WORDS = 150_000  # distinct words scored at once
+WORDS = 80_000  # distinct words scored at once
+BATCH_CHARS = 6_000_000
 
 
 def load_pieces(path: str) -> list[str]:
@@ -262,7 +263,7 @@ def predict(docs: DataFrame, languages: list[str], pieces: list[str], probs: np.
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
-        for keys, texts in batches(rows, 12_000_000):
+        for keys, texts in batches(rows, BATCH_CHARS):
             scorer = scorer or Scorer(*given.value)
             names, scores = scorer.predict(texts)
             yield pa.RecordBatch.from_arrays([keys, pa.array(names.tolist(), pa.string()), pa.array(scores)], ["key", "lang_pred", "score"])
