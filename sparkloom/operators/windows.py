@@ -25,3 +25,10 @@ def groups_frame(rows: DataFrame, keys: list[str], order: str, before: int, afte
 def sessions(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
     """(key, start, n) of sessions that a pause of `gap` ends; grouped by the session struct, as only that merges them."""
     return rows.groupBy(key, F.session_window(at, gap).alias("s")).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), "n")
+
+
+def sum_around(rows: DataFrame, keys: list[str], order: str, before: int, after: int, value: str, into: str) -> DataFrame:
+    """A sum over a ROWS frame without the row itself: that of the rows before plus that of the rows after; null if neither has a value."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    sides = F.sum(value).over(by.rowsBetween(-before, -1)), F.sum(value).over(by.rowsBetween(1, after))
+    return rows.withColumn(into, F.coalesce(sides[0] + sides[1], *sides))

@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import joins, windows
-from ..session import TABLES, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    """Registers a query and its oracle."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
+from ..session import table
+from . import analytics, scalars, streams, user_code  # noqa: F401  (they register their queries)
+from .registered import ORACLES, QUERIES, query, statement
 
+__all__ = ["ORACLES", "QUERIES"]
 
 @query(
     "revenue_by_nation",
@@ -40,17 +26,6 @@ def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("n_name").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.count("*").alias("n_lines"))
 
 
-def statement(name: str, sql: str, oracle: str | None = None) -> None:
-    """A query that is one SQL statement; tables stand in braces. The oracle is the same statement unless given."""
-    used = [t for t in TABLES if "{" + t + "}" in sql]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
-
-    QUERIES[name] = run
-    ORACLES[name] = (oracle or sql).replace("{", "").replace("}", "")
-
-
 # Filters, projections, subqueries.
 statement("filter_project", "SELECT l_orderkey, l_quantity * 2 AS twice FROM {lineitem} WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A', 'R')")
 statement("like_filter", "SELECT p_partkey, upper(p_name) AS name FROM {part} WHERE p_name LIKE '%e%'")

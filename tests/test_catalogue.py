@@ -30,6 +30,9 @@ def plain(value):
 def test_query(spark, oracle, name):
     out = QUERIES[name](spark, DATA)
     order = sorted(out.columns)
+    if name not in ORACLES:  # sampling, windows that are still open
+        assert out.count() > 0
+        return
     got = Counter(tuple(plain(r[c]) for c in order) for r in out.collect())
     found = oracle.execute(ORACLES[name])
     names = [d[0] for d in found.description]
