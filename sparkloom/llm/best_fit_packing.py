@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
+from .common import words
 
 CAPACITY = 2048
 GROUP = 4000
@@ -90,7 +90,7 @@ def pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def cluster_of(text: Column) -> Column:
     """The duplicate cluster of a text: a hash of its words in lower case."""
-    return F.xxhash64(F.lower(F.regexp_replace(F.trim(text), SPACE, " ")))
+    return F.xxhash64(F.lower(F.array_join(words(text), " ")))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster: str | None = None) -> DataFrame:
