@@ -10,6 +10,8 @@ import pytest
 
 from sparkloom.llm import best_fit_packing, jaccard_join, language_id, lm_scoring
 
+from brute import brute_classes
+
 F = lm_scoring.F
 
 
@@ -118,30 +120,6 @@ def test_segmentations():
     assert np.allclose([language_id.score_long(trie, w, probs) for w in some], [brute(w) for w in some])
 
 
-def brute_classes(texts):
-    sets = {}
-    for i, t in texts.items():
-        ws = (t or "").encode().lower().split()
-        sets[i] = frozenset(tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))) if ws else frozenset()
-    up, links = {i: i for i in texts}, Counter()
-
-    def find(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    ids = sorted(texts)
-    for n, i in enumerate(ids):
-        for j in ids[n + 1 :]:
-            both = len(sets[i] & sets[j])
-            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
-                links[i] += 1
-                links[j] += 1
-                a, b = sorted((find(i), find(j)))
-                up[b] = a
-    return {i: (find(i), links[i]) for i in ids}
-
-
 def near_copies(texts):
     """The corpus, and a chain of texts that each differ a little, more than a block of them."""
     words = " ".join(texts.values()).split()[:400]
@@ -188,12 +166,3 @@ def test_components(spark):
         up[b] = a
     got = {r["node"]: r["root"] for r in jaccard_join.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: find(x) for x in up}
-
-
-def test_pipeline(spark, corpus, texts):
-    import corpus_pipeline
-
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "n-gram Jaccard join", "secret scans", "best-fit packing"]
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    kept = {r["doc_id"] for r in out}
-    assert len(kept) > 0.6 * len(texts) and kept < set(texts)

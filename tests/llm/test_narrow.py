@@ -15,20 +15,7 @@ import tiktoken
 
 from sparkloom.llm import byte_bpe, mpeg_audio, quality_rules, secret_scans, sharding, warc
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def base_counts(text):
-    text = text or ""
-    ws = WORD.findall(text)
-    windows = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
-    seen, covered = Counter(windows), set()
-    for i, w in enumerate(windows):
-        if seen[w] > 1:
-            covered.update(range(i, i + 5))
-    lines = [x for x in text.split("\n") if WORD.search(x)]
-    failed = len(ws) < 10 or 100 * len(covered) > 20 * len(ws)
-    return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
+from brute import base_counts
 
 
 def test_quality_counts(spark, docs, corpus):
