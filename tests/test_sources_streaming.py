@@ -2,8 +2,8 @@
 
 import pytest
 
-from sparkloom.sources import files
-from sparkloom.streaming import windows
+from sparkloom.sources import files, generated, jdbc
+from sparkloom.streaming import sinks, windows
 
 
 @pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
@@ -24,3 +24,39 @@ def test_tumbling_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
     windows.run_to_end(windows.tumbling(stream, "ts", "1 hour", ["event_type"]), "counted", "complete", f"{tmp_path}/cp")
     assert sorted(spark.table("counted").collect()) == sorted(windows.tumbling(events, "ts", "1 hour", ["event_type"]).collect())
+
+
+def test_jdbc(spark):
+    """The embedded database that comes with Spark; only in local runs."""
+    url, driver = "jdbc:derby:memory:loom;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(100).selectExpr("id AS k", "id * 2 AS v")
+    jdbc.write(rows, url, "pairs", **driver)
+    back = jdbc.read(spark, url, "pairs", "k", (0, 50), 4, **driver)
+    assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect())) == [(i, 2 * i) for i in range(100)]
+    assert back.filter("k < 10").count() == 10
+
+
+def test_python_source(spark):
+    spark.dataSource.register(generated.Numbers)
+    rows = spark.read.format("numbers").option("rows", 70_001).option("parts", 3).load()
+    assert rows.count() == 70_001 and rows.agg({"n": "sum"}).first()[0] == 70_000 * 70_001 // 2
+
+
+def test_text_and_binary(spark, tmp_path):
+    files.write(spark.createDataFrame([("a",), ("é",)], "value string").coalesce(1), "text", f"{tmp_path}/t")
+    assert [r[0] for r in files.read(spark, "text", f"{tmp_path}/t").collect()] == ["a", "é"]
+    assert files.read(spark, "binaryFile", f"{tmp_path}/t/*.txt").first()["content"] == "a\né\n".encode()
+    with pytest.raises(ValueError):
+        files.write(spark.range(1), "binaryFile", f"{tmp_path}/b")
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """Rows behind the watermark don't count; windows that it has not passed stay open in append mode."""
+    for k, hours in enumerate([[0, 1], [30], [0, 31], [60]]):
+        rows = spark.createDataFrame([(h,) for h in hours], "h int").selectExpr("TIMESTAMP_NTZ'2024-01-01 00:30:00' + make_dt_interval(0, h) AS ts", "1 AS k")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/late.parquet")
+        stream = sinks.file_stream(spark, f"{tmp_path}", "late")
+        counted = windows.tumbling(stream, "ts", "1 hour", ["k"])
+        counted.writeStream.foreachBatch(lambda rows, n: rows.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["start"].day, r["start"].hour, r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 6, 1), (2, 7, 1)]
