@@ -5,10 +5,13 @@ least the threshold. The result has a row per document: its class (the smallest
 of documents that it is linked to.
 
 1. Texts. Documents with the same grams in the same order (words compared in lower case) are one text; copies are counted.
-2. Forest. Each text has TREES * DEPTH MinHashes; a tree's trie is keyed by DEPTH of them in order. Prefixes start at full
-   depth and are shortened until a pair at the threshold shares one, in some tree, with the target recall (`prefix_depth`).
-   Rows (prefix, text, sketch) are sorted by prefix; those that share one are compared by their sketch, a bit of each MinHash,
-   with a margin of some standard deviations, and one edge per merge (not per pair) is emitted.
+2. Forest. Each text has TREES * DEPTH MinHashes; a tree's trie is keyed by DEPTH of them in order, its labels. The shortest
+   prefix is the longest one that a pair at the threshold shares, in some tree, with the target recall (`prefix_depth`).
+   Rows (prefix, tail of further labels, text, sketch) are dealt by that prefix and sorted by prefix and tail, so that each
+   task has whole subtries as sorted runs. Within one, matching begins at full depth and prefixes are shortened label by label,
+   until all texts below are joined or the target recall is reached (`climb`). Texts that a shorter prefix brings together and
+   that are not joined yet are compared by their sketch, a bit of each MinHash, with a margin of some standard deviations;
+   one edge per merge (not per pair) is emitted.
 3. Components of these edges by alternating large and small stars, in the shared folder.
 4. Verification. All texts of a component are compared exactly, by their whole gram sets. Only counts and merges leave a task.
    So the links that count are all pairs within a component: a pair missed by the forest is found if others connect it.
@@ -116,8 +119,23 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == np.uint64 else x
 
 
+def tail_bits(depth: int) -> int:
+    """How many bits of each label below a prefix of this depth a 64-bit tail has room for."""
+    return min(32, 64 // max(1, DEPTH - depth))
+
+
+def tails(labels: np.ndarray) -> np.ndarray:
+    """The labels (last axis) below the shortest prefix in one number, so that its order is the trie's."""
+    n = labels.shape[-1]
+    bits = tail_bits(DEPTH - n)
+    out = np.zeros(labels.shape[:-1], np.uint64)
+    for k in range(n):
+        out |= (labels[..., k] >> np.uint64(32 - bits)) << np.uint64(64 - bits * (k + 1))
+    return out
+
+
 def signatures(docs: DataFrame, key: str, gram: int = GRAM, depth: int | None = None) -> DataFrame:
-    """(key, text_key, prefixes, sketch) of each row: text_key identifies its sequence of grams (null: none)."""
+    """(key, text_key, prefixes, tails, sketch) of each row: text_key identifies its sequence of grams (null: none)."""
     used = depth or prefix_depth()
     kind = docs.schema[key].dataType.simpleString()
 
@@ -127,22 +145,25 @@ def signatures(docs: DataFrame, key: str, gram: int = GRAM, depth: int | None =
             names = [int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little") & LOW if len(h) else None for h in hashes]
             sets = {n: np.unique(h) for n, h in zip(names, hashes) if n is not None}
             place = {n: i for i, n in enumerate(sets)}
-            prefixes, sketches = np.empty((0, TREES), np.int64), np.empty((0, 0), np.uint8)
+            prefixes, below, sketches = np.empty((0, TREES), np.int64), np.empty((0, TREES), np.int64), np.empty((0, 0), np.uint8)
             if sets:
                 mins = min_hashes(np.concatenate(list(sets.values())), np.fromiter(map(len, sets.values()), np.int64, len(sets)))
-                trees = mins.reshape(len(sets), TREES, DEPTH)[:, :, :used].astype(np.uint64)
+                trees = mins.reshape(len(sets), TREES, DEPTH).astype(np.uint64)
+                below = signed(tails(trees[:, :, used:]))
                 code = np.broadcast_to(mix(np.arange(1, TREES + 1, dtype=np.uint64)), trees.shape[:2])
                 for k in range(used):
                     code = mix(code * np.uint64(0x9E3779B97F4A7C15) + trees[:, :, k])
                 prefixes = signed(np.ascontiguousarray(code))
                 sketches = np.packbits((mins & 1).astype(np.uint8), axis=1)
             rows_p = [prefixes[place[n]] if n is not None else None for n in names]
+            rows_t = [below[place[n]] if n is not None else None for n in names]
             rows_s = [sketches[place[n]].tobytes() if n is not None else None for n in names]
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(names, pa.int64()), pa.array(rows_p, pa.list_(pa.int64())), pa.array(rows_s, pa.binary())], ["key", "text_key", "prefixes", "sketch"]
+                [keys, pa.array(names, pa.int64()), pa.array(rows_p, pa.list_(pa.int64())), pa.array(rows_t, pa.list_(pa.int64())), pa.array(rows_s, pa.binary())],
+                ["key", "text_key", "prefixes", "tails", "sketch"],
             )
 
-    return docs.select(key, "text").mapInArrow(run, f"key {kind}, text_key long, prefixes array<long>, sketch binary")
+    return docs.select(key, "text").mapInArrow(run, f"key {kind}, text_key long, prefixes array<long>, tails array<long>, sketch binary")
 
 
 def byte_batches(rows: Iterator[pa.RecordBatch], most: int = BATCH_CHARS) -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -223,37 +244,57 @@ def blocked(rows: DataFrame, group: str, member: str, block: int = BLOCK) -> Dat
     return dealt.withColumn("part", part).drop("__g", "__n", "__k")
 
 
+def climb(bits: np.ndarray, tail: np.ndarray, most: int, depth: int) -> Iterator[tuple[int, int]]:
+    """Merges (i, j) of the texts below one shortest prefix, of that depth, sorted by tail: their sketches are close.
+
+    From full depth upwards each prefix is a run of equal leading labels. The runs one label deeper are done by then, so a text
+    is compared with those of later such runs only, less those that are joined to it already.
+    """
+    n, labels = len(bits), DEPTH - depth
+    sets, step = Sets(n), tail_bits(depth)
+    inner = np.arange(1, n + 1)  # the end of each text's run one label deeper
+    for left in range(labels, -1, -1):
+        key = tail.view(np.uint64) >> np.uint64(64 - step * left) if left else np.zeros(n, np.uint64)
+        outer = np.searchsorted(key, key, side="right")
+        for i in np.nonzero(outer > inner)[0].tolist():
+            later = np.arange(inner[i], outer[i])
+            later = later[sets.name[later] != sets.name[i]]
+            if len(later):
+                near = later[np.bitwise_count(bits[later] ^ bits[i]).sum(axis=1, dtype=np.int32) <= most]
+                for j in sets.join(i, near) if len(near) else ():
+                    yield i, j
+        if not sets.name.any():  # all are one: no shorter prefix is needed
+            return
+        inner = outer
+
+
 def forest_edges(texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: merges of texts (text_key, prefixes, sketch) that share a prefix and have close sketches."""
-    most = close(TREES * DEPTH, threshold)
-    rows = texts.select(F.explode("prefixes").alias("prefix"), "text_key", "sketch")
-    dealt = blocked(rows, "prefix", "text_key").select("part", "text_key", "sketch")
-    dealt = dealt.repartition("part").sortWithinPartitions("part", "text_key")
+    """(a, b), a < b: merges of texts (text_key, prefixes, tails, sketch) that share a prefix and have close sketches."""
+    most, depth = close(TREES * DEPTH, threshold), prefix_depth(threshold)
+    # A signed number sorts like its bits do once the top one is turned.
+    zipped = F.explode(F.arrays_zip("prefixes", F.transform("tails", lambda t: t.bitwiseXOR(F.lit(-LOW - 1))).alias("tails")))
+    rows = texts.select(zipped.alias("at"), "text_key", "sketch").select(F.col("at.prefixes").alias("prefix"), F.col("at.tails").alias("tail"), "text_key", "sketch")
+    dealt = blocked(rows, "prefix", "text_key").select("part", "tail", "text_key", "sketch")
+    dealt = dealt.repartition("part").sortWithinPartitions("part", "tail", "text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches):
             bounds = grouped(table.column(0).to_numpy())
             if not bounds:
                 continue
-            keys = table.column(1).to_numpy()
-            bits = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint64).reshape(len(keys), -1)
+            tail, keys = table.column(1).to_numpy() ^ (-LOW - 1), table.column(2).to_numpy()
+            bits = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(len(keys), -1)
             out_a, out_b = [], []
             for a, b in bounds:
                 if b - a == 2:
-                    if int(np.bitwise_count(bits[a] ^ bits[a + 1]).sum()) <= most and keys[a] != keys[a + 1]:
-                        out_a.append(keys[a])
-                        out_b.append(keys[a + 1])
-                    continue
-                own, sets = bits[a:b], Sets(b - a)
-                for i in range(b - a - 1):
-                    near = np.nonzero(np.bitwise_count(own[i + 1 :] ^ own[i]).sum(axis=1, dtype=np.int32) <= most)[0] + i + 1
-                    for j in sets.join(i, near) if len(near) else ():
-                        x, y = sorted((keys[a + i], keys[a + j]))
-                        if x != y:
-                            out_a.append(x)
-                            out_b.append(y)
-                    if not sets.name.any():  # all are one
-                        break
+                    merges = [(0, 1)] if int(np.bitwise_count(bits[a] ^ bits[a + 1]).sum()) <= most else []
+                else:
+                    merges = climb(bits[a:b], tail[a:b], most, depth)
+                for i, j in merges:
+                    x, y = sorted((keys[a + i], keys[a + j]))
+                    if x != y:
+                        out_a.append(x)
+                        out_b.append(y)
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
@@ -365,7 +406,7 @@ def join_texts(docs: DataFrame, key: str, threshold: float = THRESHOLD, gram: in
     """(key, text_key, root, links) of each row; root: of the text's class, links: to documents of other texts and to copies."""
     signed_rows = save(signatures(docs, key, gram, prefix_depth(threshold)), "join-signatures")
     texts = signed_rows.filter("text_key IS NOT NULL").groupBy("text_key").agg(
-        F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"), F.min("key").alias("least")
+        F.first("prefixes").alias("prefixes"), F.first("tails").alias("tails"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"), F.min("key").alias("least")
     )
     texts = save(texts, "join-texts")
     found = components(forest_edges(texts, threshold))

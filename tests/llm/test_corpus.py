@@ -142,6 +142,35 @@ def test_jaccard(spark, texts, monkeypatch, block):
     assert got == brute_classes(given)
 
 
+@pytest.mark.parametrize("depth", [1, 5, 6, 8])
+def test_climb(depth):
+    """The merges join what all pairs below the prefix would, with fewer comparisons, and equal labels are runs."""
+    rng = np.random.default_rng(depth)
+    labels = rng.integers(0, 3, (90, jaccard_join.DEPTH - depth)).astype(np.uint64) << np.uint64(30)
+    tail = jaccard_join.tails(labels)
+    order = np.argsort(tail, kind="stable")
+    labels, tail = labels[order], tail[order]
+    assert [tuple(x) for x in labels] == sorted(tuple(x) for x in labels)
+    seeds = rng.integers(0, 1 << 63, (12, 4)).astype(np.uint64)
+    bits = seeds[rng.integers(0, 12, 90)] ^ (np.uint64(1) << rng.integers(0, 64, (90, 4)).astype(np.uint64))
+    got, want = jaccard_join.Sets(90), jaccard_join.Sets(90)
+    merges = list(jaccard_join.climb(bits, tail.view(np.int64), 30, depth))
+    for i, j in merges:
+        assert np.bitwise_count(bits[i] ^ bits[j]).sum() <= 30 and got.name[i] != got.name[j]
+        got.join(i, np.array([j]))
+    for i in range(90):
+        near = np.nonzero(np.bitwise_count(bits ^ bits[i]).sum(axis=1) <= 30)[0]
+        want.join(i, near)
+    assert (got.name == want.name).all() and len(set(want.name.tolist())) > 1
+
+
+def test_prefix_depth():
+    depth = jaccard_join.prefix_depth()
+    reach = lambda d: 1 - (1 - jaccard_join.THRESHOLD**d) ** jaccard_join.TREES
+    assert reach(depth) >= jaccard_join.RECALL > reach(depth + 1)
+    assert jaccard_join.prefix_depth(0.99) == jaccard_join.DEPTH
+
+
 def test_jaccard_edge_cases(spark, docs, empty):
     rows = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.classify(docs.select("doc_id", "text")).collect()), key=str)
     assert (1, 1, 2) in rows and (2, 1, 2) in rows and (3, 3, 0) in rows and (None, None, 0) in rows and len(rows) == docs.count()
