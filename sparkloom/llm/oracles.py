@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import BOILERPLATE, MARKS, SENTENCE_END, SEPARATORS, SYMBOLS, Rules
+from .quality_rules import BOILERPLATE, MARKS, SENTENCE_END, SENTENCE_INSIDE, SEPARATORS, SYMBOLS, Rules
 from .secret_scans import RULES
 from .sharding import SHARDS, SLOTS
 
@@ -22,7 +22,7 @@ repeats AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM repeats, range({r.window}) AS x(k) GROUP BY doc_id),
 lines AS (SELECT doc_id, l, list_filter(regexp_split_to_array(l, {space}), lambda x: x <> '') AS ws FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
 judged AS (SELECT doc_id, l, len(array_to_string(ws, '')) AS chars, len(ws) AS n,
-    (len(ws) <= {r.unpunctuated_words} OR regexp_matches(l, {quoted(SENTENCE_END)}))
+    (len(ws) <= {r.unpunctuated_words} OR regexp_matches(l, {quoted(SENTENCE_END)}) OR (len(ws) >= {r.prose_words} AND regexp_matches(l, {quoted(SENTENCE_INSIDE)})))
     AND NOT (regexp_matches(l, {quoted(MARKS)}) AND ({count(SYMBOLS)} > len(ws) * {r.symbol_share}::DOUBLE OR {count("!")} > len(ws) * {r.exclamation_share}::DOUBLE
         OR ({count(SEPARATORS)} >= {r.least_separators} AND {count(SEPARATORS)} > len(ws) * {r.separator_share}::DOUBLE)))
     AND NOT (len(ws) <= {r.boilerplate_words} AND regexp_matches(l, {quoted(BOILERPLATE)}))

@@ -1,7 +1,7 @@
 """Quality rules: line-first cleaning, then rejection of documents that lost too much text. DataFrame functions only.
 
-Every line of a text is held against three kinds of rule: punctuation (it ends like a sentence, is not made of symbols or
-exclamation marks, does not repeat itself), navigation (no menu of separators) and boilerplate (no short licence or site
+Every line of a text is held against three kinds of rule: punctuation (it ends like a sentence or, if long, has the end of one
+inside, as cut-off prose does; it is not made of symbols or exclamation marks and does not repeat itself), navigation (no menu of separators) and boilerplate (no short licence or site
 notice). Failing lines are removed; a document is rejected when too small a share of its characters is left.
 
 Defined results: null and empty texts have no words, fail the base rules and are rejected; their cleaned text is empty.
@@ -22,6 +22,7 @@ from .common import let, words
 # Fixed values.
 SYMBOLS = "[#*$%&|<>]"
 SENTENCE_END = r"""[.!?:;…。！？؟।"'”’»)\]]\s*$"""
+SENTENCE_INSIDE = r"[.!?…] |[。！？]"
 SEPARATORS = r"[|»›•·¦→]|\s>\s"
 MARKS = "[!#*$%&|<>»›•·¦→]"  # a line without these needs no count of them
 BOILERPLATE = (
@@ -44,6 +45,7 @@ class Rules:
     least_separators: int = 3
     boilerplate_words: int = 25  # longer lines are prose that mentions such a phrase
     unpunctuated_words: int = 3  # a line of more words has to end like a sentence
+    prose_words: int = 20  # or, if it has so many, to hold a sentence's end
     least_distinct_share: float = 0.3
     distinct_from: int = 10  # lines of fewer words may repeat theirs
     kept_share: float = 0.5  # of the document's characters
@@ -81,7 +83,7 @@ def line_ok(line: Column, ws: Column, rules: Rules) -> Column:
     navigation = let(count(SEPARATORS), lambda k: (k >= rules.least_separators) & (k > n * rules.separator_share))
     marked = (count(SYMBOLS) > n * rules.symbol_share) | (count("!") > n * rules.exclamation_share) | navigation
     return F.when(n == 0, F.lit(True)).otherwise(
-        ((n <= rules.unpunctuated_words) | line.rlike(SENTENCE_END))
+        ((n <= rules.unpunctuated_words) | line.rlike(SENTENCE_END) | ((n >= rules.prose_words) & line.rlike(SENTENCE_INSIDE)))
         & ~(line.rlike(MARKS) & marked)
         & ~((n <= rules.boilerplate_words) & line.rlike(BOILERPLATE))
         & ((n < rules.distinct_from) | (F.size(F.array_distinct(ws)) >= n * rules.least_distinct_share))

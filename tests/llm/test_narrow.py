@@ -35,6 +35,14 @@ def test_quality_lines(spark):
     assert q["text"].split("\n") == [clean, "", clean.replace("plain", "second")]
 
 
+def test_quality_cut_off(spark):
+    """A long line that holds a sentence's end is prose that was cut off; a short one, or one without such an end, is not."""
+    words = " ".join(f"word{i}" for i in range(18))
+    texts = [f"{words}. And more", f"{words} and more", "Only six words. And then none"]
+    rows = quality_rules.apply_rules(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [r["quality"]["text"] for r in rows] == [texts[0], "", ""]
+
+
 def test_quality_stage(spark, docs, empty):
     out = quality_rules.filter_stage(spark, docs, "")
     assert out.columns == docs.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "1", "2", "7", "None"]

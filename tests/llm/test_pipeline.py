@@ -24,7 +24,7 @@ def line_ok(line):
         return True
     separators = count(quality_rules.SEPARATORS)
     return (
-        (n <= 3 or bool(re.search(quality_rules.SENTENCE_END, line, re.A)))
+        (n <= 3 or bool(re.search(quality_rules.SENTENCE_END, line, re.A)) or (n >= 20 and bool(re.search(quality_rules.SENTENCE_INSIDE, line))))
         and count(quality_rules.SYMBOLS) <= n * 0.3
         and count("!") <= n * 0.3
         and not (separators >= 3 and separators > n * 0.15)
