@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +16,13 @@ TABLES = (
 
 
 def session(app: str = "sparkloom", cpus: int | str = 8, **conf: str) -> SparkSession:
-    """A local session with the settings the plans are written for: UTC, ANSI SQL, adaptive execution."""
+    """A local session with the settings the plans are written for: UTC, ANSI SQL, adaptive execution.
+
+    Python workers find this package by PYTHONPATH, wherever the driver was started.
+    """
+    root, known = str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
