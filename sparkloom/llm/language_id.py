@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .byte_bpe import batches
 from .common import remainder
@@ -40,8 +41,8 @@ LONG = 32
 MOST = 10  # characters of a piece
 FLOOR = 1e-7  # of a character outside the vocabulary
 SMOOTH = 0.05  # expected counts added to each piece
-WORDS = 80_000  # distinct words scored at once
-BATCH_CHARS = 6_000_000
+WORDS = 12_000  # distinct words in a lattice
+BATCH_CHARS = 4_000_000
 
 
 def load_pieces(path: str) -> list[str]:
@@ -188,8 +189,8 @@ def train_language(pieces: Pieces, texts: list[str], rounds: int = ROUNDS) -> np
     every = list(counts)
     for _ in range(rounds):
         total = np.zeros(n + 1)
-        for i in range(0, len(every), WORDS // 3):
-            part = every[i : i + WORDS // 3]
+        for i in range(0, len(every), WORDS):
+            part = every[i : i + WORDS]
             total += Lattice(pieces, part).expected(probs, np.array([counts[w] for w in part], dtype=float))
         known = total[:n] + SMOOTH
         probs[:n, 0] = known / known.sum()
@@ -258,18 +259,21 @@ class Scorer:
 
 
 def predict(docs: DataFrame, languages: list[str], pieces: list[str], probs: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) of each row."""
+    """(key, lang_pred, score) of each row; a key that is a struct holds the text, which then isn't sent to Python twice."""
+    inside = isinstance(docs.schema[key].dataType, StructType)
     given = docs.sparkSession.sparkContext.broadcast((languages, pieces, probs))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
+        if inside:
+            rows = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(text)], ["key", "text"]) for b in rows)
         for keys, texts in batches(rows, BATCH_CHARS):
             scorer = scorer or Scorer(*given.value)
             names, scores = scorer.predict(texts)
             yield pa.RecordBatch.from_arrays([keys, pa.array(names.tolist(), pa.string()), pa.array(scores)], ["key", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return docs.select(*([key] if inside else [key, text])).mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def identify(docs: DataFrame, training: DataFrame, vocabulary: str | None = None, key: str = "doc_id") -> DataFrame:
@@ -296,7 +300,7 @@ LEAST_SCORE = 0.5
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a recognisable language (`und`, or a score under LEAST_SCORE) go."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     out = identify(own, docs.select("doc_id", "text", "lang"), key="row")
     kept = out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
