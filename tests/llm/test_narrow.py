@@ -183,3 +183,116 @@ def test_warc(spark):
     assert Counter(tuple(r) for r in out) == Counter(want)
     none = spark.createDataFrame([], pages.schema)
     assert warc.read_archives(spark, warc.write_archives(warc.originals(none))).count() == 0
+
+
+@pytest.mark.parametrize("mark", [b"TAG", b"ID3\3\0\0\0\0\0\x10", b"\xff\xfa\xe8\x00", b"\xff" * 9])
+def test_audio_marks_in_payload(mark):
+    """What looks like a tag or a header inside a payload, at every place from its end, is payload."""
+    for size in (100, 500, 1500, 3000):
+        for back in range(len(mark), min(size, 400)):
+            text = bytearray(b"x" * size)
+            text[size - back : size - back + len(mark)] = mark
+            payload = mpeg_audio.padded(bytes(text))
+            data = mpeg_audio.store(payload)
+            s = mpeg_audio.parse(data)
+            assert mpeg_audio.load(data, s) == payload and s.skipped == 0 and len(s.tags) == 1
+
+
+def test_audio_random_payloads():
+    random.seed(12)
+    for _ in range(300):
+        bits = random.choices([b"TAG", b"ID3", b"\xff", b"\xff\xfb\x90\x00", b"Xing", b"x" * 30, b"\0"], k=random.randint(0, 80))
+        payload = mpeg_audio.padded(b"".join(bits))
+        data = mpeg_audio.store(payload)
+        assert mpeg_audio.load(data, mpeg_audio.parse(data)) == payload
+
+
+def bit_crc(bits):
+    value = 0xFFFF
+    for b in bits:
+        top = value >> 15 ^ b
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return value
+
+
+def bits_of(raw):
+    return [byte >> 7 - k & 1 for byte in raw for k in range(8)]
+
+
+#: Header bytes of frames with checksums, and the bits after it that are covered when every allocation is `one`.
+FRAMES = [
+    (b"\xff\xfe\x54\x00", 256),  # MPEG-1 Layer I, 48 kHz, stereo
+    (b"\xff\xfe\x54\x40", 4 * (2 * 4 + 28)),  # joint from subband 4
+    (b"\xff\xfe\x54\xc0", 128),  # mono
+    (b"\xff\xfc\xa4\x00", 2 * (11 * 4 + 12 * 3 + 4 * 2) + 2 * 2 * 27),  # Layer II, 192 kbit/s at 48 kHz: table a
+    (b"\xff\xfc\xa0\x00", 2 * (11 * 4 + 12 * 3 + 7 * 2) + 2 * 2 * 30),  # at 44.1 kHz: table b
+    (b"\xff\xfc\x24\xc0", 2 * 4 + 6 * 3 + 2 * 8),  # 48 kbit/s, mono: table c
+    (b"\xff\xfc\x28\xc0", 2 * 4 + 10 * 3 + 2 * 12),  # at 32 kHz: table d
+    (b"\xff\xf4\x80\x40", (4 * 2 * 4) + (7 * 3) + (19 * 2) + 2 * 2 * 30),  # MPEG-2 Layer II, joint from subband 4
+    (b"\xff\xf2\x80\x00", 17 * 8),  # MPEG-2 Layer III, stereo
+    (b"\xff\xe2\x80\xc0", 9 * 8),  # MPEG-2.5, mono
+]
+
+
+@pytest.mark.parametrize("raw, guarded", FRAMES)
+def test_audio_layers(raw, guarded):
+    """Frames of every version and layer, padded ones among them, with checksums made bit by bit."""
+    padded = bytes([raw[0], raw[1], raw[2] | 2, raw[3]])
+    made = []
+    for k, head in enumerate((raw, padded, raw, padded, raw)):
+        h = mpeg_audio.read_header(head)
+        body = b"\xff" * 60 if k != 3 else b"\xff" * 20 + b"\x7f" * 40
+        body = body.replace(b"\xff\xff", b"\xff\xdf") if h.layer == 3 else body
+        body = b"\xff" * 0 + body
+        covered = mpeg_audio.guarded_bits(body, h)
+        if k != 3 and h.layer != 3:
+            assert covered == guarded
+        crc = bit_crc(bits_of(head[2:4]) + bits_of(body)[:covered]).to_bytes(2, "big")
+        made.append((head + crc + body).ljust(h.length, b"\0")[: h.length])
+    data = b"".join(made)
+    s = mpeg_audio.parse(data)
+    h = mpeg_audio.read_header(raw)
+    assert s.lengths == [len(m) for m in made] and s.crc_ok == 5 and s.crc_bad == 0 and s.skipped == 0
+    assert s.duration == Fraction(5 * h.samples, h.rate) and s.lengths[1] - s.lengths[0] == (4 if h.layer == 3 else 1)
+    broken = bytearray(data)
+    broken[len(made[0]) + 6] ^= 0x40
+    assert mpeg_audio.parse(bytes(broken)).crc_bad == 1
+
+
+def test_audio_free_format():
+    frames = [b"\xff\xfb" + bytes([0x02 if k % 2 else 0x00, 0]) + b"\x11" * (500 + k % 2 - 4) for k in range(5)]
+    s = mpeg_audio.parse(b"".join(frames) + b"TAG" + b"song".ljust(125, b"\0"))
+    assert s.lengths == [500, 501, 500, 501, 500] and s.duration == Fraction(5 * 1152, 44100) and s.tags == {"v1:TITLE": "song"}
+
+
+def test_audio_tables():
+    """VBRI, and a Xing table with an encoder's delay and padding."""
+    sound = [b"\xff\xfb\x90\x00".ljust(417, b"\0")] * 10
+    vbri = b"VBRI" + bytes([0, 1, 0, 0, 0, 75]) + (4170).to_bytes(4, "big") + (10).to_bytes(4, "big") + bytes([0, 2, 0, 1, 0, 2, 0, 5, 8, 37, 8, 37])
+    first = (b"\xff\xfb\x90\x00" + bytes(32) + vbri).ljust(417, b"\0")
+    s = mpeg_audio.parse(first + b"".join(sound))
+    assert s.table == {"kind": "VBRI", "bytes": 4170, "frames": 10, "toc": [2085, 2085]} and s.offsets[0] == 417 and len(s.offsets) == 10
+    xing = b"Info" + (3).to_bytes(4, "big") + (10).to_bytes(4, "big") + (4170).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    s = mpeg_audio.parse((b"\xff\xfb\x90\x00" + bytes(32) + xing).ljust(417, b"\0") + b"".join(sound))
+    assert (s.table["delay"], s.table["padding"]) == (576, 1000) and s.duration == Fraction(11520 - 1576, 44100)
+    assert s.seek(Fraction(0)) == s.offsets[0] and s.seek(Fraction(600, 44100)) == s.offsets[1]
+
+
+@pytest.mark.parametrize("major", [2, 3, 4])
+def test_audio_id3(major):
+    frame = {2: b"TT2" + (5).to_bytes(3, "big"), 3: b"TIT2" + (5).to_bytes(4, "big") + b"\0\0", 4: b"TIT2" + bytes([0, 0, 0, 5]) + b"\0\0"}[major] + b"\0song"
+    tag = b"ID3" + bytes([major, 0, 0x10 if major == 4 else 0, 0, 0, 0, len(frame) + 20]) + frame + bytes(20) + (b"3DI".ljust(10, b"\0") if major == 4 else b"")
+    s = mpeg_audio.parse(tag + b"\xff\xfb\x90\x00".ljust(417, b"\0") * 2)
+    assert s.tags == {"TT2" if major == 2 else "TIT2": "song"} and s.offsets == [len(tag), len(tag) + 417] and s.skipped == 0
+
+
+def test_audio_probe_of_any_bytes(spark):
+    """Streams from elsewhere, bytes that are no stream, null; and columns named like the added ones."""
+    real = b"\xff\xfb\x90\x00".ljust(417, b"\0") * 3
+    rows = [(1, real, "f", 7), (2, b"no audio", "g", 8), (3, None, "h", 9), (4, b"", None, None), (5, mpeg_audio.store(bytes(64)), "i", 1)]
+    out = mpeg_audio.probe(spark.createDataFrame(rows, "k int, media binary, feature string, Payload_Bytes int"))
+    got = {r["k"]: r for r in out.collect()}
+    assert [got[k]["feature"] for k in range(1, 6)] == ["f", "g", "h", None, "i"] and got[1]["Payload_Bytes"] == 7
+    assert [got[k]["payload_bytes_"] for k in range(1, 6)] == [None] * 4 + [64]
+    assert [got[k]["frame_count"] for k in range(1, 6)] == [3, None, None, None, 1] and [got[k]["media_bytes"] for k in range(1, 6)][:4] == [1251, 8, None, 0]
+    assert got[1]["duration_samples"] == 3456 and got[1]["feature_"].startswith("frames=3;")
