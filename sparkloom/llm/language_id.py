@@ -1,21 +1,24 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The pieces are a fixed public vocabulary. Each language has a probability per piece; a word's probability is the sum, over all
-ways to cut it into pieces, of the product of their probabilities (a forward algorithm over its characters), and a text's is
-the product over its words. The probabilities are trained by expectation-maximisation: backward sums give each piece's
-expected count.
+The pieces are a fixed public vocabulary: all of its ordinary pieces, folded to lower case as the words are. Each language has a
+probability per piece; a word's probability is the sum, over all ways to cut it into pieces, of the product of their
+probabilities (a forward algorithm over its characters), and a text's is the product over its words. The probabilities are
+trained by expectation-maximisation: backward sums give each piece's expected count.
 
 Training takes a bounded sample: at most PER_LANGUAGE labelled documents of each language, those of the lowest hash of their
-id. Languages are trained side by side, one group each, whose size that bound limits. The model (pieces times languages) is
-the only thing that reaches the driver, and is broadcast. Prediction is narrow: no shuffle, no key, batches cut by size.
+id, of the LANGUAGES most frequent labels. Languages are trained side by side, one group each, whose size that bound limits.
+The model (pieces times languages) is the only thing that reaches the driver, and is broadcast. Prediction is narrow: no
+shuffle, no key, batches cut by size.
 
-Words are maximal runs of characters other than white space, in lower case. Those of over LONG characters are scored exactly
-too, with rescaling, but are left out of training. A character outside the vocabulary costs every language the same.
+Words are maximal runs of characters other than white space, in lower case, of any length: in scripts without spaces a whole
+sentence is one. Those of LONG characters or more are summed in logarithms, side by side, in training and prediction alike. A
+character outside the vocabulary costs every language the same.
 
 Defined results: a text that is null or has no letter is `und`, with score 0; so is every text if nothing can be learned from.
 Ties go to the first language in order. The score is the posterior probability of the predicted language. Rows with a null
-language or text teach nothing; a null id counts as not held out. Repeated rows are predicted one by one. Columns other than
-text are never looked at by a prediction.
+language or text teach nothing; a null id counts as not held out. Repeated rows are predicted one by one. An empty table gives
+an empty result. A very long text or word is scored whole, in memory of some bytes a character. Columns other than text are
+never looked at by a prediction; `filter_stage` passes all of them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,23 +38,24 @@ from .byte_bpe import batches
 from .common import remainder
 
 PER_LANGUAGE = 400
+LANGUAGES = 200
 OVERSAMPLE = 3
 ROUNDS = 4
 LONG = 32
-MOST = 10  # characters of a piece
 FLOOR = 1e-7  # of a character outside the vocabulary
 SMOOTH = 0.05  # expected counts added to each piece
 WORDS = 12_000  # distinct words in a lattice
+PLACES = 200_000  # characters of long words summed side by side
 BATCH_CHARS = 4_000_000
 
 
 def load_pieces(path: str) -> list[str]:
-    """The ordinary pieces of a sentencepiece model, in lower case; a leading mark stands for a word's begin."""
+    """The ordinary pieces of a sentencepiece model, folded to lower case; a leading mark stands for a word's begin."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p for p in found if p == p.lower() and 0 < len(p) <= MOST})
+    return sorted({p.lower() for p in found if p})
 
 
 class Pieces:
@@ -60,6 +64,7 @@ class Pieces:
     def __init__(self, pieces: list[str]) -> None:
         self.pieces = pieces
         self.unknown = len(pieces)
+        self.most = max(map(len, pieces))  # characters of a piece
         chars = sorted({c for p in pieces for c in p})
         self.classes = len(chars) + 1
         self.codes = np.array([ord(c) for c in chars], dtype=np.uint32)
@@ -96,7 +101,7 @@ class Pieces:
         found = [np.where(alone >= 0, alone, self.unknown)]
         at = np.nonzero((states > 0) & (left > 1))[0]
         states = states[at]
-        for n in range(2, MOST + 1):
+        for n in range(2, self.most + 1):
             keys = states.astype(np.int64) * self.classes + chars[at + n - 1]
             where = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             hit = self.keys[where] == keys
@@ -114,7 +119,7 @@ class Pieces:
 
 
 class Lattice:
-    """All segmentations of some words of at most LONG characters, for forward and backward sums over columns (languages)."""
+    """All segmentations of some words under LONG characters, for forward and backward sums over columns (languages)."""
 
     def __init__(self, pieces: Pieces, words: list[str]) -> None:
         marked = ["▁" + w for w in words]
@@ -130,7 +135,7 @@ class Lattice:
         self.first = ends - sizes + np.arange(len(marked))
         self.last = ends + np.arange(len(marked))
         self.slots = len(chars) + len(marked)
-        key = (self.target - self.first[self.word]) * (MOST + 1) + length
+        key = (self.target - self.first[self.word]) * (pieces.most + 1) + length
         order = np.argsort(key.astype(np.int16), kind="stable")
         self.source, self.target, self.piece, self.word, key = self.source[order], self.target[order], self.piece[order], self.word[order], key[order]
         cuts = np.nonzero(np.diff(key))[0] + 1
@@ -157,21 +162,95 @@ class Lattice:
         return np.bincount(self.piece, weights=share, minlength=len(probs))
 
 
-def score_long(pieces: Pieces, word: str, probs: np.ndarray) -> np.ndarray:
-    """Log probability of a word of any length: the forward sums of the last MOST places, rescaled at each."""
-    chars = pieces.classify("▁" + word)
-    left = np.arange(len(chars), 0, -1)
-    start, length, piece = pieces.arcs(chars, left)
-    order = np.argsort(start + length, kind="stable")
-    end, start, piece = (start + length)[order], start[order], piece[order]
-    cuts = np.searchsorted(end, np.arange(1, len(chars) + 2))
-    recent, total = [np.ones(probs.shape[1])], np.zeros(probs.shape[1])
-    for j in range(1, len(chars) + 1):
-        a, b = cuts[j - 1], cuts[j]
-        now = sum(recent[int(s) - j] * probs[p] for s, p in zip(start[a:b], piece[a:b]))
-        total += np.log(now)
-        recent = [r / now for r in recent[-MOST + 1 :]] + [np.ones(probs.shape[1])]
-    return total
+class LongWords:
+    """All segmentations of some words of any length, for forward and backward sums in logarithms, word beside word.
+
+    `probs` has a row for each piece and one for the unknown character, as for Lattice. Places are taken in runs, for which the
+    pieces that end at each are looked up again, so that memory is a few numbers a character.
+    """
+
+    def __init__(self, pieces: Pieces, words: list[str]) -> None:
+        self.pieces, self.none = pieces, pieces.unknown + 1
+        self.order = np.array(sorted(range(len(words)), key=lambda i: -len(words[i])), dtype=np.int64)
+        self.chars = [pieces.classify("▁" + words[i]) for i in self.order]
+        self.sizes = np.fromiter(map(len, self.chars), np.int64, len(words))
+        self.longest = int(self.sizes[0])
+        step = max(pieces.most, PLACES // len(words))
+        self.spans = [(a, min(a + step, self.longest)) for a in range(0, self.longest, step)]
+
+    def ending(self, a: int, b: int) -> np.ndarray:
+        """Piece by (place - a, characters - 1, word) for those that end at a place in a..b-1 (its last character); none: self.none."""
+        most, live = self.pieces.most, int((self.sizes > a).sum())
+        out = np.full((b - a, most, len(self.sizes)), self.none, np.int32)
+        low = max(0, a - most + 1)
+        parts = [c[low:b] for c in self.chars[:live]]
+        sizes = np.fromiter(map(len, parts), np.int64, live)
+        ends, word = np.cumsum(sizes), np.repeat(np.arange(live), sizes)
+        start, length, piece = self.pieces.arcs(np.concatenate(parts), ends[word] - np.arange(len(word)))
+        own = word[start]
+        last = start - (ends - sizes)[own] + low + length - 1
+        new = last >= a
+        out[last[new] - a, length[new] - 1, own[new]] = piece[new]
+        return out
+
+    def forward(self, probs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(a, b, sums): log sums, by (place, word, column), of the places a-most..b; those of place i are over all cuts of the first i characters."""
+        most, table = self.pieces.most, np.vstack([probs, np.zeros((1, probs.shape[1]))])
+        sums = np.full((most, len(self.sizes), probs.shape[1]), -np.inf)
+        sums = np.concatenate([sums, np.zeros((1, *sums.shape[1:]))])
+        for a, b in self.spans:
+            found = self.ending(a, b)
+            sums = np.concatenate([sums[-most - 1 :], np.full((b - a, *sums.shape[1:]), -np.inf)])
+            live = np.searchsorted(-self.sizes, -np.arange(a, b), side="left")  # words with a character there
+            for i, n in enumerate(live.tolist()):
+                past = sums[i + 1 : i + most + 1, :n][::-1]
+                now = (np.exp(past - past[0]) * table[found[i, :, :n]]).sum(axis=0)
+                sums[i + most + 1, :n] = past[0] + np.log(now)
+            yield a, b, sums
+
+    def score(self, probs: np.ndarray) -> np.ndarray:
+        """Log probability of each word in each column."""
+        out = np.empty((len(self.sizes), probs.shape[1]))
+        for a, b, sums in self.forward(probs):
+            done = np.nonzero((self.sizes > a) & (self.sizes <= b))[0]
+            out[self.order[done]] = sums[self.sizes[done] - a + self.pieces.most, done]
+        return out
+
+    def expected(self, probs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected count of each piece, for one column; weight: of each word."""
+        most, every = self.pieces.most, np.arange(len(self.sizes))
+        ahead = np.full((most + self.longest + 1, len(every)), -np.inf)
+        for a, b, sums in self.forward(probs):
+            ahead[a : b + most + 1] = sums[:, :, 0]
+        whole = ahead[self.sizes + most, every]
+        with np.errstate(divide="ignore"):
+            logs = np.log(np.append(probs[:, 0], 0))
+        back, total = np.full_like(ahead, -np.inf), np.zeros(len(probs) + 1)
+        back[self.sizes + most, every] = 0
+        weight = weight[self.order]
+        for a, b in reversed(self.spans):
+            found = self.ending(a, b)
+            share = np.empty(found.shape)
+            for i in range(b - a - 1, -1, -1):
+                at = a + i + 1  # behind the last character
+                into = logs[found[i]] + back[at + most]
+                window = slice(at, at + most)
+                share[i] = ahead[window][::-1] + into
+                back[window] = np.logaddexp(back[window], into[::-1])
+            total += np.bincount(found.ravel(), weights=(np.exp(share - whole) * weight).ravel(), minlength=len(total))
+        return total[:-1]
+
+
+def long_groups(words: list[str], which: list[int]) -> Iterator[list[int]]:
+    """The given places of words in groups that are summed side by side, like lengths together."""
+    group: list[int] = []
+    for i in sorted(which, key=lambda i: len(words[i])):
+        if group and (len(group) + 1) * (len(words[i]) + 1) > PLACES:
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
 
 
 def split_words(text: str) -> list[str]:
@@ -182,16 +261,19 @@ def train_language(pieces: Pieces, texts: list[str], rounds: int = ROUNDS) -> np
     """Piece probabilities (the unknown character last) by expectation-maximisation over the words of the texts."""
     counts: Counter[str] = Counter()
     for t in texts:
-        counts.update(w for w in split_words(t) if len(w) <= LONG - 1)
+        counts.update(split_words(t))
     n = len(pieces.pieces)
     probs = np.full((n + 1, 1), 1 / n)
     probs[n] = FLOOR
     every = list(counts)
+    weight = np.array([counts[w] for w in every], dtype=float)
+    short = [i for i, w in enumerate(every) if len(w) < LONG]
+    parts = [(Lattice, short[i : i + WORDS]) for i in range(0, len(short), WORDS)]
+    parts += [(LongWords, g) for g in long_groups(every, [i for i, w in enumerate(every) if len(w) >= LONG])]
     for _ in range(rounds):
         total = np.zeros(n + 1)
-        for i in range(0, len(every), WORDS):
-            part = every[i : i + WORDS]
-            total += Lattice(pieces, part).expected(probs, np.array([counts[w] for w in part], dtype=float))
+        for kind, own in parts:
+            total += kind(pieces, [every[i] for i in own]).expected(probs, weight[own])
         known = total[:n] + SMOOTH
         probs[:n, 0] = known / known.sum()
     return probs[:, 0]
@@ -202,8 +284,8 @@ def train(docs: DataFrame, pieces: list[str], per_language: int = PER_LANGUAGE)
     spark = docs.sparkSession
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h"))
     # A first cut by hash to some OVERSAMPLE times the bound, so that what reaches a language's task doesn't grow with the input.
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, OVERSAMPLE * per_language / n)]), F.col("lang")) if sizes else F.lit(1.0)
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, OVERSAMPLE * per_language / n)]), F.col("lang")) if sizes else F.lit(1.0)
     known = known.filter(F.pmod("h", F.lit(1 << 40)) < share * float(1 << 40))
     ranked = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.length("text"), "text")))
     sample = ranked.filter(F.col("n") <= per_language).select("lang", "text")
@@ -231,9 +313,8 @@ class Scorer:
         for i in range(0, len(short), WORDS):
             part = short[i : i + WORDS]
             out[part] = Lattice(self.pieces, [words[k] for k in part]).score(self.probs)
-        for i, w in enumerate(words):
-            if len(w) >= LONG:
-                out[i] = score_long(self.pieces, w, self.probs)
+        for group in long_groups(words, [i for i, w in enumerate(words) if len(w) >= LONG]):
+            out[group] = LongWords(self.pieces, [words[i] for i in group]).score(self.probs)
         return out
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """Plain Python forms that several tests compare with."""
 
+import math
 import re
 from collections import Counter
 
@@ -41,3 +42,58 @@ def brute_classes(texts):
                 a, b = sorted((find(i), find(j)))
                 up[b] = a
     return {i: (find(i), links[i]) for i in ids}
+
+
+def cuts(word, index):
+    """All ways to cut a word into pieces, a character outside the vocabulary being piece -1."""
+    found = {"": [()]}
+
+    def rest(text):
+        if text not in found:
+            found[text] = [(index[text[:n]], *more) for n in range(1, len(text) + 1) if text[:n] in index for more in rest(text[n:])]
+            if text[0] not in index:
+                found[text] += [(-1, *more) for more in rest(text[1:])]
+        return found[text]
+
+    return rest("▁" + word)
+
+
+def log_sums(word, index, probs, most):
+    """Logarithms of the sums over all cuts of each prefix of a marked word; probs: the unknown character last."""
+    s, sums = "▁" + word, [0.0]
+    for j in range(1, len(s) + 1):
+        terms = [sums[i] + math.log(probs[index[s[i:j]]]) for i in range(max(0, j - most), j) if s[i:j] in index]
+        terms += [sums[j - 1] + math.log(probs[-1])] if s[j - 1] not in index else []
+        top = max(terms)
+        sums.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return sums
+
+
+def suffix_sums(word, index, probs, most):
+    """The same over the suffixes: place i has all cuts of what follows the first i characters."""
+    s = "▁" + word
+    sums = [0.0] * (len(s) + 1)
+    for i in range(len(s) - 1, -1, -1):
+        terms = [sums[j] + math.log(probs[index[s[i:j]]]) for j in range(i + 1, min(len(s), i + most) + 1) if s[i:j] in index]
+        terms += [sums[i + 1] + math.log(probs[-1])] if s[i] not in index else []
+        top = max(terms)
+        sums[i] = top + math.log(sum(math.exp(t - top) for t in terms))
+    return sums
+
+
+def brute_training(texts, pieces, rounds, floor, smooth):
+    """Piece probabilities by expectation-maximisation, word by word."""
+    index, most = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
+    counts = Counter(w for t in texts for w in t.lower().split())
+    probs = [1 / len(pieces)] * len(pieces) + [floor]
+    for _ in range(rounds):
+        total = [smooth] * len(pieces)
+        for w, c in counts.items():
+            s, ahead, back = "▁" + w, log_sums(w, index, probs, most), suffix_sums(w, index, probs, most)
+            for j in range(1, len(s) + 1):
+                for i in range(max(0, j - most), j):
+                    if s[i:j] in index:
+                        total[index[s[i:j]]] += c * math.exp(ahead[i] + math.log(probs[index[s[i:j]]]) + back[j] - back[0])
+        scale = sum(total)
+        probs = [t / scale for t in total] + [floor]
+    return probs

@@ -10,7 +10,7 @@ import pytest
 
 from sparkloom.llm import best_fit_packing, jaccard_join, language_id, lm_scoring
 
-from brute import brute_classes
+from brute import brute_classes, brute_training, cuts, log_sums
 
 F = lm_scoring.F
 
@@ -102,22 +102,70 @@ def test_language(spark, corpus, docs, empty):
     assert language_id.filter_stage(spark, docs, "").columns == docs.columns
 
 
-def test_segmentations():
-    pieces = language_id.load_pieces(P.path("piece_bpe_32k.model"))
-    trie, index = language_id.Pieces(pieces), {p: i for i, p in enumerate(pieces)}
-    probs = np.random.default_rng(0).random((len(pieces) + 1, 2)) * 1e-3
-    probs[-1] = language_id.FLOOR
+@pytest.fixture(scope="module")
+def trie():
+    return language_id.Pieces(language_id.load_pieces(P.path("piece_bpe_32k.model")))
+
+
+def test_pieces_are_whole(trie):
+    """Every ordinary piece takes part, whatever its case and length."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    known = set(trie.pieces)
+    assert all(m.id_to_piece(i).lower() in known for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i)))
+    assert trie.most == max(map(len, known)) > 10
 
-    def brute(word):
-        sums = [np.ones(2)]
-        for j in range(1, len(word) + 2):
-            s = "▁" + word
-            sums.append(sum((sums[i] * probs[index[s[i:j]]] if s[i:j] in index else sums[i] * probs[-1] * (j - i == 1)) for i in range(max(0, j - language_id.MOST), j)))
-        return np.log(sums[-1])
 
-    some = ["the", "station", "ération", "中文x", "a", "über🙂", "x" * 25]
-    assert np.allclose(language_id.Lattice(trie, some).score(probs), [brute(w) for w in some])
-    assert np.allclose([language_id.score_long(trie, w, probs) for w in some], [brute(w) for w in some])
+SOME = ["the", "station", "ération", "中文x", "a", "über🙂", "x" * 25]
+LONGER = ["responsibilities" * 4, "中文字符没有空格的句子" * 9, "x" * 33, "ab" * 150, "🙂" * 40]
+
+
+def test_segmentations(trie, monkeypatch):
+    index = {p: i for i, p in enumerate(trie.pieces)}
+    probs = np.random.default_rng(0).random((len(trie.pieces) + 1, 2)) * 1e-3
+    probs[-1] = language_id.FLOOR
+    brute = lambda words: [[log_sums(w, index, probs[:, k], trie.most)[-1] for k in range(2)] for w in words]
+    assert np.allclose(language_id.Lattice(trie, SOME).score(probs), brute(SOME))
+    assert np.allclose(language_id.LongWords(trie, SOME + LONGER).score(probs), brute(SOME + LONGER))
+    monkeypatch.setattr(language_id, "PLACES", 100)  # runs of few places
+    assert np.allclose(language_id.LongWords(trie, LONGER).score(probs), brute(LONGER))
+    assert sorted(i for g in language_id.long_groups(LONGER, [0, 2, 3]) for i in g) == [0, 2, 3]
+
+
+def test_expected_pieces(trie, monkeypatch):
+    """Backward sums against all cuts written out, and long words against short ones' sums."""
+    index = {p: i for i, p in enumerate(trie.pieces)}
+    probs = np.random.default_rng(1).random((len(trie.pieces) + 1, 1)) * 1e-3
+    few, weight = ["the", "station", "中文x", "über🙂", "banana"], np.array([1.0, 2, 3, 4, 5])
+    want = np.zeros(len(probs))
+    for w, c in zip(few, weight):
+        every = cuts(w, index)
+        each = np.array([np.prod(probs[list(x), 0]) for x in every])
+        for x, p in zip(every, each / each.sum() * c):
+            np.add.at(want, list(x), p)
+    assert np.allclose(language_id.Lattice(trie, few).expected(probs, weight), want)
+    assert np.allclose(language_id.LongWords(trie, few).expected(probs, weight), want)
+    monkeypatch.setattr(language_id, "PLACES", 100)
+    texts = [" ".join(SOME), " ".join(LONGER), " ".join(SOME[:3] + LONGER[:2])]
+    got = language_id.train_language(trie, texts, 2)
+    assert np.allclose(got, brute_training(texts, trie.pieces, 2, language_id.FLOOR, language_id.SMOOTH))
+
+
+def test_language_without_spaces(spark):
+    """Sentences without spaces are words of some length; they teach and are told apart."""
+    rng = np.random.default_rng(2)
+    parts = {"zh": "我们 今天 在 学校 学习 历史 地理 他们 明天 去 北京 看 朋友 这个 问题 很 重要 因为 经济 发展".split(), "ja": "私たち は 今日 学校 で 歴史 を 学びます 明日 東京 へ 行き この 問題 が とても 重要 です から 経済".split()}
+    rows = [(k * 100 + i, "".join(rng.choice(parts[lang], 60)) + "。", lang) for k, lang in enumerate(parts) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.identify(docs.filter("doc_id % 100 >= 20").select("doc_id", "text"), docs.filter("doc_id % 100 < 20")).collect()
+    assert len(out) == 40 and all(r["lang_pred"] == ("zh" if r["doc_id"] < 100 else "ja") and r["score"] > 0.99 for r in out)
+
+
+def test_language_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = spark.createDataFrame([(i, "some words", f"l{min(i, 7) // 3}") for i in range(10)], "doc_id long, text string, lang string")
+    assert language_id.train(rows, ["▁some", "▁", "w", "o", "r", "d", "s"])[0] == ["l0", "l2"]
 
 
 def near_copies(texts):

@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from sparkloom.llm import best_fit_packing, jaccard_join, language_id, quality_rules, secret_scans
 
-from brute import base_counts, brute_classes
+from brute import base_counts, brute_classes, brute_training, log_sums
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,28 +47,18 @@ def quality(rows):
 
 def languages(rows):
     pieces = language_id.load_pieces(P.path("piece_bpe_32k.model"))
-    trie, index = language_id.Pieces(pieces), {p: i for i, p in enumerate(pieces)}
+    index, most = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
     taught = defaultdict(list)
     for r in rows:
         if r["text"] is not None and r["lang"] is not None:
             taught[r["lang"]].append(r["text"])
     assert all(len(t) <= language_id.PER_LANGUAGE for t in taught.values())
-    probs = np.stack([language_id.train_language(trie, taught[k]) for k in sorted(taught)], axis=1)
+    probs = [brute_training(taught[k], pieces, language_id.ROUNDS, language_id.FLOOR, language_id.SMOOTH) for k in sorted(taught)]
     known = {}
 
     def score(word):
         if word not in known:
-            s, total, sums = "▁" + word, 0.0, [np.ones(probs.shape[1])]
-            for j in range(1, len(s) + 1):
-                now = 0.0
-                for i in range(max(0, j - language_id.MOST), j):
-                    if s[i:j] in index:
-                        now = now + sums[i] * probs[index[s[i:j]]]
-                    elif j - i == 1:
-                        now = now + sums[i] * probs[-1]
-                total = total + np.log(now)
-                sums = [x / now for x in sums] + [np.ones(probs.shape[1])]
-            known[word] = total
+            known[word] = np.array([log_sums(word, index, p, most)[-1] for p in probs])
         return known[word]
 
     out = []
