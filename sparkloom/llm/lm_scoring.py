@@ -9,14 +9,18 @@ Plan.
 1. Counts of all training words: summed per task (spilling parts of bounded size), then per word. Written to the shared folder.
 2. The HOT most frequent words of at most HOT_BYTES bytes, a bounded dictionary, are broadcast. Each text becomes a row: its
    sums over hot words, its class sequence (2 bytes a token), and its rare words. Written to the shared folder.
-3. Baum-Welch: ROUNDS passes over all training sequences, in segments of SEGMENT tokens; each task's expected counts are
-   summed by index over all tasks, so that what reaches the driver has the model's size.
+3. Baum-Welch over all training sequences, each of them whole: exact forward and backward sums in double precision, until a
+   round raises the likelihood by less than GAIN a token. A task's expected counts go out as a row per class that it saw, are
+   summed by class over all tasks, and reach the driver as one row per class: the model's size. Sequences of like lengths go
+   side by side; of one with more than GROUP tokens only the sums at some places are kept, and the rest is computed again on
+   the way back, so memory is bounded.
 4. Rare words join the counts by shuffle. Hot keys cannot skew it, as they are hot words (longer words than HOT_BYTES may,
    which adaptive execution splits). Their sums go back to the row by its key.
 5. The scaled forward recursion runs over whole sequences, many texts side by side.
 
 Defined results: null text is the empty text, one end token. A null id is not held out. Repeated rows are scored one by one.
-With nothing to learn from, N and V are 0. An empty table gives an empty result. Other columns are not looked at.
+With nothing to learn from, N and V are 0. An empty table gives an empty result. A very long text is one sequence, whole in
+training and scoring. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -32,15 +36,18 @@ from pyspark.sql import functions as F
 
 from .common import remainder, save
 
-CLASSES = 1000
-STATES = 6
-ROUNDS = 3
-SEGMENT = 128
+CLASSES = 20_000
+STATES = 16
+STICK = 0.9  # of the first transitions: the weight of staying in a state, without which training lingers where all states are alike
+PRIOR = 100  # words, dealt as in the corpus, that each state is taken to have emitted besides its own
+GAIN = 0.002  # of log10 likelihood a token; a round that gains less is the last
+ROUNDS = 30  # at most
 HOT = 80_000
 HOT_BYTES = 128
 PART = 300_000  # distinct words that a task counts before it passes them on
-GROUP = 3_000_000  # tokens scored side by side
-BLOCK = 4096  # segments trained side by side
+GROUP = 200_000  # tokens whose sums are held side by side
+BUFFER = 4_000_000  # tokens that are sorted by length before they are grouped
+BATCH = 3_000_000  # tokens scored side by side
 LOG10 = np.log(10)
 
 
@@ -80,68 +87,94 @@ class Model:
         rng = np.random.default_rng(seed)
         self.prior = (unigrams + 1) / (unigrams + 1).sum()
         self.start = np.full(states, 1 / states)
-        self.move = rng.random((states, states)) + 1
+        self.move = (STICK * np.eye(states) + (1 - STICK) / states) * rng.uniform(0.9, 1.1, (states, states))
         self.move /= self.move.sum(axis=1, keepdims=True)
         self.emit = self.prior * np.exp(rng.normal(0, 0.5, (states, len(unigrams))))
         self.emit /= self.emit.sum(axis=1, keepdims=True)
 
     def update(self, sums: np.ndarray) -> None:
-        """From the summed counts: starts, moves, emissions, in this order."""
+        """From the summed counts of expected()."""
         s, k = self.emit.shape
-        self.start = (sums[:s] + 1) / (sums[:s] + 1).sum()
-        self.move = sums[s : s + s * s].reshape(s, s) + 1
+        self.start = (sums[k] + 1) / (sums[k] + 1).sum()
+        self.move = sums[k + 1 : k + 1 + s] + 1
         self.move /= self.move.sum(axis=1, keepdims=True)
-        self.emit = sums[s + s * s :].reshape(s, k) + 10 * self.prior
+        self.emit = sums[:k].T + PRIOR * self.prior
         self.emit /= self.emit.sum(axis=1, keepdims=True)
 
 
-def segments(flat: np.ndarray, sizes: np.ndarray, pad: int, length: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences cut into rows of so many tokens, padded; which rows begin a sequence."""
-    ends = np.cumsum(sizes)
-    n = -(-sizes // length)
-    owner = np.repeat(np.arange(len(sizes)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = ((ends - sizes)[owner] + place * length)[:, None] + np.arange(length)
-    return np.where(at < ends[owner][:, None], flat[np.minimum(at, len(flat) - 1)], pad), place == 0
+def side_by_side(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences from the longest, and how many of them reach each step."""
+    order = np.argsort(-sizes, kind="stable")
+    longest = int(sizes[order[0]]) if len(sizes) else 0
+    return order, np.searchsorted(-sizes[order], -np.arange(1, longest + 1), side="right")
+
+
+def spans(active: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of steps with about so many tokens."""
+    out, a, size = [], 0, 0
+    for t, n in enumerate(active.tolist()):
+        if size and size + n > most:
+            out.append((a, t))
+            a, size = t, 0
+        size += n
+    return [*out, (a, len(active))]
 
 
-def expected(model: Model, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts of some padded segments, in the order that update() takes. Later segments start from any state."""
+def expected(model: Model, flat: np.ndarray, sizes: np.ndarray, most: int = GROUP) -> np.ndarray:
+    """Baum-Welch counts of whole sequences, a column for each state: a row for each class (emissions), one for the starts, one
+    for each state (moves from it), and a last one whose first number is the log likelihood."""
     s, k = model.emit.shape
-    start, move = model.start.astype(np.float32), model.move.astype(np.float32)
-    emit = np.vstack([model.emit.T, np.ones((1, s))]).astype(np.float32)  # the pad is emitted by all
-    steps = rows.T
-    real = (steps < k).astype(np.float32)[:, :, None]
-    seen = emit[steps]
-    alpha = np.empty(seen.shape, np.float32)
-    scale = np.empty(steps.shape, np.float32)
-    now = np.where(first[:, None], start, np.float32(1 / s)) * seen[0]
-    for t in range(len(steps)):
-        if t:
-            now = (now @ move) * seen[t]
-        scale[t] = now.sum(axis=1)
-        now /= scale[t][:, None]
-        alpha[t] = now
-    moves = np.zeros((s, s))
-    back = np.ones(alpha.shape[1:], np.float32)
-    for t in range(len(steps) - 1, -1, -1):
-        gamma = alpha[t] * back
-        if t:
-            into = seen[t] * back / scale[t][:, None]
-            moves += alpha[t - 1].T @ (into * real[t])
-            back = into @ move.T
-        alpha[t] = gamma * real[t]
-    flat = steps.ravel()
-    emitted = [np.bincount(flat, weights=alpha[:, :, i].ravel(), minlength=k + 1)[:k] for i in range(s)]
-    return np.concatenate([alpha[0][first].sum(axis=0), (moves * model.move).ravel(), *emitted])
+    order, active = side_by_side(sizes)
+    offset = (np.cumsum(sizes) - sizes)[order]
+    table, turned = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    sums = np.zeros((k + s + 2, s))
+
+    def forward(now: np.ndarray, a: int, b: int, alpha: np.ndarray | None = None, scale: np.ndarray | None = None) -> np.ndarray:
+        place = 0
+        for t in range(a, b):
+            n = active[t]
+            now = (now[:n] @ model.move if t else now[:n]) * table[flat[offset[:n] + t]]
+            total = now.sum(axis=1)
+            now /= total[:, None]
+            if alpha is not None:
+                alpha[place : place + n], scale[place : place + n] = now, total
+                place += n
+        return now
+
+    parts = spans(active, most)
+    entries = [np.tile(model.start, (len(sizes), 1))]
+    for a, b in parts[:-1]:
+        entries.append(forward(entries[-1], a, b))
+    back = np.ones((0, s))
+    for (a, b), entry in zip(reversed(parts), reversed(entries)):
+        cuts = np.concatenate([[0], np.cumsum(active[a:b])])
+        seen = np.concatenate([flat[offset[: active[t]] + t] for t in range(a, b)])
+        alpha, scale = np.empty((len(seen), s)), np.empty(len(seen))
+        forward(entry, a, b, alpha, scale)
+        for t in range(b - 1, a - 1, -1):
+            n, low, high = int(active[t]), int(cuts[t - a]), int(cuts[t - a + 1])
+            if len(back) < n:  # sequences that end here
+                back = np.concatenate([back, np.ones((n - len(back), s))])
+            into = table[seen[low:high]] * back / scale[low:high, None]
+            alpha[low:high] *= back
+            if t:
+                before = alpha[int(cuts[t - a - 1]) :][:n] if t > a else entry[:n]
+                sums[k + 1 : k + 1 + s] += before.T @ into
+                back = into @ turned
+            else:
+                sums[k] = alpha[:high].sum(axis=0)
+        for i in range(s):
+            sums[:k, i] += np.bincount(seen, weights=alpha[:, i], minlength=k)
+        sums[-1, 0] += np.log(scale).sum()
+    sums[k + 1 : k + 1 + s] *= model.move
+    return sums
 
 
 def log_likelihood(model: Model, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Natural log probability of each whole sequence, by the scaled forward recursion."""
-    order = np.argsort(-sizes, kind="stable")
-    offset, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    order, active = side_by_side(sizes)
+    offset = (np.cumsum(sizes) - sizes)[order]
     emit, total = np.ascontiguousarray(model.emit.T), np.zeros(len(sizes))
-    active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
     now = np.tile(model.start, (len(sizes), 1))
     for t, n in enumerate(active):
         now = (now[:n] @ model.move if t else now[:n]) * emit[flat[offset[:n] + t]]
@@ -155,7 +188,7 @@ def log_likelihood(model: Model, flat: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 def unpack(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter((len(v) // 2 for v in values), np.int64, len(values))
-    return np.frombuffer(b"".join(values), "<i2").astype(np.int64), sizes
+    return np.frombuffer(b"".join(values), "<u2").astype(np.int64), sizes
 
 
 def encode(docs: DataFrame, hot: list[tuple[bytes, int]], ends: int, classes: int) -> DataFrame:
@@ -183,7 +216,7 @@ def encode(docs: DataFrame, hot: list[tuple[bytes, int]], ends: int, classes: in
                     rare = [w for w, i in zip(ws, ids.tolist()) if i < 0] if len(ws) else []
                     own = logs[ids]
                     other = own[(ids < 0) | (ids >= used)]
-                    obs = np.append(np.where((ids < 0) | (ids >= used), used, ids), used + 1).astype("<i2")
+                    obs = np.append(np.where((ids < 0) | (ids >= used), used, ids), used + 1).astype("<u2")
                     out.append((len(ws) + 1, len(ws) - len(rare) + (ends > 0), own.sum() + np.log10(ends + 1), len(other), other.sum(), obs.tobytes(), rare))
                 part = batch.slice(start, stop - start)
                 columns = list(zip(*out))
@@ -200,34 +233,62 @@ def encode(docs: DataFrame, hot: list[tuple[bytes, int]], ends: int, classes: in
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def train(sequences: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over the column obs."""
+def train(sequences: DataFrame, model: Model, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
+    """Baum-Welch over the column obs, until a round gains less than `gain` a token or there were `rounds`."""
     spark = sequences.sparkSession
-    size = model.emit.shape[1]
-    for _ in range(rounds):
+    shape = (sum(model.emit.shape) + 2, len(model.start))
+    tokens = sequences.agg(F.sum(F.octet_length("obs") / 2)).first()[0]
+    last = -np.inf
+    for _ in range(rounds if tokens else 0):
         given = spark.sparkContext.broadcast(model)
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: np.ndarray | int = 0
+            sums = np.zeros(shape)
+            for values in buffers(rows):
+                for g in groups(sorted(values, key=len), GROUP):
+                    sums += expected(given.value, *g)
+            yield counts_batch(sums)
+
+        def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(shape)
             for batch in rows:
-                for flat, sizes in groups(batch.column(0).to_pylist()):
-                    cut, first = segments(flat, sizes, size)
-                    for i in range(0, len(cut), BLOCK):
-                        sums = sums + expected(given.value, cut[i : i + BLOCK], first[i : i + BLOCK])
-            if not isinstance(sums, int):
-                at = np.nonzero(sums)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["i", "v"])
-
-        found = sequences.select("obs").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        s = len(model.start)
-        sums = np.zeros(s + s * s + s * size)
-        for r in found:
-            sums[r["i"]] = r["v"]
+                np.add.at(sums, batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, shape[1]))
+            yield counts_batch(sums)
+
+        schema = "i long, v binary"
+        found = sequences.select("obs").mapInArrow(run, schema).repartition("i").mapInArrow(add, schema).toArrow()
+        sums = np.zeros(shape)
+        sums[found.column(0).to_numpy()] = np.frombuffer(b"".join(found.column(1).to_pylist())).reshape(-1, shape[1])
         model.update(sums)
+        now = sums[-1, 0] / LOG10 / tokens
+        if now - last < gain:
+            break
+        last = now
     return model
 
 
-def groups(values: list[bytes], most: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def counts_batch(sums: np.ndarray) -> pa.RecordBatch:
+    """(i, v): the rows of the counts that aren't zero."""
+    at = np.nonzero(sums.any(axis=1))[0]
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([v.tobytes() for v in sums[at]], pa.binary())], ["i", "v"])
+
+
+def buffers(rows: Iterator[pa.RecordBatch], most: int = BUFFER) -> Iterator[list[bytes]]:
+    """The values of the first column in lists of about so many tokens."""
+    held: list[bytes] = []
+    size = 0
+    for batch in rows:
+        for v in batch.column(0).to_pylist():
+            held.append(v)
+            size += len(v) // 2
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def groups(values: list[bytes], most: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sequences in runs of about so many tokens."""
     start = size = 0
     for i, v in enumerate(values):

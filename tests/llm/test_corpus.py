@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import public_tokenizers as P
@@ -76,18 +77,64 @@ def test_lm(spark, corpus, texts, docs, empty):
         assert lm_scoring.score(rows)[0].count() == given.count()
 
 
+def brute_counts(model, sequences):
+    """Expected counts of all paths of states written out."""
+    s, k = model.emit.shape
+    sums = np.zeros((k + s + 2, s))
+    for seq in sequences:
+        paths = list(product(range(s), repeat=len(seq)))
+        each = np.array([model.start[p[0]] * np.prod([model.emit[i, w] for i, w in zip(p, seq)]) * np.prod([model.move[i, j] for i, j in zip(p, p[1:])]) for p in paths])
+        sums[-1, 0] += math.log(each.sum())
+        for p, share in zip(paths, each / each.sum()):
+            sums[k, p[0]] += share
+            for i, w in zip(p, seq):
+                sums[w, i] += share
+            for i, j in zip(p, p[1:]):
+                sums[k + 1 + i, j] += share
+    return sums
+
+
+@pytest.mark.parametrize("most", [1, 7, 10_000])
+def test_baum_welch_counts(most):
+    """Against all paths, whether a sequence's sums are held whole or computed again in spans."""
+    rng = np.random.default_rng(4)
+    model = lm_scoring.Model(rng.integers(1, 9, 5).astype(float), 3)
+    sequences = [rng.integers(0, 5, n) for n in (1, 6, 3, 6, 2, 5)]
+    got = lm_scoring.expected(model, np.concatenate(sequences), np.array(list(map(len, sequences))), most)
+    assert np.allclose(got, brute_counts(model, sequences))
+    assert np.allclose(lm_scoring.log_likelihood(model, np.concatenate(sequences), np.array(list(map(len, sequences)))).sum(), got[-1, 0])
+
+
 def test_baum_welch_raises_likelihood():
     rng = np.random.default_rng(6)
     flat, sizes = rng.choice(8, 3000, p=np.arange(1, 9) / 36), np.array([700, 300, 1, 1999])
     flat[::3] = 1
-    model = lm_scoring.Model(np.bincount(flat, minlength=8).astype(float), 3)
-    before = lm_scoring.log_likelihood(model, flat, sizes).sum()
-    for _ in range(5):
-        cut, first = lm_scoring.segments(flat, sizes, 8)
-        sums = lm_scoring.expected(model, cut, first)
-        assert sums[-24:].sum() == pytest.approx(3000, rel=1e-3)
+    model, seen = lm_scoring.Model(np.bincount(flat, minlength=8).astype(float), 3), []
+    for _ in range(8):
+        sums = lm_scoring.expected(model, flat, sizes, 400)
+        assert sums[:8].sum() == pytest.approx(3000) and sums[9:12].sum() == pytest.approx(2996)
+        seen.append(sums[-1, 0])
         model.update(sums)
-    assert lm_scoring.log_likelihood(model, flat, sizes).sum() > before
+    assert lm_scoring.log_likelihood(model, flat, sizes).sum() > seen[-1] > seen[0]
+
+
+def test_training_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "GROUP", 300)
+    rng = np.random.default_rng(7)
+    values = [(rng.integers(0, 30, n).astype("<u2").tobytes(),) for n in rng.integers(1, 90, 120)]
+    start = np.bincount(np.frombuffer(b"".join(v for v, in values), "<u2"), minlength=30).astype(float)
+    rows = spark.createDataFrame(values, "obs binary")
+    one, many = (lm_scoring.train(rows.repartition(n), lm_scoring.Model(start, 4), 4, 0.0) for n in (1, 7))
+    assert np.allclose(one.emit, many.emit, rtol=1e-9) and np.allclose(one.move, many.move, rtol=1e-9) and np.allclose(one.start, many.start, rtol=1e-9)
+    assert lm_scoring.train(rows.limit(0), lm_scoring.Model(start, 4)).emit.shape == (4, 30)
+
+
+def test_lm_beats_unigrams(spark):
+    """On documents that it didn't see, by a margin, in all and for most of them."""
+    out = lm_scoring.op4_lm_scoring(spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    n = sum(r["n_tokens"] for r in out)
+    assert sum(r["score"] - r["base_score"] for r in out) / n > 0.15
+    assert sum(r["score"] > r["base_score"] for r in out) > 0.9 * len(out)
 
 
 def test_language(spark, corpus, docs, empty):
