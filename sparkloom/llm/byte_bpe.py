@@ -3,17 +3,22 @@
 Encoding. A text is cut by the vocabulary's pattern. A piece that is itself in the vocabulary is one token. Every other
 distinct piece becomes token-position rows (piece, position, token, next token); a recursive query joins them with the merge
 table, takes each piece's lowest-ranked pair (the leftmost one of equals), contracts it, and goes on until no pair is left.
-Pieces of over LONG bytes use a second recursive query, which contracts all occurrences of the lowest-ranked pair at once,
-from left to right without overlap. The result is the same: a merge makes only pairs of a higher rank, as every
-vocabulary entry is reached by merges of lower rank than its own (tests hold this against the vocabulary).
+
+Pieces of over LONG bytes (blobs, scripts without spaces) are contracted as overlapping windows by the same query, side by side.
+A sequence of tokens is the encoding of its bytes exactly if each two neighbours are the encoding of theirs: no contraction ever
+goes over a boundary that two neighbours keep, so what happens on either side doesn't matter. So where two windows that overlap
+have a token in common, with the same place and length, the tokens of the first up to it and of the second from it are the
+encoding of both. Where two have none, their stretch is cut anew into windows of twice the size, up to the whole piece.
 
 Decoding. Rows (text, position, token) join the vocabulary; an ordered aggregation concatenates their bytes.
 
 The ranks go to executors as a broadcast of the file's bytes (a fixed size). Encoded pieces are kept in a worker's cache of at
-most CACHE entries. Batches are cut by size, so memory does not depend on a partition's size; texts are never cut.
+most CACHE entries and CACHE_BYTES bytes. Batches are cut by size, a query takes pieces up to SQUARES, so memory does not
+depend on a partition's size; texts are never cut.
 
 Defined results: null text is the empty text, with no tokens. Repeated rows are encoded one by one, ids (null too) are passed
-through, and other columns are not looked at. There is no shuffle and no key.
+through, and other columns, whatever their names, are not looked at. An empty table gives an empty result. A very long text is
+encoded whole, in time that grows with its length. There is no shuffle and no key.
 """
 
 from __future__ import annotations
@@ -26,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 LONG = 48
+WINDOW = 32  # bytes of the first windows of a long piece
 CACHE = 300_000
-PIECES = 60_000  # for one recursive query
+CACHE_BYTES = 64_000_000  # of ids that are kept for long pieces
+SQUARES = 8_000_000  # of a query's pieces, the sum of their squared lengths: about twice the rows that it holds
 BATCH_CHARS = 4_000_000
 
 #: k: rank << 20 | position of the pair that starts at the row, null without one. The row at the pair's start goes, the one after it takes the merged token.
-SHORT_SQL = """
+CONTRACT_SQL = """
 WITH RECURSIVE s(w, pos, a, b, k, it) AS (
   SELECT w, pos, a, b, m.r | pos, 0 FROM init LEFT JOIN merges m ON m.ab = (init.a << 20 | init.b)
   UNION ALL
@@ -44,22 +51,6 @@ WITH RECURSIVE s(w, pos, a, b, k, it) AS (
 SELECT s.w, s.a FROM s JOIN (SELECT w, max(it) AS it FROM s GROUP BY w) z ON s.w = z.w AND s.it = z.it ORDER BY s.w, s.pos
 """
 
-#: Here the row at a contracted pair's start takes the merged token and the one after it goes. Of a run of overlapping equal pairs, every second is contracted.
-LONG_SQL = """
-WITH RECURSIVE s(w, pos, a, r, more) AS (
-  SELECT w, pos, a, m.r >> 20, bool_or(m.r IS NOT NULL) OVER (PARTITION BY w) FROM init LEFT JOIN merges m ON m.ab = (init.a << 20 | init.b)
-  UNION ALL
-  SELECT z.w, z.pos, z.a, m.r >> 20, bool_or(m.r IS NOT NULL) OVER (PARTITION BY z.w) FROM (
-    SELECT y.w, y.pos, y.a, lead(y.a) OVER (PARTITION BY y.w ORDER BY y.pos) AS b FROM (
-      SELECT c.w, c.pos, CASE WHEN c.hit THEN c.r ELSE c.a END AS a, coalesce(lag(c.hit) OVER (PARTITION BY c.w ORDER BY c.pos), false) AS gone FROM (
-        SELECT f.*, f.cand AND (row_number() OVER (PARTITION BY f.w, f.cand, f.isle ORDER BY f.pos)) % 2 = 1 AS hit FROM (
-          SELECT e.*, sum((NOT e.cand)::INT) OVER (PARTITION BY e.w ORDER BY e.pos) AS isle FROM (
-            SELECT s.w, s.pos, s.a, s.r, coalesce(s.r = min(s.r) OVER (PARTITION BY s.w), false) AS cand FROM s WHERE s.more) e) f) c) y
-    WHERE NOT y.gone) z LEFT JOIN merges m ON m.ab = (z.a << 20 | z.b)
-)
-SELECT w, a FROM s WHERE NOT more ORDER BY w, pos
-"""
-
 DECODE_SQL = "SELECT d, array_to_string(list(s ORDER BY p), '') AS t FROM tokens JOIN vocabulary USING (id) GROUP BY d"
 
 
@@ -68,6 +59,15 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in map(bytes.split, data.splitlines()) if t}
 
 
+def windows(begin: int, end: int, size: int) -> Iterator[tuple[int, int]]:
+    """Windows of so many bytes, each from the middle of the one before."""
+    while True:
+        yield begin, min(begin + size, end)
+        if begin + size >= end:
+            return
+        begin += size // 2
+
+
 class Codec:
     """An encoder and decoder for one vocabulary; holds a DuckDB connection with the merge table and the vocabulary."""
 
@@ -79,7 +79,10 @@ class Codec:
         self.ranks = ranks = read_ranks(data)
         self.find = regex.compile(pattern).findall
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.lengths[list(ranks.values())] = list(map(len, ranks))
         self.cache: dict[str, bytes] = {}
+        self.cached_bytes = 0  # of long pieces' ids
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
         pairs = [(ranks[t[:i]] << 20 | ranks[t[i:]], r << 20) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         given = pa.table({"ab": [p[0] for p in pairs], "r": [p[1] for p in pairs]})
@@ -92,8 +95,18 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT id::INT AS id, s FROM given")
         self.db.unregister("given")
 
-    def contract(self, pieces: list[bytes], sql: str) -> list[bytes]:
-        """The ids of each piece as 32-bit little-endian bytes, by one recursive query."""
+    def contract(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as 32-bit little-endian bytes, by recursive queries."""
+        out: list[bytes] = []
+        start = squares = 0
+        for i, p in enumerate(pieces):
+            if squares and squares + len(p) ** 2 > SQUARES:
+                out += self.contract_once(pieces[start:i])
+                start, squares = i, 0
+            squares += len(p) ** 2
+        return out + self.contract_once(pieces[start:]) if start < len(pieces) else out
+
+    def contract_once(self, pieces: list[bytes]) -> list[bytes]:
         import numpy as np
 
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -104,31 +117,87 @@ class Codec:
         w = np.repeat(np.arange(len(pieces)), lengths)
         init = pa.table({"w": w, "pos": np.arange(len(tokens)) - np.repeat(ends - lengths, lengths), "a": tokens, "b": following})
         self.db.register("init", init)
-        out = self.db.execute(sql).fetchnumpy()
+        out = self.db.execute(CONTRACT_SQL).fetchnumpy()
         self.db.unregister("init")
         ids = np.asarray(out["a"]).astype("<u4").tobytes()
         cuts = np.concatenate([[0], np.cumsum(np.bincount(np.asarray(out["w"]), minlength=len(pieces)))]) * 4
         cuts = cuts.tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def contract_long(self, pieces: list[bytes], window: int = WINDOW) -> list[bytes]:
+        """The same, by windows: see above."""
+        import numpy as np
+
+        known: dict[tuple[int, int, int], tuple] = {}  # (piece, begin, end): (starts, ids) of the window's tokens
+        todo = [(w, a, b, window) for w, p in enumerate(pieces) for a, b in windows(0, len(p), window)]
+        while True:
+            new = list({x[:3] for x in todo} - known.keys())
+            found = self.contract([pieces[w][a:b] for w, a, b in new])
+            for (w, a, b), raw in zip(new, found):
+                ids = np.frombuffer(raw, "<u4")
+                sizes = self.lengths[ids]
+                known[w, a, b] = (np.cumsum(sizes) - sizes + a, ids)
+            # The first token in common of each window and the next one, not before that of the window before.
+            meet: list[int] = []
+            failed = []
+            for i, (w, a, b, _) in enumerate(todo):
+                if i + 1 == len(todo) or todo[i + 1][0] != w:
+                    meet.append(-1)
+                    continue
+                (x, p), (y, q) = known[w, a, b], known[todo[i + 1][:3]]
+                least = max(todo[i + 1][1], meet[-1] if meet else -1)
+                k = int(np.searchsorted(x, least))
+                both, j, m = np.intersect1d(x[k:], y, assume_unique=True, return_indices=True)
+                same = np.nonzero(p[k:][j] == q[m])[0]
+                meet.append(int(both[same[0]]) if len(same) else -2)
+                if not len(same):
+                    failed.append(i)
+            if not failed:
+                break
+            again: list[tuple[int, int, int, int]] = []
+            i, wrong = 0, set(failed)
+            while i < len(todo):
+                if i not in wrong:
+                    again.append(todo[i])
+                    i += 1
+                    continue
+                stop = i
+                while stop in wrong:
+                    stop += 1
+                w, size = todo[i][0], 2 * max(x[3] for x in todo[i : stop + 1])
+                again += [(w, a, b, size) for a, b in windows(todo[i][1], todo[stop][2], size)]
+                i = stop + 1
+            kept = {x[:3] for x in again}
+            known = {k: v for k, v in known.items() if k in kept}
+            todo = again
+        parts: list[list[bytes]] = [[] for _ in pieces]
+        since = 0
+        for (w, a, b, _), until in zip(todo, meet):
+            x, ids = known[w, a, b]
+            low, high = np.searchsorted(x, since), len(x) if until < 0 else np.searchsorted(x, until)
+            parts[w].append(ids[low:high].tobytes())
+            since = max(until, 0)
+        return [b"".join(p) for p in parts]
+
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that the cache lacks."""
         new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
+        if len(self.cache) + len(new) > CACHE or self.cached_bytes > CACHE_BYTES:
             self.cache.clear()
+            self.cached_bytes = 0
             new = list(pieces)
         short: list[tuple[str, bytes]] = []
+        long: list[tuple[str, bytes]] = []
         for p in new:
             raw = p.encode()
             if (rank := self.ranks.get(raw)) is not None:
                 self.cache[p] = rank.to_bytes(4, "little")
-            elif len(raw) > LONG:
-                self.cache[p] = self.contract([raw], LONG_SQL)[0]
             else:
-                short.append((p, raw))
-        for i in range(0, len(short), PIECES):
-            part = short[i : i + PIECES]
-            self.cache.update(zip((p for p, _ in part), self.contract([raw for _, raw in part], SHORT_SQL)))
+                (long if len(raw) > LONG else short).append((p, raw))
+        self.cache.update(zip((p for p, _ in short), self.contract([raw for _, raw in short])))
+        made = self.contract_long([raw for _, raw in long])
+        self.cache.update(zip((p for p, _ in long), made))
+        self.cached_bytes += sum(map(len, made))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit little-endian bytes."""

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -118,12 +119,37 @@ def test_bpe(codec):
 
 
 def test_bpe_vocabulary_is_proper(codec):
-    """Each entry is what its own bytes contract to, by merges of lower rank: what the long form relies on."""
-    raw = [t for t in codec.ranks if 1 < len(t) <= byte_bpe.LONG]
-    for i in range(0, len(raw), 20000):
-        part = raw[i : i + 20000]
-        assert codec.contract(part, byte_bpe.SHORT_SQL) == [codec.ranks[t].to_bytes(4, "little") for t in part]
-    assert all(max(codec.ranks[bytes([b])] for b in t) < r for t, r in codec.ranks.items() if len(t) > 1)
+    """Each entry is what its own bytes contract to, as if it weren't looked up whole."""
+    raw = list(codec.ranks)
+    assert codec.contract(raw) == [codec.ranks[t].to_bytes(4, "little") for t in raw]
+
+
+def tiktoken_ids(codec, texts):
+    real = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    return [real.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_windows(codec):
+    """Long pieces of every kind, among them runs whose tokens are longer than a window."""
+    rng = random.Random(11)
+    texts = ["-" * n for n in (49, 500, 1999)] + ["=" * 777 + "-" * 130, " " * 700, "\n" * 300, "hello" * 90, "abc" * 333, "\u00a0" * 200]
+    texts += ["".join(rng.choices("aeiourstln", k=n)) for n in (50, 65, 700)] + ["".join(rng.choices("的一是不了人我在有他这中大来上国", k=900))]
+    texts += [base64.b64encode(rng.randbytes(3000)).decode(), "".join(rng.choices("-=", [9, 1], k=1500)), "".join(rng.choices("aab", k=900))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == tiktoken_ids(codec, texts)
+    raw = ["".join(rng.choices("xyzzy", k=n)).encode() for n in (3, 8, 40, 200)]
+    for size in (4, 16, 512):  # whatever the windows
+        assert codec.contract_long(raw, size) == codec.contract(raw)
+
+
+def test_bpe_megabyte(codec):
+    """A megabyte of letters without a space, and a page of Chinese."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "".join(rng.choices("的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年", k=20_000))]
+    began = time.perf_counter()
+    ids = codec.encode(texts)
+    assert time.perf_counter() - began < 120
+    assert codec.decode(ids) == [t.encode() for t in texts]
+    assert np.frombuffer(ids[1], "<u4").tolist() == tiktoken_ids(codec, texts[1:])[0]
 
 
 def test_bpe_rows(spark, docs, empty):
