@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..names import unused  # noqa: F401  (for the operators)
+from ..session import scratch
+
 #: ASCII white space, the only separators of words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; a temporary one where it is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,6 +37,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+BLOCK = 256  # elements over which a running value is carried by copying
+
+
+def scanned(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The running join (an associative one, such as a sum) of an array of ints of zero or more, each element's own included.
+
+    An array is cut into blocks, as appending to one copies it: the joins of whole blocks are carried first, then each block's
+    own are appended to what came before it.
+    """
+    none = F.array().cast("array<int>")
+    fold = lambda x, start, keep: F.aggregate(x, F.struct(start.alias("at"), none.alias("out")), keep, lambda acc: acc["out"])
+    before = lambda acc, v: F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    after = lambda acc, v: F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(join(acc["at"], v))).alias("out"))
+
+    def carried(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), join))
+        return F.flatten(F.zip_with(blocks, fold(totals, F.lit(0), before), lambda x, start: fold(x, start, after)))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+    return let(values, lambda v: F.when(F.size(v) == 0, none).otherwise(let(cut(v), carried)))
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters other than ASCII white space, in order; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
@@ -53,14 +67,3 @@ def words(text: Column) -> Column:
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; -1 where doc_id is null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
-
-
-def unused(names: Iterable[str], columns: Iterable[str]) -> list[str]:
-    """The names, with underscores behind those that (whatever their case) a column has."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out

@@ -5,8 +5,9 @@ inside, as cut-off prose does; it is not made of symbols or exclamation marks an
 notice). Failing lines are removed; a document is rejected when too small a share of its characters is left.
 
 Defined results: null and empty texts have no words, fail the base rules and are rejected; their cleaned text is empty.
-Blank lines neither pass nor fail and are kept. Repeated rows are judged one by one. Other columns are passed
-through; `into` has to be a name that none of them has.
+Blank lines neither pass nor fail and are kept. Repeated rows are judged one by one. An empty table gives an empty result. A
+very long text is judged whole, in time that grows with its length (its windows are sorted if any repeats). Other columns are
+passed through whatever their names; where one is named like the added column, the added one has an underscore behind its name.
 All work is within a row, so there is no shuffle and no key to be skewed.
 """
 
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let, unused, words
 
 # Fixed values.
 SYMBOLS = "[#*$%&|<>]"
@@ -95,32 +96,36 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: Rules = Rules(), int
 
     Each step is a projection of its own, so that nothing is computed again for each column that uses it.
     """
+    into, lines, worded, ws = unused([into, "__lines", "__worded", "__words"], docs.columns)
+    counts = "__count_" + "_" * max(map(len, docs.columns))  # longer than any of theirs
     raw = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.withColumn("__lines", F.split(raw, "\n", -1))
-    lines = lines.withColumn("__worded", F.transform("__lines", lambda x: F.struct(x.alias("line"), words(x).alias("ws"))))
-    lines = lines.withColumn("__words", F.flatten(F.col("__worded.ws")))
-    worded = F.transform(F.filter("__worded", lambda x: F.size(x["ws"]) > 0), lambda x: x["line"])
-    counted = lines.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.size("__words").cast("long").alias("__n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("__word_chars"),
-        F.length(F.regexp_replace(raw, "[^#*$%&|<>]+", "")).cast("long").alias("__n_symbols"),
-        let(worded, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long").alias("__n_dup_lines"),
-        repeated_words(F.col("__words"), rules.window).cast("long").alias("__n_repeat_words"),
-        F.filter("__worded", lambda x: line_ok(x["line"], x["ws"], rules)).alias("__passed"),
+    rows = docs.withColumn(lines, F.split(raw, "\n", -1))
+    rows = rows.withColumn(worded, F.transform(lines, lambda x: F.struct(x.alias("line"), words(x).alias("ws"))))
+    rows = rows.withColumn(ws, F.flatten(F.col(f"{worded}.ws")))
+    said = F.transform(F.filter(worded, lambda x: F.size(x["ws"]) > 0), lambda x: x["line"])
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    counted = rows.select(
+        *given,
+        F.size(ws).cast("long").alias(f"{counts}n_words"),
+        F.length(F.array_join(ws, "")).cast("long").alias(f"{counts}word_chars"),
+        F.length(F.regexp_replace(raw, "[^#*$%&|<>]+", "")).cast("long").alias(f"{counts}n_symbols"),
+        let(said, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long").alias(f"{counts}n_dup_lines"),
+        repeated_words(F.col(ws), rules.window).cast("long").alias(f"{counts}n_repeat_words"),
+        F.filter(worded, lambda x: line_ok(x["line"], x["ws"], rules)).alias(f"{counts}passed"),
     )
-    share = F.length(F.array_join(F.flatten(F.col("__passed.ws")), "")) / F.col("__word_chars")
-    judged = counted.withColumn("__share", F.when(F.col("__word_chars") > 0, share).otherwise(0.0))
-    failed = (F.col("__n_words") < rules.min_words) | (100 * F.col("__n_repeat_words") > rules.max_repeat_percent * F.col("__n_words"))
-    quality = F.struct(
-        *[F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+    count = lambda name: F.col(f"{counts}{name}")
+    share = F.length(F.array_join(F.flatten(F.col(f"{counts}passed.ws")), "")) / count("word_chars")
+    judged = counted.withColumn(f"{counts}share", F.when(count("word_chars") > 0, share).otherwise(0.0))
+    failed = (count("n_words") < rules.min_words) | (100 * count("n_repeat_words") > rules.max_repeat_percent * count("n_words"))
+    found = F.struct(
+        *[count(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         failed.alias("base_failed"),
-        (~failed & (F.col("__share") >= rules.kept_share)).alias("kept"),
-        F.col("__share").alias("kept_share"),
-        F.array_join(F.col("__passed.line"), "\n").alias("text"),
+        (~failed & (count("share") >= rules.kept_share)).alias("kept"),
+        count("share").alias("kept_share"),
+        F.array_join(F.col(f"{counts}passed.line"), "\n").alias("text"),
     )
     # Filters on what explode() makes aren't pushed below it, where they would compute all counts again.
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(quality)).alias(into))
+    return judged.select(*given, F.explode(F.array(found)).alias(into))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +138,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go, the others keep their passing lines (n_chars follows the text)."""
-    out = apply_rules(docs, into="__quality").filter("__quality.kept")
-    now = {"text": F.col("__quality.text"), "n_chars": F.length("__quality.text").cast("long")}
+    (made,) = unused(["quality"], docs.columns)
+    out = apply_rules(docs, into=made).filter(f"{made}.kept")
+    now = {"text": F.col(f"{made}.text"), "n_chars": F.length(f"{made}.text").cast("long")}
     return out.select(*[(now[c] if c in now else F.col(f"`{c}`")).alias(c) for c in docs.columns])

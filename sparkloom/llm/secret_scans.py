@@ -12,7 +12,10 @@ and broadcast up to BROADCAST_ROWS; beyond, both sides are joined by a shuffle.
 with equal ids and different texts do no harm.
 
 Defined results: null and empty texts have no spans. Null ids are an id of their own. Repeated rows each get their spans.
-Places are code points, the end is exclusive. An empty table gives an empty result.
+Places are code points, the end is exclusive. An empty table gives an empty result. A very long text, or one with very many
+matches, takes time in proportion: places are running sums over blocks of matches, and masks are set in blocks of the text.
+Columns of the caller's are passed through whatever their names; where one is named `spans`, the added one has an underscore
+behind its name.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, save
+from .common import let, save, scanned, unused
 
 BROADCAST_ROWS = 1_000_000  # of an id and a mask: some 16 MB
 MOST_STRINGS = 96  # of exact strings that a derivation carries along
@@ -146,42 +149,49 @@ def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
     return met.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"))
 
 
+NO_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
 def matches(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, kind, end) of the rule's matches, each found after the gap that the search skips."""
     search = F.lit(rf"\G([\s\S]*?)({rule.pattern})")
-    part = lambda k: F.regexp_extract_all(text, search, F.lit(k))
-    rows = F.arrays_zip(part(1).alias("gap"), part(2).alias("match"), part(rule.group + 2).alias("value"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
-        kept = F.when(F.length(x["value"]) >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]) if rule.least else F.concat(acc["out"], one)
-        return F.struct(end.alias("pos"), kept.alias("out"))
-
-    return F.aggregate(rows, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+    part = lambda k: F.transform(F.regexp_extract_all(text, search, F.lit(k)), F.length)
+
+    def placed(lengths: Column) -> Column:
+        """Of (gap, match, value) lengths."""
+        ends = scanned(F.transform(lengths, lambda x: x["gap"] + x["match"]), lambda a, b: a + b)
+        spans = F.zip_with(lengths, ends, lambda x, end: F.struct((end - x["match"]).alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["value"].alias("value")))
+        kept = F.filter(spans, lambda x: x["value"] >= rule.least) if rule.least else spans
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    parts = F.arrays_zip(part(1).alias("gap"), part(2).alias("match"))
+    if rule.group:
+        rows = F.zip_with(parts, part(rule.group + 2), lambda x, v: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), v.alias("value")))
+    else:
+        rows = F.transform(parts, lambda x: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), x["match"].alias("value")))
+    return let(rows, placed)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs (with doc_id and text) and one more column `spans`: array of (start, kind, end), kind being the rule's place."""
     queries = {i: trigram_query(r.pattern) for i, r in enumerate(rules)}
     indexed = {i: q for i, q in queries.items() if q != ANY}
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    rows = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
+    none = F.array().cast(NO_SPANS)
+    whole, own, mask, into = unused(["__text", "__id", "__mask", "spans"], docs.columns)
+    rows = docs.withColumn(whole, F.coalesce(F.col("text"), F.lit("")))
     if indexed:
         found = save(candidates(postings(docs.select("doc_id", "text"), indexed.values()), indexed), "secret-candidates")
         small = found.count() <= BROADCAST_ROWS
-        side = found.select(F.col("doc_id").alias("__id"), F.col("mask").alias("__mask"))
+        side = found.select(F.col("doc_id").alias(own), F.col("mask").alias(mask))
         side = F.broadcast(side) if small else side
-        rows = rows.join(side, rows["doc_id"].eqNullSafe(side["__id"]), "left").drop("__id")
+        rows = rows.join(side, rows["doc_id"].eqNullSafe(side[own]), "left").drop(own)
     else:
-        rows = rows.withColumn("__mask", F.lit(0))
-    text, each = F.col("__text"), []
+        rows = rows.withColumn(mask, F.lit(0))
+    text, each = F.col(whole), []
     for i, r in enumerate(rules):
-        may = F.coalesce(F.col("__mask").bitwiseAND(1 << i) != 0, F.lit(False)) if i in indexed else text.rlike(r.pattern)
+        may = F.coalesce(F.col(mask).bitwiseAND(1 << i) != 0, F.lit(False)) if i in indexed else text.rlike(r.pattern)
         each.append(F.when(may, matches(text, r, i)).otherwise(none))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.sort_array(F.concat(*each)).alias("spans"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.sort_array(F.concat(*each)).alias(into))
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -190,15 +200,27 @@ def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
 
 
+PAGE = 4096  # characters of the blocks that a text is cut into, as a place in a long one is found from its begin
+
+
 def redact(text: Column, spans: Column) -> Column:
     """The text with every stretch that spans cover replaced by MASK."""
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(MASK))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], more).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    def masked(pages: Column, ends: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            """The characters of a..b-1."""
+            first, last = F.floor(a / PAGE).cast("int"), F.floor(b / PAGE).cast("int")
+            page = lambda k: F.coalesce(F.get(pages, k), F.lit(""))
+            inner = F.array_join(F.slice(pages, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            far = F.concat(F.substring(page(first), a % PAGE + 1, F.lit(PAGE)), inner, F.substring(page(last), F.lit(1), b % PAGE))
+            return F.when(first == last, F.substring(page(first), a % PAGE + 1, b - a)).otherwise(far)
+
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        placed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), before(i).alias("from")))
+        parts = F.transform(F.filter(placed, lambda x: x["start"] >= x["from"]), lambda x: F.concat(between(x["from"], x["start"]), F.lit(MASK)))
+        return F.concat(F.array_join(parts, ""), between(before(F.size(ends)), F.length(text)))
+
+    whole = let(F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{PAGE}}}"), F.lit(0)), lambda pages: let(scanned(F.transform(spans, lambda s: s["end"]), F.greatest), lambda ends: masked(pages, ends)))
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 

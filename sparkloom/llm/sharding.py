@@ -5,8 +5,9 @@ Shards take turns; at its turn a shard claims the first slot of its permutation
 Every shard so gets an almost equal number of slots, and few slots change hands when a shard joins or leaves. The table has
 a fixed size, whatever the data, so it is broadcast; a row is placed by one hash and one lookup, without a shuffle.
 
-Defined results: a null key is hashed as the empty string. Equal keys share a slot. An empty table gives an empty result.
-More columns of the rows are passed through by `place`.
+Defined results: a null key is hashed as the empty string. Equal keys share a slot, repeated rows alike. An empty table gives an
+empty result. The length of other columns' texts does not matter. `place` passes all columns through, whatever their names; where
+one is named like an added column, the added one has an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SLOTS = 8191  # prime, over 100 times the shards
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
 
@@ -52,14 +55,14 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, into: str = "shard", slot: str = "slot") -> DataFrame:
     """rows with their slot and shard."""
     spark = rows.sparkSession
+    slot, into, at, filled_slot, owner = unused([slot, into, "__at", "__slot", "__owner"], rows.columns)
     owners = F.array(*[F.lit(x) for x in shards])
     numbers = F.lit(",".join(map(str, fill(shards, slots))))  # one literal, where an array would be one for each slot
-    filled = spark.range(1).select(F.posexplode(F.split(numbers, ",").cast("array<int>")).alias("__slot", "__owner"))
-    lookup = filled.select(F.col("__slot").cast("long").alias("__slot"), F.get(owners, F.col("__owner")).alias("__shard"))
-    keyed = rows.withColumn("__key_slot", slot_of(F.col(f"`{key}`"), slots))
-    joined = keyed.join(F.broadcast(lookup), keyed["__key_slot"] == lookup["__slot"])
-    kept = [F.col(f"`{c}`") for c in rows.columns if c not in (into, slot)]
-    return joined.select(*kept, F.col("__key_slot").alias(slot), F.col("__shard").alias(into))
+    filled = spark.range(1).select(F.posexplode(F.split(numbers, ",").cast("array<int>")).alias("slot", "owner"))
+    lookup = filled.select(F.col("slot").cast("long").alias(filled_slot), F.get(owners, F.col("owner")).alias(owner))
+    keyed = rows.withColumn(at, slot_of(F.col(f"`{key}`"), slots))
+    joined = keyed.join(F.broadcast(lookup), keyed[at] == lookup[filled_slot])
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(at).alias(slot), F.col(owner).alias(into))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

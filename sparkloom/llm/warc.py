@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, shared_dir
+from ..session import scratch
+from .common import save
 
 BROADCAST_ROWS = 500_000
 SALTS = 64
@@ -222,7 +223,7 @@ def convert(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame) -> str:
     """WARC files of pages (page_id, url, html, refers_to) in a new folder of the shared one; its path."""
-    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = scratch(pages.sparkSession, "warc")
     convert(pages).select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).text(path)
     return path
 

@@ -14,7 +14,8 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from sparkloom.llm import byte_bpe, mpeg_audio, quality_rules, secret_scans, sharding, warc
+from sparkloom import session
+from sparkloom.llm import byte_bpe, common, mpeg_audio, quality_rules, secret_scans, sharding, warc
 
 from brute import base_counts
 
@@ -322,3 +323,80 @@ def test_audio_probe_of_any_bytes(spark):
     assert [got[k]["payload_bytes_"] for k in range(1, 6)] == [None] * 4 + [64]
     assert [got[k]["frame_count"] for k in range(1, 6)] == [3, None, None, None, 1] and [got[k]["media_bytes"] for k in range(1, 6)][:4] == [1251, 8, None, 0]
     assert got[1]["duration_samples"] == 3456 and got[1]["feature_"].startswith("frames=3;")
+
+
+def test_clashing_names(spark):
+    """Columns named like the inner and the added ones of every operator that passes columns on."""
+    names = "__lines __worded __words __count_n_words quality __text __id __mask spans slot shard __at __slot __owner __row __new SPANS_ Slot_".split()
+    text = "This is a plain sentence of quite ordinary words in it with password=hunter22x inside."
+    rows = spark.createDataFrame([(1, text, 5, *names)], "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    kept = lambda r: [r[n] for n in names] == names
+    r = quality_rules.apply_rules(rows).first()
+    assert kept(r) and r["quality_"]["n_words"] == 14
+    r = secret_scans.scan(rows).first()
+    assert kept(r) and [tuple(s) for s in r["spans__"]] == [(text.index("password"), 0, text.index(" inside"))]
+    r = sharding.place(rows, "doc_id").first()
+    assert kept(r) and r["slot__"] == sharding.digest("1") % sharding.SLOTS and r["shard_"].startswith("shard-")
+    for stage in (quality_rules.filter_stage, secret_scans.redact_stage):
+        r = stage(spark, rows, "").first()
+        assert kept(r) and r.asDict().keys() == set(rows.columns)
+
+
+def test_many_secrets(spark):
+    """200,000 matches in one text, and masks in a text of many pages."""
+    text = "a token=abcdef1 b\n" * 200_000
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    r = secret_scans.scan(rows).select(secret_scans.F.size("spans").alias("n"), secret_scans.F.element_at("spans", -1).alias("last")).first()
+    assert r["n"] == 200_000 and tuple(r["last"]) == (len(text) - 16, 0, len(text) - 3)
+    assert secret_scans.redact_stage(spark, rows, "").first()["text"] == "a [REDACTED] b\n" * 200_000
+    assert time.perf_counter() - began < 100
+
+
+@pytest.mark.parametrize("page", [3, 7, 4096])
+def test_masks_across_pages(spark, monkeypatch, page):
+    """Overlapping and touching spans, and stretches without any, over pages of any size."""
+    monkeypatch.setattr(secret_scans, "PAGE", page)
+    random.seed(page)
+    rows = []
+    for i in range(120):
+        text = "".join(random.choices("ab é🙂\n", k=random.randint(0, 60)))
+        places = [sorted(random.choices(range(len(text) + 1), k=2)) for _ in range(random.choice([0, 1, 2, 6]))]
+        rows.append((i, text, sorted((a, 0, b) for a, b in places if a < b)))
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, spans {secret_scans.NO_SPANS}")
+    got = {r["doc_id"]: r["x"] for r in docs.select("doc_id", secret_scans.redact(secret_scans.F.col("text"), secret_scans.F.col("spans")).alias("x")).collect()}
+    for i, text, spans in rows:
+        out, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                out += text[at:a] + secret_scans.MASK
+            at = max(at, b)
+        assert got[i] == out + text[at:]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_secrets_by_broadcast_and_shuffle(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(secret_scans, "BROADCAST_ROWS", most)
+    listed = secret_scans.listed(secret_scans.F.filter("spans", lambda s: s["kind"] < 3))
+    got = Counter((r["text"], r["x"]) for r in secret_scans.scan(docs).select("text", listed.alias("x")).collect())
+    assert got == Counter((r["text"], spans_of(r["text"])) for r in docs.collect())
+
+
+@pytest.mark.parametrize("block", [1, 4, 256])
+def test_running_values(spark, monkeypatch, block):
+    monkeypatch.setattr(common, "BLOCK", block)
+    rows = spark.createDataFrame([([],), ([5],), ([3, 0, 7, 2, 2, 9, 1, 4, 4],)], "v array<int>")
+    got = [tuple(r) for r in rows.select(common.scanned(secret_scans.F.col("v"), lambda a, b: a + b), common.scanned(secret_scans.F.col("v"), secret_scans.F.greatest)).collect()]
+    assert got == [([], []), ([5], [5]), ([3, 3, 10, 12, 14, 23, 24, 28, 32], [3, 3, 7, 7, 7, 9, 9, 9, 9])]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda name, default=None: default)
+
+    class Fake:
+        conf = Conf
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: Conf)})
+
+    with pytest.raises(ValueError):
+        session.scratch(Fake, "x")
