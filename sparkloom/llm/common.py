@@ -52,7 +52,7 @@ def scanned(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     after = lambda acc, v: F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(join(acc["at"], v))).alias("out"))
 
     def carried(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), join))
+        totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda acc, v: join(acc, v)))
         return F.flatten(F.zip_with(blocks, fold(totals, F.lit(0), before), lambda x, start: fold(x, start, after)))
 
     cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
