@@ -227,16 +227,50 @@ def near_copies(texts):
     return more
 
 
-@pytest.mark.parametrize("block", [2000, 7])
-def test_jaccard(spark, texts, monkeypatch, block):
-    monkeypatch.setattr(jaccard_join, "VERIFY_BLOCK", block)
-    monkeypatch.setattr(jaccard_join.blocked, "__defaults__", (block,))
+def star(n, base, rng, most=6):
+    """Copies of a text in which a few words each are replaced, some by the same ones."""
+    out = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.choice(len(base), rng.integers(0, most), replace=False):
+            own[at] = f"other{rng.integers(0, 3)}" if rng.random() < 0.3 else f"own{k}"
+        out.append(" ".join(own))
+    return out
+
+
+SMALL = {"VERIFY_BLOCK": 7, "FAR_BLOCK": 5, "BLOCK": 7, "SHARE": 1}
+
+
+@pytest.mark.parametrize("settings", [{}, SMALL, SMALL | {"BROADCAST_ROWS": 0, "PIVOT_TEXTS": 3}, SMALL | {"PIVOT_TEXTS": 0}])
+def test_jaccard(spark, texts, monkeypatch, settings):
+    """Large groups with and without a pivot, near to it and far, by broadcast and by salts."""
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = np.random.default_rng(3)
     given = near_copies(texts)
+    for base in (20_000, 30_000):
+        words = [f"w{base}x{i}" for i in range(120 if base == 20_000 else 60)]
+        given |= {base + k: t for k, t in enumerate(star(60, words, rng))}
     rows = spark.createDataFrame(list(given.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.classify(rows).collect()}
     assert got == brute_classes(given)
 
 
+def test_near_group_is_not_copied(spark):
+    """Texts that differ little from what most of their group have are in no block: what is dealt doesn't grow with the group."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, k, 1, 700, t) for k, t in enumerate(star(700, words, rng, 4))]
+    members = spark.createDataFrame(rows, "root long, node long, copies long, texts long, text string")
+    merges, links, _ = jaccard_join.verify(members, 0.8)
+    assert links.count() == 700 and {r["links"] for r in links.collect()} == {699} and merges.count() == 699
+    part = __import__("pandas").DataFrame({"root": 1, "budget": 100, "w": [0, 10, 40, 60, 95, 300], "copies": [1, 2, 3, 4, 5, 6], "n": [1, 1, 1, 1, 1, 1]})
+    out = jaccard_join.within(part, 2)
+    assert out["linked"].tolist() == [15, 10, 10, 6, 1, 0] and out["far"].tolist() == [False] * 3 + [True] * 3
+    assert out["used"].all() and set(out["far_blocks"]) == {2} and set(out["near_blocks"]) == {2}
+    assert not jaccard_join.within(part[:3], 2)["used"].any()
+
+
 @pytest.mark.parametrize("depth", [1, 5, 6, 8])
 def test_climb(depth):
     """The merges join what all pairs below the prefix would, with fewer comparisons, and equal labels are runs."""
