@@ -6,23 +6,30 @@ file name. A record is its header line, so many bytes as declared, and a newline
 WARC record's identifier (a name-based UUID of page and digest), its date (14 digits to ISO 8601), its type, and its payload
 and block digests (SHA-1 in base 32).
 
+`read_arc_files` reads archives of storage, plain or gzipped (a member for each record, or one for all): a row a record. A further
+version block, as of archives that were joined, sets the fields from there on. A newline that is missing between records is no
+fault. A record is damaged if what follows its declared bytes is neither the end nor a header line: its block then goes up to the
+next header line, or to the end where there is none, and `problem` says so; lines that are no header are skipped to the next.
+
 Plan. Payload digests are computed by Spark; per digest the smallest page_id is found by a partial aggregation. Only digests
 of two or more pages are joined back: broadcast up to BROADCAST_ROWS of them, else by shuffle on the digest and a salt, so
-that a payload that a third of all pages share is dealt over SALTS tasks. Each task then writes its pages as an ARC file in
-memory, in parts of bounded size, alternately of either version, and converts it. The WARC files are written by Spark's text
-writer (a record ends in a newline, so a file is exactly its records), at most FILE_RECORDS each, to the shared folder, and read
-back as whole files and parsed by declared lengths.
+that a payload that a third of all pages share is dealt over SALTS tasks. Each task then writes its pages as ARC files in
+memory, alternately of either version, and converts them. Each becomes a WARC file, beginning with a warcinfo record, of at most
+FILE_BYTES or of one page. They are written by Spark's text writer (a record ends in a newline, so a file is exactly its records)
+to the shared folder, and read back as whole files and parsed by declared lengths.
 
 Defined results: null html is the empty payload. A null page_id never is the smallest; a payload of such pages only has
 responses only. Rows that repeat the smallest page_id are responses too. A null url is written as `unknown:`. An empty table
-gives an empty result. Other columns are not looked at.
+gives an empty result. A very long page is a file of its own. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
@@ -36,8 +43,7 @@ from .common import save
 
 BROADCAST_ROWS = 500_000
 SALTS = 64
-FILE_RECORDS = 1000
-PART_BYTES = 8_000_000
+FILE_BYTES = 32_000_000
 LEAST_BYTES = 0  # of a payload, for a revisit
 
 # Fixed values of the formats.
@@ -61,6 +67,7 @@ class ArcRecord:
     mime: str
     block: bytes
     status: int | None = None
+    problem: str | None = None
 
 
 def http_block(payload: bytes, mime: str) -> bytes:
@@ -85,31 +92,96 @@ def write_arc(records: list[ArcRecord], version: int, name: str = "pages.arc", d
     return b"".join(parts)
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an archive of either version; blank lines between records are skipped."""
-    fields, at = None, 0
-    while at < len(data):
-        if data[at] in b"\r\n":
-            at += 1
-            continue
-        stop = data.index(b"\n", at)
-        values = data[at:stop].decode("utf-8", "replace").rstrip("\r").split(" ")
-        length = int(values[-1])
-        block = data[stop + 1 : stop + 1 + length]
-        if len(block) != length:
-            raise ValueError(f"the record at {at} declares {length} bytes, {len(block)} are left")
-        at = stop + 1 + length
-        if fields is None:
-            lines = block.decode("utf-8", "replace").splitlines()
-            version = int(lines[0].split(" ")[0])
-            fields = lines[1].split(" ") if len(lines) > 1 else ARC_FIELDS[version].split(" ")
-            continue
-        spare = len(values) - len(fields)  # a type with spaces in it
-        if spare > 0:
-            values[3 : 4 + spare] = [" ".join(values[3 : 4 + spare])]
-        said = dict(zip(fields, values))
-        code = said.get("Result-code", "-")
-        yield ArcRecord(said["URL"], said["IP-address"], said["Archive-date"], said["Content-type"], block, int(code) if code.isdigit() else None)
+#: A header line: URL, address, date, and at its end the length.
+HEADER = re.compile(rb"[^ \r\n]+ [^ \r\n]+ [0-9]{4,17} [^\r\n]*?(-?[0-9]+)\r?(?:\n|$)")
+
+
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """The members of a gzipped archive, one by one; other bytes as they are. What can't be unzipped ends it."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    while data.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(31)
+        try:
+            yield member.decompress(data) + member.flush()
+        except zlib.error:
+            return
+        data = member.unused_data.lstrip(b"\0")
+
+
+def read_arc(data: bytes, strict: bool = True) -> Iterator[ArcRecord]:
+    """The records of an archive of either version, plain or gzipped; see above for damaged ones, which strict raises."""
+    fields = ARC_FIELDS[1].split(" ")
+    for part in unzipped(data):
+        at = 0
+        while at < len(part):
+            if part[at] in b"\r\n":
+                at += 1
+                continue
+            line = HEADER.match(part, at)
+            if line is None:
+                if strict:
+                    raise ValueError(f"no header line at {at}")
+                at = next_header(part, at)
+                continue
+            values = line.group().decode("utf-8", "replace").rstrip("\r\n").split(" ")
+            begin, length, problem = line.end(), int(line.group(1)), None
+            end = begin + length
+            if length < 0 or end > len(part) or not (end == len(part) or part[end] in b"\r\n" or HEADER.match(part, end)):
+                problem = f"{length} bytes declared"
+                if strict:
+                    raise ValueError(f"the record at {at} is damaged: {problem}")
+                end = next_header(part, begin)
+            block, at = part[begin:end], end
+            if problem:
+                block = block.removesuffix(b"\n")
+            if values[0].startswith("filedesc:"):
+                lines = block.decode("utf-8", "replace").splitlines()
+                version = lines[0].split(" ")[0] if lines else ""
+                fields = lines[1].split(" ") if len(lines) > 1 else ARC_FIELDS[2 if version == "2" else 1].split(" ")
+                continue
+            spare = len(values) - len(fields)  # a type with spaces in it
+            if spare > 0:
+                values[3 : 4 + spare] = [" ".join(values[3 : 4 + spare])]
+            said = dict(zip(fields, values))
+            code = said.get("Result-code", "-")
+            yield ArcRecord(values[0], values[1], values[2], values[3], block, int(code) if code.isdigit() else None, problem)
+
+
+def next_header(data: bytes, at: int) -> int:
+    """Where the next line begins that is a header; the end without one."""
+    while (at := data.find(b"\n", at) + 1) > 0:
+        if HEADER.match(data, at):
+            return at
+    return len(data)
+
+
+def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, url, ip, date, mime, status, payload, problem) of the records of ARC files of either version, plain or gzipped; payload:
+    what follows an HTTP header. A file is read by one task."""
+    schema = "file string, url string, ip string, date string, mime string, status int, payload binary, problem string"
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 5 + [pa.int32(), pa.binary(), pa.string()]
+        for batch in rows:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                held: list[tuple] = []
+                size = 0
+                for r in read_arc(content.as_py(), strict=False):
+                    held.append((name.as_py(), r.url, r.ip, iso_date(r.date), r.mime, r.status, payload_of(r.block), r.problem))
+                    size += len(r.block)
+                    if size > FILE_BYTES:
+                        yield table_of(held, kinds, schema)
+                        held, size = [], 0
+                if held:
+                    yield table_of(held, kinds, schema)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+
+
+def table_of(rows: list[tuple], kinds: list[pa.DataType], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split(" ")[0] for x in schema.split(", ")])
 
 
 def iso_date(digits: str) -> str:
@@ -127,15 +199,15 @@ def payload_of(block: bytes) -> bytes:
     return block[cut + 4 :] if block.startswith(b"HTTP/") and cut >= 0 else block
 
 
-def to_warc(record: ArcRecord, page: int | None, refers_to: int | None) -> bytes:
-    """The WARC record of an ARC record; a revisit of a page if refers_to is given."""
+def to_warc(record: ArcRecord, page: int | None, refers_to: int | None, info: str) -> bytes:
+    """The WARC record of an ARC record; a revisit of a page if refers_to is given. info: the identifier of the file's warcinfo."""
     payload = payload_of(record.block)
     digest = sha1_32(payload)
     lines = [
-        "WARC/1.0",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {record_id(page, digest)}",
         f"WARC-Date: {iso_date(record.date)}",
+        f"WARC-Warcinfo-ID: {info}",
         f"WARC-Target-URI: {record.url}",
         f"WARC-IP-Address: {record.ip}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -147,8 +219,20 @@ def to_warc(record: ArcRecord, page: int | None, refers_to: int | None) -> bytes
     if refers_to is not None:
         block = block[: len(block) - len(payload)]
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
-    lines += [f"WARC-Block-Digest: sha1:{sha1_32(block)}", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return whole_record(lines, block)
+
+
+def whole_record(lines: list[str], block: bytes) -> bytes:
+    head = ["WARC/1.0", *lines, f"WARC-Block-Digest: sha1:{sha1_32(block)}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def warc_file(legacy: bytes, pages: list[int | None], refers: list[int | None]) -> bytes:
+    """The WARC file of an ARC file, whose records are of these pages."""
+    info = f"<urn:uuid:{uuid.uuid5(NAMES, f'{hashlib.sha1(legacy).hexdigest()}/{pages[0]}')}>"
+    about = b"software: sparkloom\r\nformat: WARC File Format 1.0\r\ndescription: converted from an ARC file\r\n"
+    first = whole_record(["WARC-Type: warcinfo", f"WARC-Record-ID: {info}", "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: application/warc-fields"], about)
+    return first + b"".join(to_warc(r, i, to, info) for i, to, r in zip(pages, refers, read_arc(legacy), strict=True))
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -199,48 +283,56 @@ def originals(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(other, F.col("least")).alias("refers_to"))
 
 
-def convert(pages: DataFrame) -> DataFrame:
-    """One column, record: the WARC records of pages (page_id, url, html, refers_to) by way of ARC archives, less their last newline."""
+def convert(pages: DataFrame, most: int = FILE_BYTES) -> DataFrame:
+    """One column, file: WARC files of pages (page_id, url, html, refers_to) by way of ARC files, less their last newline."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        version = 1
+        version, size = 1, 0
+        ids, refers, records = [], [], []
+
+        def made() -> pa.RecordBatch:
+            out = warc_file(write_arc(records, version), ids, refers)[:-1]
+            return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["file"])
+
         for batch in rows:
-            ids, urls, refers = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            blocks = [http_block(h or b"", "text/html") for h in batch.column(2).cast(pa.binary()).to_pylist()]
-            start = 0
-            while start < len(ids):
-                stop, size = start, 0
-                while stop < len(ids) and (stop == start or size + len(blocks[stop]) < PART_BYTES):
-                    size += len(blocks[stop])
-                    stop += 1
-                legacy = write_arc([ArcRecord(urls[i] or "unknown:", "0.0.0.0", "20240101000000", "text/html", blocks[i]) for i in range(start, stop)], version)
-                made = [to_warc(r, ids[i], refers[i])[:-1] for i, r in zip(range(start, stop), read_arc(legacy), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
-                start, version = stop, 3 - version
-
-    return pages.mapInArrow(run, "record binary")
+            for page, url, html, to in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3)):
+                block = http_block(html.as_py() or b"", "text/html")
+                if records and size + len(block) > most:
+                    yield made()
+                    version, size = 3 - version, 0
+                    ids, refers, records = [], [], []
+                ids.append(page.as_py())
+                refers.append(to.as_py())
+                records.append(ArcRecord(url.as_py() or "unknown:", "0.0.0.0", "20240101000000", "text/html", block))
+                size += len(block)
+        if records:
+            yield made()
+
+    return pages.mapInArrow(run, "file binary")
 
 
 def write_archives(pages: DataFrame) -> str:
     """WARC files of pages (page_id, url, html, refers_to) in a new folder of the shared one; its path."""
     path = scratch(pages.sparkSession, "warc")
-    convert(pages).select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    convert(pages, FILE_BYTES).select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records of WARC files."""
 
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in rows:
             for content in batch.column(0):
                 found = [r for h, b in read_warc(content.as_py()) if (r := page_row(h, b))]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    yield table_of(found, kinds, schema)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.mapInArrow(run, schema)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,7 +201,11 @@ def test_arc(version):
         list(warc.read_arc(warc.write_arc(given, version)[:-40]))
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("few, most", [(500_000, 32_000_000), (0, 200)])
+def test_warc(spark, monkeypatch, few, most):
+    """By broadcast and by shuffle, in one file a task and in several."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(warc, "FILE_BYTES", most)
     rows = [(1, "u", "<a>"), (2, "u", "<a>"), (3, None, None), (4, "v", ""), (None, "w", "<a>"), (5, "x", "é\r\n\r\nWARC/1.0"), (1, "u", "<a>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     out = warc.read_archives(spark, warc.write_archives(warc.originals(pages))).collect()
@@ -212,6 +216,57 @@ def test_warc(spark):
     assert warc.read_archives(spark, warc.write_archives(warc.originals(none))).count() == 0
 
 
+def test_warc_files_are_bounded(spark):
+    """A page of 50 MB among a thousand: files of at most FILE_BYTES, or of one page, each beginning with a warcinfo."""
+    pages = spark.range(1000).selectExpr("id AS page_id", "'http://a/' || id AS url", "repeat(concat('<p>', id), if(id = 7, 12500000, 20000)) AS html").coalesce(1)
+    path = warc.write_archives(warc.originals(pages))
+    files = spark.read.format("binaryFile").load(path).select("length", "content").collect()
+    assert sorted(f["length"] > 33_000_000 for f in files)[-2:] == [False, True] and len(files) > 3
+    for f in files:
+        kinds = [h["warc-type"] for h, _ in warc.read_warc(bytes(f["content"]))]
+        assert kinds[0] == "warcinfo" and set(kinds[1:]) == {"response"} and (f["length"] < 33_000_000 or len(kinds) == 2)
+    out = warc.read_archives(spark, path)
+    assert out.agg(warc.F.count_distinct("page_id"), warc.F.sum("payload_bytes")).first() == pages.selectExpr("count(page_id)", "sum(length(html))").first()
+
+
+V1 = b"filedesc://x.arc 0.0.0.0 19960923142103 text/plain 76\n1 0 Old Crawler\nURL IP-address Archive-date Content-type Archive-length\n"
+V2 = b"filedesc://y.arc 0.0.0.0 19980101000000 text/plain 200 - - 0 y.arc 122\n2 0 Old Crawler\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+ONE = b"http://a.example/ 1.2.3.4 19970701000000 text/html 30\nHTTP/1.0 200 OK\r\n\r\nhello world"
+TWO = b"http://b.example/x 5.6.7.8 19980102030405 text/html; charset=x 404 ABC - 99 y.arc 5\nno\n\n\n"
+V1 = V1.replace(b" 76\n", b" %d\n" % (len(V1) - V1.index(b"\n") - 1))
+V2 = V2.replace(b" 122\n", b" %d\n" % (len(V2) - V2.index(b"\n") - 1))
+
+
+def test_arc_files(spark, tmp_path):
+    """Hand-written archives: either version, both in one, gzipped by record and whole, newlines missing, lengths wrong."""
+    import gzip
+
+    given = {
+        "one.arc": V1 + b"\n" + ONE + b"\n",
+        "two.arc": V2 + b"\n" + TWO + b"\n",
+        "joined.arc": V1 + ONE + b"\n" + V2 + TWO + ONE.replace(b"text/html 30", b"text/html 200 - - 7 y.arc 30"),  # some newlines missing
+        "members.arc.gz": b"".join(map(gzip.compress, (V2 + b"\n", TWO + b"\n", TWO + b"\n"))),
+        "whole.arc.gz": gzip.compress(V1 + b"\n" + ONE + b"\n"),
+        "damaged.arc": V1 + b"\nnot a header\n" + ONE.replace(b" 30\n", b" 12\n") + b"\n" + ONE + b"\n" + ONE.replace(b" 30\n", b" 3000\n"),
+        "cut.arc.gz": gzip.compress(V1 + b"\n") + gzip.compress(ONE)[:20],
+        "empty.arc": b"",
+    }
+    for name, data in given.items():
+        (tmp_path / name).write_bytes(data)
+    rows = warc.read_arc_files(spark, f"{tmp_path}").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["file"].rpartition("/")[2], []).append((r["url"][7:8], r["ip"], r["date"], r["mime"], r["status"], bytes(r["payload"]), r["problem"]))
+    one, two = ("a", "1.2.3.4", "1997-07-01T00:00:00Z", "text/html", None, b"hello world", None), ("b", "5.6.7.8", "1998-01-02T03:04:05Z", "text/html; charset=x", 404, b"no\n\n\n", None)
+    assert got["one.arc"] == [one] and got["two.arc"] == [two] and got["whole.arc.gz"] == [one] and got["members.arc.gz"] == [two, two]
+    assert got["joined.arc"] == [one, two, (*one[:4], 200, *one[5:])]
+    assert got["damaged.arc"] == [(*one[:6], "12 bytes declared"), one, (*one[:6], "3000 bytes declared")]
+    assert set(got) <= set(given) - {"empty.arc"} and len(got.get("cut.arc.gz", [])) <= 1
+    record = next(warc.read_arc(given["two.arc"]))
+    headers, block = next(warc.read_warc(warc.to_warc(record, 3, None, "<i>")))
+    assert headers["warc-date"] == "1998-01-02T03:04:05Z" and headers["warc-target-uri"] == "http://b.example/x" and block == b"no\n\n\n"
+
+
 @pytest.mark.parametrize("mark", [b"TAG", b"ID3\3\0\0\0\0\0\x10", b"\xff\xfa\xe8\x00", b"\xff" * 9])
 def test_audio_marks_in_payload(mark):
     """What looks like a tag or a header inside a payload, at every place from its end, is payload."""
