@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into sequences of a fixed number of words.
 
-Documents are dealt by hash into packing groups of about GROUP rows (their number follows the row count), so a hot source or
-a large cluster of copies is spread over all groups, and a task's memory is bounded. Within a group, documents go in order of
+Documents are dealt by a hash of id and cluster into packing groups of about GROUP rows (their number follows the row count), so
+a hot source or a large cluster of copies is spread over all groups, and a task's memory is bounded. Rows of groups that have over
+twice as many (the same row very often) are dealt anew by their place in the table. Within a group, documents go in order of
 falling length. A bin has its residual, and a bitmap of the sources and of the duplicate clusters that it holds; at most one
 document of each may be in a bin. Bins are ordered by residual: the search begins at the successor of the document's length
 and goes on to the next larger residual until a bin without a conflict is found, the tightest compatible one; else a new bin is
@@ -10,7 +11,8 @@ dropped.
 
 Defined results: a document without words (null, empty) has one row, of length 0 and null bin. A null source conflicts with
 nothing. Repeated rows are documents of one cluster, so they never share a bin. Ties in length go by id (nulls first), then
-text hash. An empty table gives an empty result. Other columns are not looked at.
+text hash. An empty table gives an empty result. A very long text becomes as many parts as it fills. Other columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import attach, save, words
 
 CAPACITY = 2048
 GROUP = 4000
@@ -100,10 +102,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster:
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    groups = max(1, -(-docs.count() // group))
     own = F.col(cluster) if cluster else F.when(F.col("text").isNotNull(), cluster_of(F.col("text")))
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), own.cast("long").alias("cluster"), F.size(words(F.col("text"))).alias("n"))
+    rows = save(rows, "pack-lengths")
+    groups = max(1, -(-rows.count() // group))
     rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", F.coalesce("cluster", F.lit(0))), F.lit(groups)))
+    large = save(rows.groupBy("group").agg(F.count("*").alias("rows")).filter(F.col("rows") > 2 * group), "pack-large")
+    if spread := large.agg(F.sum("rows")).first()[0]:
+        placed = rows.withColumn("place", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-spread // group))))
+        rows = attach(placed, large, ["group"], "place", "left")
+        rows = rows.withColumn("group", F.when(F.col("rows").isNull(), F.col("group")).otherwise(groups + F.col("place"))).drop("rows", "place")
     schema = "doc_id long, part int, bin_id long, slot int, bin_start int, doc_start int, length int"
     return rows.groupBy("group").applyInPandas(lambda part: pack_group(part, capacity), schema)
 

@@ -48,7 +48,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, save
+from . import common
+from .common import SALTS, attach, drop, salt_mask, salted, salts_of, save
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -60,11 +61,8 @@ SHARE = 16  # one of so many texts is looked at to find the prefixes with more
 VERIFY_BLOCK = 250  # texts of a component that are compared without a pivot
 FAR_BLOCK = 1000  # texts of a larger one that are compared by their differences in one task, with as many others
 PIVOT_TEXTS = 64  # of which a pivot is made, about
-SALTS = 16  # over which the rows of a hot key are dealt
 MARGIN = 6.0  # standard deviations of the sketch's estimate
 BATCH_CHARS = 4_000_000
-BROADCAST_ROWS = 300_000  # of some numbers each
-BROADCAST_BYTES = 32_000_000
 LOW = (1 << 63) - 1
 UNIT = 1_000_000  # thresholds are integers, in units of which there are so many, so that a pair at the threshold itself isn't lost to rounding
 LACKS = np.uint64(0xA5A5A5A5A5A5A5A5)  # tells a gram that is lacking from one that is added
@@ -254,33 +252,6 @@ def runs(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[
         yield bounded(rest, np.zeros(1, np.int64))
 
 
-def salted(member: str) -> Column:
-    return F.pmod(F.xxhash64(member, F.lit(13)), F.lit(SALTS)).cast("int")
-
-
-def salt_mask(member: str) -> Column:
-    """An aggregate: the salts that a group's rows have, as bits."""
-    return F.bit_or(F.call_function("shiftleft", F.lit(1), salted(member)))
-
-
-def salts_of(mask: str) -> Column:
-    return F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda z: F.col(mask).bitwiseAND(F.call_function("shiftleft", F.lit(1), z)) != 0)
-
-
-def attach(rows: DataFrame, side: DataFrame, on: list[str], member: str, how: str = "inner", size: str | None = None) -> DataFrame:
-    """rows joined with side, a saved table with a row at most for each value of the columns `on`, of which rows may have very many.
-
-    Broadcast up to BROADCAST_ROWS (and, given a binary column `size`, BROADCAST_BYTES), else dealt by a salt of the member."""
-    own = {c: f"__{c}" for c in on}
-    other = side.withColumnsRenamed(own)
-    match = [F.col(c) == F.col(name) for c, name in own.items()]
-    found = side.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(size)) if size else F.lit(0), F.lit(0)).alias("bytes")).first()
-    if found["n"] <= BROADCAST_ROWS and found["bytes"] <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(other), match, how).drop(*own.values())
-    other = other.withColumn("__z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(other, [*match, salted(member) == F.col("__z")], how).drop("__z", *own.values())
-
-
 def deal(rows: DataFrame, member: str) -> DataFrame:
     """rows with `block` and `pair`, one for each pair of blocks that a row has to be in: two far blocks, or a far and a near one.
 
@@ -642,4 +613,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def listed(keys: DataFrame) -> DataFrame:
     """Keys to join with, broadcast if few."""
     side = keys.select(F.col("key").alias("__key"))
-    return F.broadcast(side) if keys.count() <= BROADCAST_ROWS else side
+    return F.broadcast(side) if keys.count() <= common.BROADCAST_ROWS else side

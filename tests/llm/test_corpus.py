@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from sparkloom.llm import best_fit_packing, jaccard_join, language_id, lm_scoring
+from sparkloom.llm import best_fit_packing, common, jaccard_join, language_id, lm_scoring
 
 from brute import brute_classes, brute_training, cuts, log_sums
 
@@ -36,6 +36,16 @@ def test_packing(spark, request, which):
         assert len(known) == len(set(known))
 
 
+def test_packing_spreads_repeated_rows(spark, empty):
+    """20,000 times the same row: groups stay of bounded size, and no two of them share a bin."""
+    rows = spark.range(20_000).selectExpr("1L AS doc_id", "'a b c' AS text", "CAST(NULL AS STRING) AS source").union(spark.sql("SELECT 2L, 'x y', 's'"))
+    out = best_fit_packing.pack(rows).selectExpr("bin_id", "bin_id >> 24 AS g", "doc_id").collect()
+    sizes = Counter(r["g"] for r in out)
+    assert len(out) == 20_001 and max(sizes.values()) <= 2 * best_fit_packing.GROUP and len(sizes) > 3
+    assert len({r["bin_id"] for r in out if r["doc_id"] == 1}) == 20_000
+    assert best_fit_packing.pack(empty).count() == 0
+
+
 def test_best_fit_is_tightest():
     rng = np.random.default_rng(5)
     items = [(int(n), int(s), int(c)) for n, s, c in zip(rng.integers(1, 100, 300), rng.integers(0, 6, 300), rng.integers(0, 60, 300))]
@@ -147,6 +157,7 @@ def test_language(spark, corpus, docs, empty):
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert {r["lang_pred"] for r in language_id.identify(docs.select("doc_id", "text"), empty).collect()} == {"und"}
     assert language_id.filter_stage(spark, docs, "").columns == docs.columns
+    assert language_id.filter_stage(spark, empty, "").count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -245,7 +256,7 @@ SMALL = {"VERIFY_BLOCK": 7, "FAR_BLOCK": 5, "BLOCK": 7, "SHARE": 1}
 def test_jaccard(spark, texts, monkeypatch, settings):
     """Large groups with and without a pivot, near to it and far, by broadcast and by salts."""
     for name, value in settings.items():
-        monkeypatch.setattr(jaccard_join, name, value)
+        monkeypatch.setattr(common if name == "BROADCAST_ROWS" else jaccard_join, name, value)
     rng = np.random.default_rng(3)
     given = near_copies(texts)
     for base in (20_000, 30_000):
@@ -306,7 +317,7 @@ def test_jaccard_edge_cases(spark, docs, empty):
     kept = jaccard_join.keep_one(spark, docs, "")
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 3, 4, 5, None, 7, 8, 9])
-    assert jaccard_join.classify(empty.select("doc_id", "text")).count() == 0
+    assert jaccard_join.classify(empty.select("doc_id", "text")).count() == 0 and jaccard_join.keep_one(spark, empty, "").count() == 0
 
 
 def test_components(spark):

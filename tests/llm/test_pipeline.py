@@ -166,6 +166,13 @@ def test_whole(spark, steps, folder):
     assert packed(corpus_pipeline.run(spark, folder).collect()) == bins(steps[-1])
 
 
+def test_empty(spark, empty, tmp_path):
+    """No documents: every stage and the whole give no rows, with their columns."""
+    empty.select(COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}")
+    assert out.count() == 0 and "bin_id" in out.columns
+
+
 def test_clusters(spark):
     """Equal words are one cluster whatever the white space around them."""
     rows = spark.createDataFrame([(1, "a b", "x"), (2, "\n a\tB \n", "y"), (3, "c", "z")], "doc_id long, text string, source string")
