@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import best_fit_packing, jaccard_join, language_id, quality_rules, secret_scans
-from sparkloom.llm.common import save
+from sparkloom.llm.common import drop, save
 
 STAGES = [
     ("quality rules", quality_rules.filter_stage),
@@ -21,7 +21,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if before:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
