@@ -40,12 +40,13 @@ CLASSES = 20_000
 STATES = 16
 STICK = 0.9  # of the first transitions: the weight of staying in a state, without which training lingers where all states are alike
 PRIOR = 100  # words, dealt as in the corpus, that each state is taken to have emitted besides its own
-GAIN = 0.002  # of log10 likelihood a token; a round that gains less is the last
+GAIN = 0.005  # of log10 likelihood a token; a round that gains less is the last
 ROUNDS = 30  # at most
 HOT = 80_000
 HOT_BYTES = 128
 PART = 300_000  # distinct words that a task counts before it passes them on
 GROUP = 200_000  # tokens whose sums are held side by side
+SIDE = 64  # sequences side by side at least, however long
 BUFFER = 4_000_000  # tokens that are sorted by length before they are grouped
 BATCH = 3_000_000  # tokens scored side by side
 LOG10 = np.log(10)
@@ -120,6 +121,23 @@ def spans(active: np.ndarray, most: int) -> list[tuple[int, int]]:
     return [*out, (a, len(active))]
 
 
+def in_steps(flat: np.ndarray, offset: np.ndarray, active: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the steps a..b-1, sequence beside sequence, and the places where steps begin (the end is the last)."""
+    cuts = np.concatenate([[0], np.cumsum(active[a:b])])
+    step = np.repeat(np.arange(b - a), active[a:b])
+    return flat[offset[np.arange(len(step)) - cuts[step]] + step + a], cuts
+
+
+_held: list[np.ndarray] = []
+
+
+def workspace(rows: int, columns: int) -> list[np.ndarray]:
+    """Two arrays of so many rows at least, kept by the worker, as new ones cost more than what is done in them."""
+    if not _held or _held[0].shape[0] < rows or _held[0].shape[1] != columns:
+        _held[:] = [np.empty((rows, columns)) for _ in range(2)]
+    return _held
+
+
 def expected(model: Model, flat: np.ndarray, sizes: np.ndarray, most: int = GROUP) -> np.ndarray:
     """Baum-Welch counts of whole sequences, a column for each state: a row for each class (emissions), one for the starts, one
     for each state (moves from it), and a last one whose first number is the log likelihood."""
@@ -127,60 +145,75 @@ def expected(model: Model, flat: np.ndarray, sizes: np.ndarray, most: int = GROU
     order, active = side_by_side(sizes)
     offset = (np.cumsum(sizes) - sizes)[order]
     table, turned = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-    sums = np.zeros((k + s + 2, s))
-
-    def forward(now: np.ndarray, a: int, b: int, alpha: np.ndarray | None = None, scale: np.ndarray | None = None) -> np.ndarray:
-        place = 0
+    sums, moves = np.zeros((k + s + 2, s)), np.zeros((s, s))
+    parts = spans(active, most)
+    alphas, emitted = workspace(max(int(active[a:b].sum()) for a, b in parts), s)  # of a span's tokens, step by step
+    ones = np.ones((s, 1))
+
+    def forward(now: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """From the sums before step a: the span's classes, the places where its steps begin, one by its scales, and the sums behind it."""
+        seen, cuts = in_steps(flat, offset, active, a, b)
+        np.take(table, seen, axis=0, out=emitted[: len(seen)], mode="clip")
+        scale = np.empty((len(seen), 1))
+        bounds = cuts.tolist()
         for t in range(a, b):
-            n = active[t]
-            now = (now[:n] @ model.move if t else now[:n]) * table[flat[offset[:n] + t]]
-            total = now.sum(axis=1)
-            now /= total[:, None]
-            if alpha is not None:
-                alpha[place : place + n], scale[place : place + n] = now, total
-                place += n
-        return now
+            low, high = bounds[t - a], bounds[t - a + 1]
+            own = alphas[low:high]
+            if t:
+                np.matmul(now[: high - low], model.move, out=own)
+            else:
+                own[:] = now[: high - low]
+            own *= emitted[low:high]
+            np.matmul(own, ones, out=scale[low:high])
+            own /= scale[low:high]
+            now = own
+        return seen, cuts, scale, now
 
-    parts = spans(active, most)
     entries = [np.tile(model.start, (len(sizes), 1))]
     for a, b in parts[:-1]:
-        entries.append(forward(entries[-1], a, b))
+        entries.append(forward(entries[-1], a, b)[-1].copy())
     back = np.ones((0, s))
     for (a, b), entry in zip(reversed(parts), reversed(entries)):
-        cuts = np.concatenate([[0], np.cumsum(active[a:b])])
-        seen = np.concatenate([flat[offset[: active[t]] + t] for t in range(a, b)])
-        alpha, scale = np.empty((len(seen), s)), np.empty(len(seen))
-        forward(entry, a, b, alpha, scale)
+        seen, cuts, scale, _ = forward(entry, a, b)
+        into = emitted[: len(seen)]
+        into /= scale
+        bounds = cuts.tolist()
         for t in range(b - 1, a - 1, -1):
-            n, low, high = int(active[t]), int(cuts[t - a]), int(cuts[t - a + 1])
-            if len(back) < n:  # sequences that end here
-                back = np.concatenate([back, np.ones((n - len(back), s))])
-            into = table[seen[low:high]] * back / scale[low:high, None]
-            alpha[low:high] *= back
+            low, high = bounds[t - a], bounds[t - a + 1]
+            if len(back) < high - low:  # sequences that end here
+                back = np.concatenate([back, np.ones((high - low - len(back), s))])
+            own = into[low:high]
+            own *= back
+            alphas[low:high] *= back
             if t:
-                before = alpha[int(cuts[t - a - 1]) :][:n] if t > a else entry[:n]
-                sums[k + 1 : k + 1 + s] += before.T @ into
-                back = into @ turned
+                before = alphas[bounds[t - a - 1] :][: high - low] if t > a else entry[: high - low]
+                moves += before.T @ own
+                back = own @ turned
             else:
-                sums[k] = alpha[:high].sum(axis=0)
+                sums[k] = alphas[:high].sum(axis=0)
         for i in range(s):
-            sums[:k, i] += np.bincount(seen, weights=alpha[:, i], minlength=k)
+            sums[:k, i] += np.bincount(seen, weights=alphas[: len(seen), i], minlength=k)
         sums[-1, 0] += np.log(scale).sum()
-    sums[k + 1 : k + 1 + s] *= model.move
+    sums[k + 1 : k + 1 + s] = moves * model.move
     return sums
 
 
-def log_likelihood(model: Model, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def log_likelihood(model: Model, flat: np.ndarray, sizes: np.ndarray, most: int = GROUP) -> np.ndarray:
     """Natural log probability of each whole sequence, by the scaled forward recursion."""
     order, active = side_by_side(sizes)
     offset = (np.cumsum(sizes) - sizes)[order]
-    emit, total = np.ascontiguousarray(model.emit.T), np.zeros(len(sizes))
+    emit, total, ones = np.ascontiguousarray(model.emit.T), np.zeros(len(sizes)), np.ones((len(model.start), 1))
     now = np.tile(model.start, (len(sizes), 1))
-    for t, n in enumerate(active):
-        now = (now[:n] @ model.move if t else now[:n]) * emit[flat[offset[:n] + t]]
-        scale = now.sum(axis=1)
-        total[:n] += np.log(scale)
-        now /= scale[:, None]
+    for a, b in spans(active, most):
+        seen, cuts = in_steps(flat, offset, active, a, b)
+        emitted = workspace(len(seen), len(model.start))[0]
+        np.take(emit, seen, axis=0, out=emitted[: len(seen)], mode="clip")
+        for t, low, high in zip(range(a, b), cuts.tolist(), cuts[1:].tolist()):
+            now = now[: high - low] @ model.move if t else now[: high - low]
+            now *= emitted[low:high]
+            scale = now @ ones
+            now /= scale
+            total[: high - low] += np.log(scale[:, 0])
     out = np.empty(len(sizes))
     out[order] = total
     return out
@@ -245,7 +278,7 @@ def train(sequences: DataFrame, model: Model, rounds: int = ROUNDS, gain: float
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(shape)
             for values in buffers(rows):
-                for g in groups(sorted(values, key=len), GROUP):
+                for g in groups(sorted(values, key=len), GROUP, SIDE):
                     sums += expected(given.value, *g)
             yield counts_batch(sums)
 
@@ -288,11 +321,11 @@ def buffers(rows: Iterator[pa.RecordBatch], most: int = BUFFER) -> Iterator[list
         yield held
 
 
-def groups(values: list[bytes], most: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sequences in runs of about so many tokens."""
+def groups(values: list[bytes], most: int = BATCH, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sequences in runs of about so many tokens, of so many sequences at least."""
     start = size = 0
     for i, v in enumerate(values):
-        if size and size + len(v) // 2 > most:
+        if size and size + len(v) // 2 > most and i - start >= least:
             yield unpack(values[start:i])
             start, size = i, 0
         size += len(v) // 2
