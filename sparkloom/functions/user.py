@@ -18,6 +18,11 @@ def scalar(name: str, body: Callable[..., pd.Series], kind: str) -> Callable[...
     return F.pandas_udf(body, kind)
 
 
+def row_by_row(body: Callable[..., object], kind: str) -> Callable[..., Column]:
+    """A function of one row at a time: the slowest form, for what the others can't say."""
+    return F.udf(body, kind)
+
+
 @F.pandas_udf(T.DoubleType())
 def trimmed_mean(values: pd.Series) -> float:
     """The mean without the least and the greatest value; null for fewer than three. One group is in memory at a time."""
@@ -40,11 +45,22 @@ class Parts:
 
 
 def centred(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """rows with value less its group's mean."""
+    """rows with value less its group's mean. It shows the form, in which a worker holds a whole group: avg() over a window is the
+    better plan for this."""
     kind = rows.schema
     return rows.groupBy(*keys).applyInPandas(lambda part: part.assign(**{value: part[value] - part[value].mean()}), kind)
 
 
+def spread(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, spread): the greatest less the least value of each group, given as an Arrow table. It shows the form, as above."""
+
+    def run(part: pa.Table) -> pa.Table:
+        found = pc.min_max(part.column(value)).as_py()
+        return pa.table({key: part.column(key).slice(0, 1), "spread": pa.array([found["max"] - found["min"]], pa.float64())})
+
+    return rows.select(key, value).groupBy(key).applyInArrow(run, rows.select(key).schema.add("spread", "double"))
+
+
 def batch_map(rows: DataFrame, body: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Each Arrow batch through a function."""
 

@@ -11,10 +11,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Null where either has no length."""
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))

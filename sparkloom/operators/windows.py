@@ -1,14 +1,17 @@
-"""Window forms without a syntax of their own in Spark SQL."""
+"""Window forms without a syntax of their own in Spark SQL. Inner columns get names that the rows don't have."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..names import unused
+
 
 def qualify(rows: DataFrame, condition: Column) -> DataFrame:
     """Rows for which a condition on window functions holds."""
-    return rows.withColumn("__q", condition).filter("__q").drop("__q")
+    (holds,) = unused(["holds"], rows.columns)
+    return rows.withColumn(holds, condition).filter(F.col(holds)).drop(holds)
 
 
 def distinct_on(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -18,8 +21,9 @@ def distinct_on(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 def groups_frame(rows: DataFrame, keys: list[str], order: str, before: int, after: int, value: Column, into: str) -> DataFrame:
     """An aggregate over a GROUPS frame: so many peer groups before and after the row's own."""
-    ranked = rows.withColumn("__r", F.dense_rank().over(Window.partitionBy(*keys).orderBy(order)))
-    return ranked.withColumn(into, value.over(Window.partitionBy(*keys).orderBy("__r").rangeBetween(-before, after))).drop("__r")
+    (rank,) = unused(["rank"], rows.columns)
+    ranked = rows.withColumn(rank, F.dense_rank().over(Window.partitionBy(*keys).orderBy(order)))
+    return ranked.withColumn(into, value.over(Window.partitionBy(*keys).orderBy(rank).rangeBetween(-before, after))).drop(rank)
 
 
 def sessions(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
@@ -27,8 +31,32 @@ def sessions(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
     return rows.groupBy(key, F.session_window(at, gap).alias("s")).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), "n")
 
 
-def sum_around(rows: DataFrame, keys: list[str], order: str, before: int, after: int, value: str, into: str) -> DataFrame:
-    """A sum over a ROWS frame without the row itself: that of the rows before plus that of the rows after; null if neither has a value."""
+AGGREGATES = ("sum", "avg", "count", "min", "max")
+
+
+def excluding(rows: DataFrame, keys: list[str], order: str, before: int, after: int, value: str, into: str, what: str = "current row", how: str = "sum") -> DataFrame:
+    """An aggregate over a ROWS frame with an EXCLUDE clause: current row, group (the row and its peers) or ties (its peers only).
+
+    The frame is of constant length, so it is held as an array whose length these bounds limit; what is excluded is filtered out.
+    """
+    if what not in ("current row", "group", "ties") or how not in AGGREGATES:
+        raise ValueError(f"EXCLUDE {what} with {how}")
+    rank, number, frame = unused(["rank", "number", "frame"], rows.columns)
     by = Window.partitionBy(*keys).orderBy(order)
-    sides = F.sum(value).over(by.rowsBetween(-before, -1)), F.sum(value).over(by.rowsBetween(1, after))
-    return rows.withColumn(into, F.coalesce(sides[0] + sides[1], *sides))
+    rows = rows.withColumn(rank, F.rank().over(by)).withColumn(number, F.row_number().over(by))
+    held = F.struct(F.col(rank).alias("r"), F.col(number).alias("n"), F.col(value).alias("v"))
+    rows = rows.withColumn(frame, F.collect_list(held).over(Window.partitionBy(*keys).orderBy(number).rowsBetween(-before, after)))
+    own, peer = (lambda x: x["n"] == F.col(number)), (lambda x: x["r"] == F.col(rank))
+    keep = {"current row": lambda x: ~own(x), "group": lambda x: ~peer(x), "ties": lambda x: ~peer(x) | own(x)}[what]
+    values = F.transform(F.filter(F.col(frame), lambda x: keep(x) & x["v"].isNotNull()), lambda x: x["v"])
+    kind = rows.schema[value].dataType
+    total = F.aggregate(values, F.lit(0).cast(kind), lambda a, x: (a + x).cast(kind))
+    some = F.size(values) > 0
+    made = {
+        "sum": lambda: F.when(some, total),
+        "avg": lambda: F.when(some, total / F.size(values)),
+        "count": lambda: F.size(values).cast("long"),
+        "min": lambda: F.array_min(values),
+        "max": lambda: F.array_max(values),
+    }[how]()
+    return rows.withColumn(into, made).drop(rank, number, frame)

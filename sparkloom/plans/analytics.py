@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import windows
 from ..session import table
-from .registered import QUERIES, query, statement
+from .registered import query, statement
 
 # Predicates and shapes.
 statement("regex_filter", "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS digits FROM {part} WHERE regexp_extract(p_brand, '([0-9]+)', 1) >= '2'")
@@ -24,6 +24,11 @@ statement("null_safe_join", """SELECT a.k, a.n, b.m FROM (SELECT nullif(c_nation
 statement("lateral_join", "SELECT c_custkey, t.most FROM {customer}, LATERAL (SELECT max(o_totalprice) AS most FROM {orders} WHERE o_custkey = c_custkey) t")
 statement("interval_join", """SELECT a.event_id AS seen, b.event_id AS bought FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 12 HOURS
     WHERE a.event_type = 'view' AND b.event_type = 'purchase'""")
+statement("hash_join", "SELECT /*+ SHUFFLE_HASH(orders) */ l_orderkey, count(*) AS n, max(o_totalprice) AS most FROM {lineitem} AS lines JOIN {orders} AS orders ON l_orderkey = o_orderkey GROUP BY l_orderkey",
+    "SELECT l_orderkey, count(*) AS n, max(o_totalprice) AS most FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey")
+statement("asof_correlated", """SELECT event_id, (SELECT max_by(b.value, b.ts) FROM {events} b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts <= a.ts) AS price
+    FROM {events} a WHERE a.event_type = 'view'""",
+    """SELECT event_id, (SELECT arg_max(b.value, b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts <= a.ts) AS price FROM events a WHERE a.event_type = 'view'""")
 statement("using_join", "SELECT k, n, m FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY 1) JOIN (SELECT s_nationkey AS k, count(*) AS m FROM {supplier} GROUP BY 1) USING (k)")
 # Aggregates.
 statement("grouping_marks", """SELECT c_mktsegment, c_nationkey, CAST(grouping(c_mktsegment) AS BIGINT) AS g, CAST(grouping_id(c_mktsegment, c_nationkey) AS BIGINT) AS id, count(*) AS n
@@ -52,6 +57,17 @@ statement("sketch_distinct", """SELECT l_returnflag, abs(approx_count_distinct(l
 statement("sketch_quantiles", """SELECT l_returnflag, abs(approx_percentile(l_extendedprice, 0.5) - percentile(l_extendedprice, 0.5)) <= 0.02 * (max(l_extendedprice) - min(l_extendedprice)) AS close,
     abs(kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5D) - percentile(l_extendedprice, 0.5)) <= 0.05 * (max(l_extendedprice) - min(l_extendedprice)) AS kll FROM {lineitem} GROUP BY l_returnflag""",
     "SELECT DISTINCT l_returnflag, true AS close, true AS kll FROM lineitem")
+# Merged from partial sketches, as they are kept per day or per file.
+statement("sketch_union", """SELECT l_returnflag, abs(hll_sketch_estimate(hll_union_agg(h)) - max(exact)) <= 0.1 * max(exact) AS hll, abs(theta_sketch_estimate(theta_union_agg(t)) - max(exact)) <= 0.1 * max(exact) AS theta,
+    abs(kll_sketch_get_quantile_double(kll_merge_agg_double(k), 0.5D) - max(mid)) <= 0.05 * max(span) AS kll
+    FROM (SELECT l_returnflag, l_linenumber, hll_sketch_agg(l_partkey) AS h, theta_sketch_agg(l_partkey) AS t, kll_sketch_agg_double(l_extendedprice) AS k FROM {lineitem} GROUP BY ALL)
+    JOIN (SELECT l_returnflag AS flag, count(DISTINCT l_partkey) AS exact, percentile(l_extendedprice, 0.5) AS mid, max(l_extendedprice) - min(l_extendedprice) AS span FROM {lineitem} GROUP BY l_returnflag) ON flag = l_returnflag
+    GROUP BY l_returnflag""",
+    "SELECT DISTINCT l_returnflag, true AS hll, true AS theta, true AS kll FROM lineitem")
+statement("top_items", "SELECT t.item AS p_brand, t.count AS n FROM (SELECT explode(approx_top_k(p_brand, 100, 1000)) AS t FROM {part})", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
+statement("top_items_merged", """SELECT t.item AS event_type, t.count AS n FROM (SELECT explode(approx_top_k_estimate(approx_top_k_combine(a), 10)) AS t FROM
+    (SELECT approx_top_k_accumulate(event_type) AS a FROM {events} GROUP BY user_id))""", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+statement("collected", "SELECT o_custkey, array_sort(collect_list(o_orderkey)) AS orders FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, list_sort(list(o_orderkey)) AS orders FROM orders GROUP BY o_custkey")
 # Windows.
 statement("rank_shares", "SELECT p_partkey, CAST(dense_rank() OVER w AS BIGINT) AS d, percent_rank() OVER w AS p, cume_dist() OVER w AS c FROM {part} WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)")
 statement("frame_values", """SELECT event_id, first_value(value) OVER w AS f, last_value(value) OVER w AS l, nth_value(value, 2) OVER w AS n FROM {events}
@@ -83,7 +99,22 @@ def dearest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("exclude_frame", "SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS s FROM events")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    return windows.sum_around(rows, ["user_id"], "event_id", 2, 2, "value", "s").select("event_id", "s")
+    return windows.excluding(rows, ["user_id"], "event_id", 2, 2, "value", "s").select("event_id", "s")
+
+
+@query("exclude_group", "SELECT p_partkey, sum(p_size) OVER w AS s, max(p_size) OVER w AS m FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_type ROWS BETWEEN 200 PRECEDING AND 200 FOLLOWING EXCLUDE GROUP)")
+def other_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the parts of a brand, less those of the row's own type."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("long").alias("size"))
+    rows = windows.excluding(rows, ["p_brand"], "p_type", 200, 200, "size", "s", "group")
+    return windows.excluding(rows, ["p_brand"], "p_type", 200, 200, "size", "m", "group", "max").select("p_partkey", "s", "m")
+
+
+@query("exclude_ties", "SELECT p_partkey, count(p_size) OVER w AS n, avg(p_size) OVER w AS a FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_type ROWS BETWEEN 200 PRECEDING AND 200 FOLLOWING EXCLUDE TIES)")
+def without_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("long").alias("size"))
+    rows = windows.excluding(rows, ["p_brand"], "p_type", 200, 200, "size", "n", "ties", "count")
+    return windows.excluding(rows, ["p_brand"], "p_type", 200, 200, "size", "a", "ties", "avg").select("p_partkey", "n", "a")
 
 
 @query("windowed_distinct", "SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id) AS n FROM events")
@@ -94,9 +125,12 @@ def kinds_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(kinds, F.col("user_id").eqNullSafe(F.col("u"))).select("event_id", "n")
 
 
+@query("sample", "SELECT true AS near, true AS repeated, true AS inside")
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the lines, the same at each run; sampling has no oracle."""
-    return table(spark, sf_dir, "lineitem").sample(0.1, seed=7)
-
-
-QUERIES["sample"] = sample
+    """A tenth of the lines: their number is within six standard deviations, the same rows come at each run, all of the table."""
+    rows = table(spark, sf_dir, "lineitem")
+    some = lambda name: rows.sample(fraction=0.1, seed=7).agg(F.count("*").alias(name), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias(f"{name}_hash"))
+    outside = rows.sample(fraction=0.1, seed=7).exceptAll(rows).agg(F.count("*").alias("outside"))
+    counted = some("a").crossJoin(some("b")).crossJoin(outside).crossJoin(rows.agg(F.count("*").alias("all")))  # a row each
+    bound = F.abs(F.col("a") - 0.1 * F.col("all")) <= 6 * F.sqrt(0.09 * F.col("all"))
+    return counted.select(bound.alias("near"), ((F.col("a") == F.col("b")) & (F.col("a_hash") == F.col("b_hash"))).alias("repeated"), (F.col("outside") == 0).alias("inside"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import joins, windows
+from ..operators import joins, ranks, windows
 from ..session import table
 from . import analytics, scalars, streams, user_code  # noqa: F401  (they register their queries)
 from .registered import ORACLES, QUERIES, query, statement
@@ -46,7 +46,6 @@ statement("rollup", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM {custo
 statement("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 statement("grouping_sets", "SELECT p_brand, p_size, count(*) AS n FROM {part} GROUP BY GROUPING SETS ((p_brand), (p_size), ())")
 statement("statistics", "SELECT l_returnflag, stddev_samp(l_quantity) AS sd, var_pop(l_tax) AS v, corr(l_quantity, l_extendedprice) AS r FROM {lineitem} GROUP BY l_returnflag")
-statement("median", "SELECT l_returnflag, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS mid FROM {lineitem} GROUP BY l_returnflag")
 statement("having", "SELECT o_custkey, sum(o_totalprice) AS total FROM {orders} GROUP BY o_custkey HAVING count(*) > 12")
 # Windows.
 statement("ranking", "SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, CAST(ntile(4) OVER w AS BIGINT) AS q FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)")
@@ -70,6 +69,16 @@ statement("tumbling_counts", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP_NT
     "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, event_type")
 
 
+@query("median", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS mid FROM lineitem GROUP BY l_returnflag")
+def median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.percentile(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.5, "mid")
+
+
+@query("high_percentile", "SELECT quantile_cont(o_totalprice, 0.99) AS p FROM orders")
+def high_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.percentile(table(spark, sf_dir, "orders"), [], "o_totalprice", 0.99, "p")
+
+
 @query("asof_join", """SELECT v.event_id, v.user_id, p.value AS price FROM (SELECT * FROM events WHERE event_type = 'view') v
     ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') p ON v.user_id = p.user_id AND v.ts >= p.ts""")
 def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +87,26 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.asof_join(events.filter("event_type = 'view'").select("event_id", "user_id", "ts"), bought, "ts", ["user_id"], ["price"]).select("event_id", "user_id", "price")
 
 
+@query("asof_forward", """SELECT v.event_id, p.value AS price FROM (SELECT * FROM events WHERE event_type = 'view') v
+    ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') p ON v.user_id = p.user_id AND v.ts <= p.ts""")
+def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    bought = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("price"))
+    return joins.asof_join(events.filter("event_type = 'view'").select("event_id", "user_id", "ts"), bought, "ts", ["user_id"], ["price"], "forward").select("event_id", "price")
+
+
+@query("asof_nearest", """SELECT event_id, CASE WHEN gap <= INTERVAL 6 HOUR THEN bought END AS bought FROM (
+    SELECT v.event_id, p.event_id AS bought, greatest(v.ts, p.ts) - least(v.ts, p.ts) AS gap,
+        row_number() OVER (PARTITION BY v.event_id ORDER BY greatest(v.ts, p.ts) - least(v.ts, p.ts), p.ts) AS n
+    FROM (SELECT * FROM events WHERE event_type = 'view') v LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON v.user_id = p.user_id) WHERE n = 1""")
+def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest purchase of the same user, if it is no further off than six hours."""
+    events = table(spark, sf_dir, "events")
+    bought = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("bought"))
+    views = events.filter("event_type = 'view'").select("event_id", "user_id", "ts")
+    return joins.asof_join(views, bought, "ts", ["user_id"], ["bought"], "nearest", F.expr("INTERVAL 6 HOURS")).select("event_id", "bought")
+
+
 @query("range_join", "SELECT a.p_partkey, b.s_suppkey FROM part a JOIN supplier b ON a.p_retailprice BETWEEN b.s_acctbal AND b.s_acctbal + 500")
 def price_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 500).alias("high"))
@@ -109,4 +138,4 @@ def cosine_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     first = F.broadcast(rows.filter("vec_id = 0").select(F.col("embedding").alias("other"), F.lit(1).alias("one")))  # one row
     joined = rows.withColumn("k", F.lit(1)).join(first, F.col("k") == F.col("one"))
-    return joined.select("vec_id", F.try_divide(vectors.dot(F.col("embedding"), F.col("other")), F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding")) * vectors.dot(F.col("other"), F.col("other")))).alias("c"))
+    return joined.select("vec_id", vectors.cosine(F.col("embedding"), F.col("other")).alias("c"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import TABLES, table
+from ..sql import guarded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,7 @@ def query(name: str, oracle: str | None = None):
 
 def statement(name: str, sql: str, oracle: str | None = None) -> None:
     """A query that is one SQL statement; tables stand in braces. The oracle is the same statement unless given."""
+    sql = guarded(sql)
     used = [t for t in TABLES if "{" + t + "}" in sql]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ statement("text_functions", """SELECT p_partkey, initcap(p_name) AS i, translate
     """SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS i, translate(p_type, 'AEIOU', 'aeiou') AS t, replace(p_brand, '#', '-') AS r,
     rpad(p_brand, 12, '.') AS p, CAST(instr(p_name, 'a') AS INT) AS a, concat_ws('|', p_brand, p_type) AS c, repeat('ab', p_size % 3) AS b, left(p_name, 2) AS l, right(p_name, 2) AS e, CAST(length(p_name) AS INT) AS n,
     sha256(p_name) AS h, CAST(ascii(p_type) AS INT) AS k FROM part""")
+statement("trims_micros", "SELECT o_orderkey, ltrim(concat('  ', o_orderpriority, ' ')) AS l, rtrim(concat(' ', o_orderpriority, '  ')) AS r, unix_micros(CAST(o_orderdate AS TIMESTAMP)) AS u FROM {orders}",
+    "SELECT o_orderkey, ltrim('  ' || o_orderpriority || ' ') AS l, rtrim(' ' || o_orderpriority || '  ') AS r, epoch_us(o_orderdate) AS u FROM orders")
 statement("regex_functions", "SELECT p_partkey, regexp_replace(p_brand, '[0-9]', 'x') AS r, p_name RLIKE '^[a-m]' AS m, regexp_count(p_name, '[aeiou]') AS n, split(p_name, ' ')[0] AS w FROM {part}",
     "SELECT p_partkey, regexp_replace(p_brand, '[0-9]', 'x', 'g') AS r, regexp_matches(p_name, '^[a-m]') AS m, CAST(len(regexp_extract_all(p_name, '[aeiou]')) AS INT) AS n, string_split(p_name, ' ')[1] AS w FROM part")
 statement("time_functions", """SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS d, dayofweek(o_orderdate) - 1 AS w, weekofyear(o_orderdate) AS k, dayofyear(o_orderdate) AS y,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..streaming import sinks, state, windows
-from .registered import QUERIES, query
+from .registered import query
 
 
 def plain_time(rows: DataFrame, *columns: str) -> DataFrame:
@@ -35,9 +35,47 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
 def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State holds each pair of user and type once, however long the stream."""
-    rows = sinks.file_stream(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates()
-    return sinks.to_table(rows, "distinct", "append")
+    """State holds the pairs seen within the watermark's delay, not all there ever were; files may come in any order within it."""
+    rows = windows.deduplicated(sinks.file_stream(spark, sf_dir, "events"), "ts", ["user_id", "event_type"], "60 days")
+    return sinks.to_table(rows.select("user_id", "event_type"), "distinct", "append")
+
+
+LATE = 100  # of the earliest events come last
+
+
+def late_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """All events but the earliest ones, then nothing, then those: a batch drops what is behind the watermark of the one before the last."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    first = rows.orderBy("ts", "event_id").limit(LATE)
+    return [rows.join(first.select("event_id"), "event_id", "left_anti").select(rows.columns), rows.limit(0), first]
+
+
+def closing(spark: SparkSession, sf_dir: str, days: list[int]) -> list[DataFrame]:
+    """One event each, so many days after the last one: they close the windows before them."""
+    rows = table(spark, sf_dir, "events").agg(F.max("ts").alias("ts"))
+    return [rows.select(F.lit(-1).cast("long").alias("event_id"), F.expr(f"ts + INTERVAL {d} DAYS").alias("ts"), F.lit("end").alias("event_type")) for d in days]
+
+
+@query("stream_late_distinct", f"SELECT event_id FROM events QUALIFY row_number() OVER (ORDER BY ts, event_id) > {LATE}")
+def late_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event twice, the earliest after the watermark has passed them: each other one comes out once, the late ones never."""
+    rest, _, first = late_parts(spark, sf_dir)
+    stream = sinks.replayed(spark, "late-distinct", [rest, rest, first])
+    return sinks.to_table(windows.deduplicated(stream, "ts", ["event_id"], "2 days").select("event_id"), "late-distinct", "append")
+
+
+@query("stream_late_tumbling", f"""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM (SELECT * FROM events QUALIFY row_number() OVER (ORDER BY ts, event_id) > {LATE}) GROUP BY 1, 2""")
+def late_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: a window comes out once, when the watermark has passed it; late rows don't count. A last event closes all others."""
+    stream = sinks.replayed(spark, "late-tumbling", [*late_parts(spark, sf_dir), *closing(spark, sf_dir, [10, 20])])
+    counted = sinks.to_table(windows.tumbling(stream, "ts", "1 hour", ["event_type"]), "late-tumbling", "append")
+    return plain_time(counted.filter("event_type <> 'end'"), "start")
+
+
+@query("sink_memory", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = windows.tumbling(sinks.file_stream(spark, sf_dir, "events"), "ts", "1 day", ["event_type"])
+    return plain_time(sinks.in_memory(counted, "days", "complete"), "start")
 
 
 @query("stream_interval_join", """SELECT a.event_id AS seen, b.event_id AS bought FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 12 HOURS
@@ -62,10 +100,10 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
 
 
+@query("stream_chained_windows", "SELECT date_trunc('day', ts) AS start, count(DISTINCT date_trunc('hour', ts)) AS windows, count(*) AS n FROM events GROUP BY 1")
 def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append mode holds back the windows that the watermark has not passed, so there is no batch oracle."""
-    rows = windows.rolled_up(sinks.file_stream(spark, sf_dir, "events"), "ts", "1 hour", "1 day")
-    return plain_time(sinks.to_table(rows, "chained", "append"), "start")
-
-
-QUERIES["stream_chained_windows"] = chained
+    """Hours, then days of hours. Closing events let the watermark pass all windows of both; theirs are filtered out."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    stream = sinks.replayed(spark, "chained", [events, *closing(spark, sf_dir, [10, 20, 30])])
+    rows = plain_time(sinks.to_table(windows.rolled_up(stream, "ts", "1 hour", "1 day"), "chained", "append"), "start")
+    return rows.join(F.broadcast(events.agg(F.max("ts").alias("last"))), F.col("start") <= F.col("last")).drop("last")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import user
 from ..session import scratch, table
-from ..sources import files
+from ..sources import files, generated, jdbc
 from .registered import ORACLES, QUERIES, query
 
 
@@ -25,6 +27,29 @@ def aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(user.trimmed_mean("p_retailprice").alias("mean"))
 
 
+@query("udf_row", "SELECT p_partkey, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS name FROM part")
+def row_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = user.row_by_row(lambda name: None if name is None else " ".join(reversed(name.split(" "))), "string")
+    return table(spark, sf_dir, "part").select("p_partkey", turned("p_name").alias("name"))
+
+
+@query("udf_window", """SELECT p_partkey, CASE WHEN count(*) OVER w > 2 THEN (sum(p_retailprice) OVER w - min(p_retailprice) OVER w - max(p_retailprice) OVER w) / (count(*) OVER w - 2) END AS mean
+    FROM part WINDOW w AS (PARTITION BY p_brand)""")
+def over_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", user.trimmed_mean("p_retailprice").over(Window.partitionBy("p_brand")).alias("mean"))
+
+
+@query("apply_arrow", "SELECT p_brand, max(p_retailprice) - min(p_retailprice) AS spread FROM part GROUP BY p_brand")
+def arrow_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user.spread(table(spark, sf_dir, "part"), "p_brand", "p_retailprice")
+
+
+@query("sql_table_function", "SELECT n_nationkey, unnest(string_split(n_name, '_')) AS part, CAST(generate_subscripts(string_split(n_name, '_'), 1) - 1 AS INT) AS place FROM nation")
+def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION name_bits(name STRING) RETURNS TABLE (place INT, part STRING) RETURN SELECT pos, col FROM posexplode(split(name, '_'))")
+    return spark.sql("SELECT n_nationkey, bits.part, bits.place FROM {nation}, LATERAL name_bits(n_name) bits", nation=table(spark, sf_dir, "nation"))
+
+
 @query("udf_arrow", "SELECT p_partkey, CAST(octet_length(encode(p_name)) AS BIGINT) AS n FROM part")
 def arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", user.text_bytes("p_name").alias("n"))
@@ -82,3 +107,33 @@ round_trip("orc", "orders", {})
 round_trip("json", "supplier", {})
 round_trip("csv", "supplier", {"header": "true"})
 round_trip("xml", "supplier", {"rowTag": "row"})
+
+
+@query("format_text", "SELECT n_name AS value FROM nation")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "text-nation")
+    files.write(table(spark, sf_dir, "nation").select(F.col("n_name").alias("value")), "text", path)
+    return files.read(spark, "text", path)
+
+
+@query("format_binary", "SELECT n_name AS value FROM nation")
+def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files read whole, as bytes, and cut into lines."""
+    path = scratch(spark, "binary-nation")
+    files.write(table(spark, sf_dir, "nation").select(F.col("n_name").alias("value")), "text", path)
+    content = F.decode("content", "UTF-8")
+    return files.read(spark, "binaryFile", f"{path}/*.txt").select(F.explode(F.array_remove(F.split(content, "\n"), "")).alias("value"))
+
+
+@query("source_python", "SELECT range AS n FROM range(5000)")
+def python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.dataSource.register(generated.Numbers)
+    return spark.read.format("numbers").option("rows", 5000).option("parts", 4).load()
+
+
+@query("source_jdbc", "SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey > 1")
+def jdbc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to and read from the database that comes with Spark, which lives in one JVM: for local runs only."""
+    url, driver = f"jdbc:derby:memory:loom{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    jdbc.write(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), url, "nation", **driver)
+    return jdbc.read(spark, url, "nation", "n_nationkey", (0, 25), 3, **driver).filter("n_regionkey > 1").toDF("n_nationkey", "n_regionkey")

@@ -30,6 +30,8 @@ def session(app: str = "sparkloom", cpus: int | str = 8, **conf: str) -> SparkSe
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        # State beyond memory, and custom state, need it; it holds for every stream of the session.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | conf
     return SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=settings).getOrCreate()
 

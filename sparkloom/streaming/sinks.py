@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch
@@ -18,6 +21,23 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, per_trigger: int =
     return reader.parquet(path)
 
 
+def replayed(spark: SparkSession, name: str, parts: list[DataFrame]) -> DataFrame:
+    """A stream whose batches are these tables, in order, all of one schema: written as one file each, to replay late arrivals."""
+    path = scratch(spark, f"replay-{name}")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)  # files are taken by their time, in milliseconds
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def in_memory(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """The same in a table in the driver's memory: for small results only."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    place = scratch(stream.sparkSession, f"memory-{name}")
+    stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(table)
+
+
 def to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """What a stream gives for all that is there now. Every batch is written by the executors to a folder of its own number,
     overwritten if the batch is repeated; in complete mode the last one counts, in the other modes all of them."""

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 class Totals(StatefulProcessor):
@@ -29,7 +29,9 @@ class Totals(StatefulProcessor):
 
 
 def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, total) after each batch. The state store has to be RocksDB's."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    """(key, n, total) after each batch. The session's state store has to be RocksDB's, as `session()` sets it."""
+    given = stream.sparkSession.conf.get(PROVIDER, "")
+    if not given.endswith("RocksDBStateStoreProvider"):
+        raise ValueError(f"custom state needs {PROVIDER} to be RocksDB's")
     rows = stream.selectExpr(f"CAST({key} AS BIGINT) AS key", f"CAST({value} AS DOUBLE) AS value").groupBy("key")
     return rows.transformWithStateInPandas(Totals(), outputStructType="key long, n long, total double", outputMode="update", timeMode="none")

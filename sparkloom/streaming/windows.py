@@ -17,7 +17,7 @@ def tumbling(stream: DataFrame, at: str, width: str, keys: list[str], late: str
 
 
 def deduplicated(stream: DataFrame, at: str, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """The first row of each key within the watermark's delay."""
+    """The first row of each key within the watermark's delay; rows behind the watermark are dropped, and so is state it has passed."""
     return timed(stream, at, late).dropDuplicatesWithinWatermark(keys)
 
 
