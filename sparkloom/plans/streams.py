@@ -96,7 +96,8 @@ def static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_totals", "SELECT user_id AS key, count(*) AS n, sum(value) AS total FROM events GROUP BY 1")
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Custom state; of the rows that batches gave for a key the last has the highest count."""
-    rows = sinks.to_table(state.running_totals(sinks.file_stream(spark, sf_dir, "events"), "user_id", "value"), "totals", "update")
+    with state.rocks(spark):
+        rows = sinks.to_table(state.running_totals(sinks.file_stream(spark, sf_dir, "events"), "user_id", "value"), "totals", "update")
     return rows.groupBy("key").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
 
 

@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """RocksDB's state store for the streams that are started within, in sessions that `session()` didn't make."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 class Totals(StatefulProcessor):
@@ -30,8 +43,7 @@ class Totals(StatefulProcessor):
 
 def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, total) after each batch. The session's state store has to be RocksDB's, as `session()` sets it."""
-    given = stream.sparkSession.conf.get(PROVIDER, "")
-    if not given.endswith("RocksDBStateStoreProvider"):
+    if stream.sparkSession.conf.get(PROVIDER) != ROCKS:
         raise ValueError(f"custom state needs {PROVIDER} to be RocksDB's")
     rows = stream.selectExpr(f"CAST({key} AS BIGINT) AS key", f"CAST({value} AS DOUBLE) AS value").groupBy("key")
     return rows.transformWithStateInPandas(Totals(), outputStructType="key long, n long, total double", outputMode="update", timeMode="none")
