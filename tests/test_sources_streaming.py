@@ -60,3 +60,30 @@ def test_late_rows_are_dropped(spark, tmp_path):
         counted.writeStream.foreachBatch(lambda rows, n: rows.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["start"].day, r["start"].hour, r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(1, 0, 1), (1, 1, 1), (2, 6, 1), (2, 7, 1)]
+
+
+def test_ranking_windows_are_refused(spark):
+    """Streams have no ranking over all rows; Spark says so when the query is started."""
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    stream = sinks.file_stream(spark, "/root/testdata/sf0.001", "events")
+    ranked = stream.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")))
+    with pytest.raises(AnalysisException, match="NON_TIME_WINDOW_NOT_SUPPORTED_IN_STREAMING"):
+        sinks.to_table(ranked, "ranked", "append")
+
+
+def test_custom_state_names_its_store(spark):
+    """Without RocksDB's store the error says which setting is missing."""
+    from sparkloom.streaming import state
+
+    before = spark.conf.get(state.PROVIDER)
+    spark.conf.set(state.PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        with pytest.raises(ValueError, match=state.PROVIDER):
+            state.running_totals(sinks.file_stream(spark, "/root/testdata/sf0.001", "events"), "user_id", "value")
+        with state.rocks(spark):
+            assert spark.conf.get(state.PROVIDER) == state.ROCKS
+    finally:
+        spark.conf.set(state.PROVIDER, before)
