@@ -11,7 +11,7 @@ of documents that it is linked to.
    Rows (prefix, tail of further labels, text, sketch) are dealt by that prefix and sorted by prefix and tail, so that each
    task has whole subtries as sorted runs. Within one, matching begins at full depth and prefixes are shortened label by label,
    until all texts below are joined or the target recall is reached (`climb`). Texts that a shorter prefix brings together and
-   that are not joined yet are compared by their sketch, a bit of each MinHash, with a margin of some standard deviations;
+   that are not joined yet are compared by their sketch, a bit of each of SKETCH MinHashes, with a margin of some standard deviations;
    one edge per merge (not per pair) is emitted.
 3. Components of these edges by alternating large and small stars, in the shared folder.
 4. Verification. All texts of a component are compared exactly, by their whole gram sets. Only counts and merges leave a task.
@@ -54,7 +54,8 @@ from .common import SALTS, attach, drop, salt_mask, salted, salts_of, save
 GRAM = 5
 THRESHOLD = 0.8
 TREES = 32
-DEPTH = 8
+DEPTH = 16
+SKETCH = 256  # bits, of as many MinHashes
 RECALL = 0.9999
 BLOCK = 2000  # rows of a prefix that are compared by sketch in one task
 SHARE = 16  # one of so many texts is looked at to find the prefixes with more
@@ -174,7 +175,7 @@ def signatures(docs: DataFrame, key: str, gram: int = GRAM, depth: int | None =
                 for k in range(used):
                     code = mix(code * np.uint64(0x9E3779B97F4A7C15) + trees[:, :, k])
                 prefixes = signed(np.ascontiguousarray(code))
-                sketches = np.packbits((mins & 1).astype(np.uint8), axis=1).view(np.int64)
+                sketches = np.packbits((mins[:, :SKETCH] & 1).astype(np.uint8), axis=1).view(np.int64)
             halves = [(None, None) if n is None else (int.from_bytes(n[:8], "little", signed=True), int.from_bytes(n[8:], "little", signed=True)) for n in names]
             lists = [pa.array([of[place[n]] if n is not None else None for n in names], pa.list_(pa.int64())) for of in (prefixes, below, sketches)]
             own = pa.array(np.arange(number, number + len(names)))
@@ -313,14 +314,14 @@ def hot_prefixes(rows: DataFrame, most: int) -> DataFrame | None:
 
 def differing(a: str, b: str) -> Column:
     """The bits in which two sketches differ."""
-    words = TREES * DEPTH // 64
+    words = SKETCH // 64
     each = [F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(words)]
     return sum(each[1:], each[0])
 
 
 def forest_edges(texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: merges of texts (node, prefixes, tails, sketch) that share a prefix and have close sketches."""
-    most, depth = close(TREES * DEPTH, threshold), prefix_depth(threshold)
+    most, depth = close(SKETCH, threshold), prefix_depth(threshold)
     # A signed number sorts like its bits do once the top one is turned.
     zipped = F.explode(F.arrays_zip("prefixes", F.transform("tails", lambda t: t.bitwiseXOR(F.lit(-LOW - 1))).alias("tails")))
     rows = texts.select(zipped.alias("at"), "node", "sketch").select(F.col("at.prefixes").alias("prefix"), F.col("at.tails").alias("tail"), "node", "sketch")
