@@ -431,7 +431,7 @@ def linked_pairs(sets: list[np.ndarray], weight: np.ndarray, budget: int, left:
             yield i, right[np.nonzero(hit)[0]]
 
 
-def differences(members: DataFrame, limit: int) -> DataFrame:
+def differences(members: DataFrame, limit: int, gram: int = GRAM) -> DataFrame:
     """(root, node, copies, large, w, budget, d) of members (root, node, copies, large, text, pivot: sorted gram hashes, null for none)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +440,7 @@ def differences(members: DataFrame, limit: int) -> DataFrame:
         for batch in rows:
             weights, budgets, made = [], [], []
             for text, given in zip(batch.column(4).cast(pa.binary()), batch.column(5)):
-                grams = np.unique(gram_hashes(text.as_py() or b""))
+                grams = np.unique(gram_hashes(text.as_py() or b"", gram))
                 if (given := given.as_py()) != raw:
                     raw, pivot = given, np.frombuffer(given, np.uint64) if given else none
                 added, lacking = grams, none
@@ -458,12 +458,12 @@ def differences(members: DataFrame, limit: int) -> DataFrame:
     return members.select("root", "node", "copies", "large", "text", "pivot").mapInArrow(run, "root long, node long, copies long, large boolean, w long, budget long, d binary")
 
 
-def pivots(members: DataFrame) -> DataFrame:
+def pivots(members: DataFrame, gram: int = GRAM) -> DataFrame:
     """(root, pivot) of the large components of members (root, node, texts: of the component, text): the grams that most of about
     PIVOT_TEXTS of its texts have, chosen by hash."""
 
     def most(part: pd.DataFrame) -> pd.DataFrame:
-        grams, counts = np.unique(np.concatenate([np.unique(gram_hashes((t or "").encode())) for t in part["text"]]), return_counts=True)
+        grams, counts = np.unique(np.concatenate([np.unique(gram_hashes((t or "").encode(), gram)) for t in part["text"]]), return_counts=True)
         return pd.DataFrame({"root": part["root"].iloc[:1], "pivot": [grams[2 * counts > len(part)].tobytes()]})
 
     some = members.filter(F.pmod(F.xxhash64("node", F.lit(19)), F.col("texts")) < PIVOT_TEXTS)
@@ -482,7 +482,7 @@ def within(part: pd.DataFrame, block: int) -> pd.DataFrame:
     return pd.DataFrame({"root": part["root"], "w": w, "linked": upto[np.searchsorted(w, budget - w, side="right")], "far": far, "used": far | near, "far_blocks": blocks[0], "near_blocks": blocks[1]})
 
 
-def verify(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def verify(members: DataFrame, threshold: float, gram: int = GRAM) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """members: (root, node, copies, texts: of the component if it is large, else null, text) of whole components, saved. Returns
     merges (a, b); parts of link counts (node, links): of documents of other texts that a text's are linked to; and the saved
     tables that these two read."""
@@ -491,11 +491,11 @@ def verify(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame,
     sided = members.withColumn("large", F.col("texts").isNotNull())
     any_large = bool(large.head(1))
     if any_large:
-        found = save(pivots(large), "join-pivots")
+        found = save(pivots(large, gram), "join-pivots")
         sided = attach(sided, found, ["root"], "node", "left", "pivot")
     else:
         sided = sided.withColumn("pivot", F.lit(None).cast("binary"))
-    made = save(differences(sided, limit), "join-differences")
+    made = save(differences(sided, limit, gram), "join-differences")
     whole = made.filter("NOT large").withColumns({"block": F.lit(0).cast("long"), "pair": F.lit(0).cast("long")})
     merges, links, kept, columns = None, None, [], ["root", "pair", "block", "node", "copies", "w", "budget", "d"]
     rows = whole.select(columns)
@@ -560,7 +560,7 @@ def join_texts(docs: DataFrame, key: str, threshold: float = THRESHOLD, gram: in
     chosen = chosen.join(texts.select(F.col("node").alias("__n"), "copies"), F.col("node") == F.col("__n"))
     chosen = save(chosen.join(signed_rows.select("row", "key"), F.col("node") == F.col("row")).select("key", "root", "node", "copies", "texts"), "join-chosen")
     members = save(attach(docs.select(F.col(key).alias("key"), "text"), chosen, ["key"], "key"), "join-members")
-    merges, counts, kept = verify(members, threshold)
+    merges, counts, kept = verify(members, threshold, gram)
     classes = components(merges, "join-merges")
     links = counts.groupBy(F.col("node").alias("linked")).agg(F.sum("links").alias("links"))
     of_text = texts.join(classes.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").join(links, F.col("node") == F.col("linked"), "left")

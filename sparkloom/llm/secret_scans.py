@@ -20,10 +20,8 @@ behind its name.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 from re import _constants as C
 from re import _parser as parser

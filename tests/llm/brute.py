@@ -20,11 +20,11 @@ def base_counts(text):
     return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
 
 
-def brute_classes(texts):
+def brute_classes(texts, gram=5, threshold=0.8):
     sets = {}
     for i, t in texts.items():
         ws = (t or "").encode().lower().split()
-        sets[i] = frozenset(tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))) if ws else frozenset()
+        sets[i] = frozenset(tuple(ws[k : k + gram]) for k in range(max(1, len(ws) - gram + 1))) if ws else frozenset()
     up, links = {i: i for i in texts}, Counter()
 
     def find(i):
@@ -36,7 +36,7 @@ def brute_classes(texts):
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
             both = len(sets[i] & sets[j])
-            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            if both and both >= threshold * (len(sets[i]) + len(sets[j]) - both):
                 links[i] += 1
                 links[j] += 1
                 a, b = sorted((find(i), find(j)))

@@ -267,6 +267,15 @@ def test_jaccard(spark, texts, monkeypatch, settings):
     assert got == brute_classes(given)
 
 
+def test_other_grams_and_threshold(spark, monkeypatch):
+    """Pairs of words at a threshold of one half."""
+    monkeypatch.setattr(jaccard_join, "VERIFY_BLOCK", 10)
+    given = dict(enumerate(star(50, [f"w{i}" for i in range(30)], np.random.default_rng(9)))) | {100 + k: f"a{k % 4} b c{k % 3} d e" for k in range(12)}
+    rows = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+    out = jaccard_join.join_texts(rows.select(jaccard_join.row_key(rows).alias("id"), "text"), "id", 0.5, 2)
+    assert {r["key"]["doc_id"]: (r["class_id"], r["links"]) for r in out.collect()} == brute_classes(given, 2, 0.5)
+
+
 def test_near_group_is_not_copied(spark):
     """Texts that differ little from what most of their group have are in no block: what is dealt doesn't grow with the group."""
     rng = np.random.default_rng(4)

@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from sparkloom.llm import best_fit_packing, jaccard_join, language_id, quality_rules, secret_scans
+from sparkloom.llm import best_fit_packing, language_id, quality_rules, secret_scans
 
 from brute import base_counts, brute_classes, brute_training, log_sums
 
