@@ -8,8 +8,9 @@
    scan every text.
 
 The candidates (an id and a bit mask) are small, but grow with the corpus: they are written to the shared folder, counted,
-and broadcast up to BROADCAST_ROWS; beyond, both sides are joined by a shuffle. Verification is exact either way, so rows
-with equal ids and different texts do no harm.
+and broadcast up to BROADCAST_ROWS; beyond, both sides are joined by a shuffle on the id and a salt of the row's place, so that
+an id of very many rows is dealt over SALTS tasks. Verification is exact either way, so rows with equal ids and different texts
+do no harm.
 
 Defined results: null and empty texts have no spans. Null ids are an id of their own. Repeated rows each get their spans.
 Places are code points, the end is exclusive. An empty table gives an empty result. A very long text, or one with very many
@@ -29,7 +30,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, save, scanned, unused
+from .common import SALTS, let, save, scanned, unused
 
 BROADCAST_ROWS = 1_000_000  # of an id and a mask: some 16 MB
 MOST_STRINGS = 96  # of exact strings that a derivation carries along
@@ -175,14 +176,19 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     queries = {i: trigram_query(r.pattern) for i, r in enumerate(rules)}
     indexed = {i: q for i, q in queries.items() if q != ANY}
     none = F.array().cast(NO_SPANS)
-    whole, own, mask, into = unused(["__text", "__id", "__mask", "spans"], docs.columns)
+    whole, own, mask, salt, own_salt, into = unused(["__text", "__id", "__mask", "__salt", "__own_salt", "spans"], docs.columns)
     rows = docs.withColumn(whole, F.coalesce(F.col("text"), F.lit("")))
     if indexed:
         found = save(candidates(postings(docs.select("doc_id", "text"), indexed.values()), indexed), "secret-candidates")
         small = found.count() <= BROADCAST_ROWS
         side = found.select(F.col("doc_id").alias(own), F.col("mask").alias(mask))
-        side = F.broadcast(side) if small else side
-        rows = rows.join(side, rows["doc_id"].eqNullSafe(side[own]), "left").drop(own)
+        same = F.col("doc_id").eqNullSafe(F.col(own))
+        if small:
+            rows = rows.join(F.broadcast(side), same, "left").drop(own)
+        else:
+            rows = rows.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
+            side = side.withColumn(own_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = rows.join(side, same & (F.col(salt) == F.col(own_salt)), "left").drop(own, salt, own_salt)
     else:
         rows = rows.withColumn(mask, F.lit(0))
     text, each = F.col(whole), []
