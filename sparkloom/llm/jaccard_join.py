@@ -39,7 +39,7 @@ passed through by `keep_one`, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -544,15 +544,27 @@ def verify(members: DataFrame, threshold: float, gram: int = GRAM) -> tuple[Data
     return (met, counted, [checked]) if merges is None else (met.union(merges), counted.union(links), [checked, *kept])
 
 
-def join_texts(docs: DataFrame, key: str, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
+def join_texts(
+    docs: DataFrame,
+    key: str,
+    threshold: float = THRESHOLD,
+    gram: int = GRAM,
+    sign: Callable[[DataFrame], DataFrame] | None = None,
+    edges: Callable[[DataFrame, float], DataFrame] | None = None,
+    also: tuple[str, ...] = (),
+) -> DataFrame:
     """(key, first, class_id, links) of each row. first: the least key of its class (null: the text has no grams), links: to
-    documents of other texts and to copies. Keys are structs whose first field is doc_id, the same for rows of one text only."""
-    signed_rows = save(signatures(docs, key, gram, prefix_depth(threshold)), "join-signatures")
+    documents of other texts and to copies. Keys are structs whose first field is doc_id, the same for rows of one text only.
+
+    sign makes rows (row, key, h1, h2 and more) of docs, edges (a, b) of the texts (node and the same more), instead of the
+    forest's; columns of sign's named in `also` are passed on."""
+    sign = sign or (lambda rows: signatures(rows, key, gram, prefix_depth(threshold)))
+    signed_rows = save(sign(docs), "join-signatures")
     texts = signed_rows.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("copies"), salt_mask("row").alias("salts"))
     texts = save(texts, "join-texts")
     own = signed_rows.join(texts.select("node"), F.col("row") == F.col("node"), "left_semi")
-    own = save(own.select(F.col("row").alias("node"), "prefixes", "tails", "sketch"), "join-forest")
-    found = components(forest_edges(own, threshold), "join-components")
+    own = save(own.drop("key", "h1", "h2", *also).withColumnRenamed("row", "node"), "join-forest")
+    found = components((edges or forest_edges)(own, threshold), "join-components")
     drop(own)
     # One document's text for each text of a component.
     sizes = save(found.groupBy("root").agg(F.count("*").alias("texts")).filter(F.col("texts") > VERIFY_BLOCK), "join-large")
@@ -567,8 +579,8 @@ def join_texts(docs: DataFrame, key: str, threshold: float = THRESHOLD, gram: in
     several = of_text.filter("root IS NOT NULL OR copies > 1").select(
         F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.coalesce("root", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.explode(salts_of("salts")).alias("z")
     )
-    rows = signed_rows.select("row", "key", "h1", "h2").join(several, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")) & (salted("row") == F.col("z")), "left")
-    rows = save(rows.select("row", "key", F.col("h1").isNull().alias("blank"), "class", F.coalesce("links", F.lit(0)).alias("links")), "join-rows")
+    rows = signed_rows.select("row", "key", "h1", "h2", *also).join(several, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")) & (salted("row") == F.col("z")), "left")
+    rows = save(rows.select("row", "key", *also, F.col("h1").isNull().alias("blank"), "class", F.coalesce("links", F.lit(0)).alias("links")), "join-rows")
     drop(signed_rows, texts, found, sizes, chosen, members, classes, *kept)
     names = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("first"), F.min("key.doc_id").alias("class_id"), salt_mask("row").alias("salts"))
     names = names.select(F.col("class").alias("c"), "first", "class_id", F.explode(salts_of("salts")).alias("z"))
@@ -579,6 +591,7 @@ def join_texts(docs: DataFrame, key: str, threshold: float = THRESHOLD, gram: in
         F.when(alone & ~F.col("blank"), F.col("key")).otherwise(F.col("first")).alias("first"),
         F.when(alone, F.col("key.doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         "links",
+        *also,
     )
 
 
