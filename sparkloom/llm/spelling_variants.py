@@ -13,7 +13,7 @@ form is its near word of the largest count, if that is large enough against the
    equal as strings, whatever their hashes are. Those whose runs have a place in common differ by a replaced letter there; the
    word that equals the deletion differs from all others by a deleted one. Each pair of near words has exactly one such group, so a
    group passes on, for each of its words, how many others it has and the best of them (`linked`): no pairs.
-5. Sums and the best per word; then forms are followed, each round doubling the steps, until no root changes.
+5. Sums and the best per word; then forms are followed, each round doubling the steps, until no word has further to go.
 
 A group has one deletion, so its words are that string with one of the 90 letters put in somewhere: its size is bounded by
 the string's length, however many words there are. A word of very many letters has rows of some numbers, not of its letters.
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, drop, save
+from .common import drop, save
 from .jaccard_join import mix, runs
 
 LETTERS = re.compile("[a-zÀ-ÿ]+")
@@ -218,16 +218,18 @@ def links(rows: DataFrame) -> DataFrame:
 
 
 def followed(forms: DataFrame) -> DataFrame:
-    """(word, root) of forms (word, root: its form), saved: where the forms lead. Counts grow with each step, so there is an end."""
-    now = save(forms, "variants-roots")
+    """(word, root) of forms (word, root: its form): where the forms lead. Counts grow with each step, so there is an end. Words that
+    are there leave the rounds; a word that many lead to is a hot key of the join, which adaptive execution splits."""
+    done, open_ = None, save(forms, "variants-roots")
     while True:
-        side = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = attach(now, side, ["root"], "word", "left")
-        if not step.filter("next IS NOT NULL").head(1):
-            return now
-        new = save(step.select("word", F.coalesce("next", "root").alias("root")), "variants-roots")
-        drop(now)
-        now = new
+        known = open_ if done is None else done.union(open_)
+        side = known.select(F.col("word").alias("at"), F.col("root").alias("next"))
+        step = save(open_.join(side, F.col("root") == F.col("at"), "left").select("word", "root", "next"), "variants-steps")
+        there = step.filter("next IS NULL").select("word", "root")
+        done = there if done is None else done.union(there)
+        open_ = step.filter("next IS NOT NULL").select("word", F.col("next").alias("root"))
+        if not open_.head(1):
+            return done
 
 
 def group_variants(counts: DataFrame, ratio: int = RATIO) -> DataFrame:
