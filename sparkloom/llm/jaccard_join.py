@@ -564,6 +564,9 @@ def join_texts(
     texts = save(texts, "join-texts")
     own = signed_rows.join(texts.select("node"), F.col("row") == F.col("node"), "left_semi")
     own = save(own.drop("key", "h1", "h2", *also).withColumnRenamed("row", "node"), "join-forest")
+    slim = save(signed_rows.select("row", "key", "h1", "h2", *also), "join-rows")  # the signatures go before texts are dealt
+    drop(signed_rows)
+    signed_rows = slim
     found = components((edges or forest_edges)(own, threshold), "join-components")
     drop(own)
     # One document's text for each text of a component.

@@ -44,7 +44,7 @@ THRESHOLD = 0.8
 PLACES = 256  # a power of two
 RECALL = 0.9999
 LEVELS = (2, 4, 6)
-BLOCK = 1000  # texts of a node that are compared in one task
+BLOCK = 2000  # texts of a node that are compared in one task
 SHARE = 16  # one of so many texts is looked at to find larger nodes
 SMALL = 256  # texts of a node of which all pairs are compared at once
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -112,8 +112,8 @@ def grow(paths: np.ndarray, owner: np.ndarray, tokens: np.ndarray, levels: int,
 
 
 def branch(rows: DataFrame, levels: int, threshold: float, trees: int | None = None) -> DataFrame:
-    """(path, node, sketch, near) of the nodes so many levels below those of rows (node, tokens, path, near); below the roots of so
-    many trees for rows (node, tokens)."""
+    """(path, node, sketch, near) of the nodes so many levels below those of rows (node, tokens, paths, near: a list each); below the
+    roots of so many trees for rows (node, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +125,9 @@ def branch(rows: DataFrame, levels: int, threshold: float, trees: int | None = N
                     paths, owner = np.tile(mix(np.arange(1, trees + 1, dtype=np.uint64)), part.num_rows), np.repeat(owner, trees)
                     near = np.zeros(len(paths), bool)
                 else:
-                    paths, near = part.column(2).to_numpy().view(np.uint64), part.column(3).to_numpy(zero_copy_only=False)
+                    owner = np.repeat(owner, part.column(2).value_lengths().to_numpy())
+                    paths, near = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+                    paths = paths.view(np.uint64)
                 paths, owner, origin = grow(paths, owner, tokens, levels, threshold)
                 bits = np.packbits((tokens & 1).astype(np.uint8), axis=1).view(np.int64)[owner]
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))
@@ -221,8 +223,9 @@ def edges(texts: DataFrame, threshold: float) -> DataFrame:
             cut = open_rows.withColumns({"far_blocks": blocks(F.col("far")), "near_blocks": blocks(F.col("n") - F.col("far")), "far": ~F.col("near")})
             found.append(compared(deal(cut, "node"), most))
             break
-        down = open_rows.select(F.col("node").alias("own"), "path", "near").join(texts.select("node", "tokens"), F.col("own") == F.col("node"))
-        given, levels, trees = save(down.select("node", "tokens", "path", "near"), "paths-down"), following - depth, None
+        # A text's tokens are fetched once for all of its paths.
+        lists = open_rows.groupBy("node").agg(F.collect_list("path").alias("paths"), F.collect_list("near").alias("near"))
+        given, levels, trees = save(attach(texts.select("node", "tokens"), save(lists, "paths-down"), ["node"], "node"), "paths-down"), following - depth, None
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
