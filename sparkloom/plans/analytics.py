@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import windows
+from ..operators import joins, ordered, ranks, windows
 from ..session import table
 from .registered import query, statement
 
@@ -26,9 +26,6 @@ statement("interval_join", """SELECT a.event_id AS seen, b.event_id AS bought FR
     WHERE a.event_type = 'view' AND b.event_type = 'purchase'""")
 statement("hash_join", "SELECT /*+ SHUFFLE_HASH(orders) */ l_orderkey, count(*) AS n, max(o_totalprice) AS most FROM {lineitem} AS lines JOIN {orders} AS orders ON l_orderkey = o_orderkey GROUP BY l_orderkey",
     "SELECT l_orderkey, count(*) AS n, max(o_totalprice) AS most FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey")
-statement("asof_correlated", """SELECT event_id, (SELECT max_by(b.value, b.ts) FROM {events} b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts <= a.ts) AS price
-    FROM {events} a WHERE a.event_type = 'view'""",
-    """SELECT event_id, (SELECT arg_max(b.value, b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts <= a.ts) AS price FROM events a WHERE a.event_type = 'view'""")
 statement("using_join", "SELECT k, n, m FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY 1) JOIN (SELECT s_nationkey AS k, count(*) AS m FROM {supplier} GROUP BY 1) USING (k)")
 # Aggregates.
 statement("grouping_marks", """SELECT c_mktsegment, c_nationkey, CAST(grouping(c_mktsegment) AS BIGINT) AS g, CAST(grouping_id(c_mktsegment, c_nationkey) AS BIGINT) AS id, count(*) AS n
@@ -40,7 +37,6 @@ statement("regression", """SELECT l_returnflag, regr_slope(l_extendedprice, l_qu
     covar_samp(l_extendedprice, l_quantity) AS cs, covar_pop(l_extendedprice, l_quantity) AS cp, stddev_pop(l_tax) AS sd, var_samp(l_tax) AS v FROM {lineitem} GROUP BY l_returnflag""")
 statement("moments", "SELECT event_type, skewness(value) * sqrt(count(value) * (count(value) - 1)) / (count(value) - 2) AS skew, kurtosis(value) AS kurt FROM {events} GROUP BY event_type",
     "SELECT event_type, skewness(value) AS skew, kurtosis_pop(value) AS kurt FROM events GROUP BY event_type")
-statement("percentiles", "SELECT p_brand, percentile_disc(0.9) WITHIN GROUP (ORDER BY p_retailprice) AS d, percentile_cont(0.25) WITHIN GROUP (ORDER BY p_retailprice) AS c, median(p_size) AS m FROM {part} GROUP BY p_brand")
 statement("arg_extremes", "SELECT o_custkey, max_by(o_orderkey, struct(o_totalprice, o_orderkey)) AS top, min_by(o_orderkey, struct(o_totalprice, o_orderkey)) AS low FROM {orders} GROUP BY o_custkey",
     "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS top, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS low FROM orders GROUP BY o_custkey")
 statement("logic_aggregates", """SELECT c_nationkey, bool_and(c_acctbal > 0) AS every, bool_or(c_acctbal < 0) AS some, bit_and(c_custkey) AS ba, bit_or(c_custkey) AS bo, bit_xor(c_custkey) AS bx, count_if(c_acctbal > 0) AS n
@@ -99,22 +95,87 @@ def dearest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("exclude_frame", "SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS s FROM events")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    return windows.excluding(rows, ["user_id"], "event_id", 2, 2, "value", "s").select("event_id", "s")
+    return windows.excluding(rows, ["user_id"], "event_id", 2, 2, {"s": ("sum", "value")}).select("event_id", "s")
 
 
 @query("exclude_group", "SELECT p_partkey, sum(p_size) OVER w AS s, max(p_size) OVER w AS m FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_type ROWS BETWEEN 200 PRECEDING AND 200 FOLLOWING EXCLUDE GROUP)")
 def other_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the parts of a brand, less those of the row's own type."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("long").alias("size"))
-    rows = windows.excluding(rows, ["p_brand"], "p_type", 200, 200, "size", "s", "group")
-    return windows.excluding(rows, ["p_brand"], "p_type", 200, 200, "size", "m", "group", "max").select("p_partkey", "s", "m")
+    return windows.excluding(rows, ["p_brand"], "p_type", 200, 200, {"s": ("sum", "size"), "m": ("max", "size")}, "group").select("p_partkey", "s", "m")
 
 
 @query("exclude_ties", "SELECT p_partkey, count(p_size) OVER w AS n, avg(p_size) OVER w AS a FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_type ROWS BETWEEN 200 PRECEDING AND 200 FOLLOWING EXCLUDE TIES)")
 def without_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("long").alias("size"))
-    rows = windows.excluding(rows, ["p_brand"], "p_type", 200, 200, "size", "n", "ties", "count")
-    return windows.excluding(rows, ["p_brand"], "p_type", 200, 200, "size", "a", "ties", "avg").select("p_partkey", "n", "a")
+    return windows.excluding(rows, ["p_brand"], "p_type", 200, 200, {"n": ("count", "size"), "a": ("avg", "size")}, "ties").select("p_partkey", "n", "a")
+
+
+@query("percentiles", "SELECT p_brand, percentile_disc(0.9) WITHIN GROUP (ORDER BY p_retailprice) AS d, percentile_cont(0.25) WITHIN GROUP (ORDER BY p_retailprice) AS c, median(p_size) AS m FROM part GROUP BY p_brand")
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each by its own passes, joined by the group."""
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_retailprice", "p_size")
+    found = ranks.percentile(rows, ["p_brand"], "p_retailprice", 0.9, "d", discrete=True)
+    for value, share, into in (("p_retailprice", 0.25, "c"), ("p_size", 0.5, "m")):
+        found = ranks.joined_by(found, ranks.percentile(rows, ["p_brand"], value, share, into), ["p_brand"])
+    return found.select("p_brand", "d", "c", "m")
+
+
+@query("asof_correlated", """SELECT event_id, (SELECT arg_max(b.value, b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts <= a.ts) AS price
+    FROM events a WHERE a.event_type = 'view'""")
+def last_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlated form as an as-of join: as a subquery, Spark pairs all view times with all purchases."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    bought = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("price"))
+    return joins.asof_join(events.filter("event_type = 'view'").select("event_id", "user_id", "ts"), bought, "ts", ["user_id"], ["price"]).select("event_id", "price")
+
+
+@query("asof_any_user", """SELECT v.event_id, p.event_id AS bought FROM (SELECT * FROM events WHERE event_type = 'view') v
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON v.ts >= p.ts""")
+def asof_any_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last purchase of anyone before each view: no key, so both sides are dealt by ranges of time."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    bought = events.filter("event_type = 'purchase'").select("ts", F.col("event_id").alias("bought"))
+    return joins.asof_join(events.filter("event_type = 'view'").select("event_id", "ts"), bought, "ts", [], ["bought"]).select("event_id", "bought")
+
+
+@query("asof_hot_status", """SELECT o_orderkey, CASE WHEN least(back, ahead) <= INTERVAL 12 HOUR THEN CASE WHEN ahead IS NULL OR back <= ahead THEN b.l_shipdate ELSE f.l_shipdate END END AS shipped
+    FROM (SELECT o.*, b.l_shipdate, o.o_orderdate - b.l_shipdate AS back FROM orders o ASOF LEFT JOIN (SELECT DISTINCT l_linestatus, l_shipdate FROM lineitem) b ON o.o_orderstatus = b.l_linestatus AND o.o_orderdate >= b.l_shipdate) b
+    JOIN (SELECT o.o_orderkey, f.l_shipdate, f.l_shipdate - o.o_orderdate AS ahead FROM orders o ASOF LEFT JOIN (SELECT DISTINCT l_linestatus, l_shipdate FROM lineitem) f ON o.o_orderstatus = f.l_linestatus AND o.o_orderdate <= f.l_shipdate) f
+    USING (o_orderkey)""")
+def asof_hot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipping day of the same status nearest to each order: three keys for all rows, so by ranges of status and time."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("day"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status"), F.col("l_shipdate").alias("day"), F.col("l_shipdate").alias("shipped"))
+    return joins.asof_join(orders, lines, "day", ["status"], ["shipped"], "nearest", F.expr("INTERVAL 12 HOURS"), ranges=0).select("o_orderkey", "shipped")
+
+
+@query("running_total", """SELECT o_orderkey, row_number() OVER w AS n, (sum(cents) OVER w)::BIGINT AS s, max(cents) OVER w AS m, avg(cents) OVER w AS a
+    FROM (SELECT *, round(o_totalprice * 100)::BIGINT AS cents FROM orders) WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""")
+def running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all orders in one sequence, by prefix sums of ranges."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    made = {"n": ("row_number",), "s": ("sum", "cents"), "m": ("max", "cents"), "a": ("avg", "cents")}
+    return ordered.running(rows, [], ["o_orderdate", "o_orderkey"], made).select("o_orderkey", F.col("n").cast("long").alias("n"), "s", "m", "a")
+
+
+@query("global_ranks", """SELECT p_partkey, rank() OVER w AS r, dense_rank() OVER w AS d, percent_rank() OVER w AS p, cume_dist() OVER w AS c, ntile(7) OVER (ORDER BY p_retailprice DESC, p_partkey) AS t FROM part
+    WINDOW w AS (ORDER BY p_retailprice DESC)""")
+def global_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in one order of all parts, with ties."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    places = ordered.running(rows, [], ["-p_retailprice"], {"r": ("rank",), "d": ("dense_rank",), "p": ("percent_rank",), "c": ("cume_dist",)})
+    groups = ordered.running(rows, [], ["-p_retailprice", "p_partkey"], {"t": ("ntile", 7)}).select(F.col("p_partkey").alias("k"), "t")
+    return places.join(groups, F.col("p_partkey") == F.col("k")).select("p_partkey", *[F.col(c).cast("long").alias(c) for c in ("r", "d")], "p", "c", F.col("t").cast("long").alias("t"))
+
+
+@query("hot_key_totals", """SELECT DISTINCT l_returnflag, l_shipdate, count(*) OVER w AS n, sum(l_quantity) OVER w AS q FROM lineitem
+    WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate RANGE UNBOUNDED PRECEDING)""")
+def hot_key_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three keys hold all lines; each day's rows are summed first, which RANGE frames allow."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_shipdate").agg(F.count("*").alias("c"), F.sum("l_quantity").alias("v"))
+    made = ordered.running(rows, ["l_returnflag"], ["l_shipdate"], {"n": ("sum", "c"), "q": ("sum", "v")}, peers=True)
+    return made.select("l_returnflag", "l_shipdate", "n", "q")
 
 
 @query("windowed_distinct", "SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id) AS n FROM events")
