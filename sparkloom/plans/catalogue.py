@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import joins, ranks, windows
 from ..session import table
-from . import analytics, scalars, streams, user_code  # noqa: F401  (they register their queries)
+from . import analytics, beyond, scalars, streams, user_code  # noqa: F401  (they register their queries)
 from .registered import ORACLES, QUERIES, query, statement
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -56,7 +56,8 @@ statement("top_orders", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY
 statement("union_all", "SELECT n_nationkey AS k FROM {nation} UNION ALL SELECT r_regionkey AS k FROM {region}")
 statement("intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey AS k FROM {supplier}")
 statement("except", "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey AS k FROM {lineitem} WHERE l_quantity > 40")
-statement("recursion", "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
+statement("recursion", """WITH RECURSIVE walk(region, nation, steps) AS (SELECT n_regionkey, min(n_nationkey), CAST(1 AS BIGINT) FROM {nation} GROUP BY n_regionkey
+    UNION ALL SELECT region, n_nationkey, steps + 1 FROM walk JOIN {nation} ON n_regionkey = region AND n_nationkey = nation + 5) SELECT region, nation, steps FROM walk""")
 # Scalars.
 statement("strings", "SELECT p_partkey, trim(substr(p_name, 1, 5)) AS s, lpad(p_brand, 12, '*') AS l, reverse(p_type) AS r, md5(p_name) AS m, levenshtein(p_name, p_brand) AS d FROM {part}",
     "SELECT p_partkey, trim(substr(p_name, 1, 5)) AS s, lpad(p_brand, 12, '*') AS l, reverse(p_type) AS r, md5(p_name) AS m, CAST(levenshtein(p_name, p_brand) AS INT) AS d FROM part")

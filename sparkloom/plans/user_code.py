@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import user
 from ..session import scratch, table
-from ..sources import files, generated, jdbc
+from ..sources import files, jdbc, segments
 from .registered import ORACLES, QUERIES, query
 
 
@@ -125,10 +125,28 @@ def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read(spark, "binaryFile", f"{path}/*.txt").select(F.explode(F.array_remove(F.split(content, "\n"), "")).alias("value"))
 
 
-@query("source_python", "SELECT range AS n FROM range(5000)")
+@query("source_python", "SELECT event_id, event_type, value FROM events WHERE event_id >= 300 AND event_type = 'purchase' AND value > 10")
 def python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(generated.Numbers)
-    return spark.read.format("numbers").option("rows", 5000).option("parts", 4).load()
+    """events written through the source in two commits, and read with filters that it applies itself, where they aren't on doubles."""
+    segments.register(spark)
+    path = scratch(spark, "segments")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    for part in (rows.filter("event_type = 'view'"), rows.filter("event_type <> 'view'")):
+        part.write.format("segments").mode("append").save(path)
+    return spark.read.format("segments").load(path).filter("event_id >= 300 AND event_type = 'purchase' AND value > 10")
+
+
+@query("source_python_stream", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
+def python_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer through a stream from the source to the source, in two runs of one checkpoint."""
+    segments.register(spark)
+    first, second, place = (scratch(spark, f"segments-{n}") for n in ("in", "out", "checkpoint"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    for part in (rows.filter("c_nationkey < 9"), rows.filter("c_nationkey >= 9")):
+        part.write.format("segments").mode("append").save(first)
+        stream = spark.readStream.format("segments").load(first)
+        stream.writeStream.format("segments").option("path", second).option("stream", "copy").option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.format("segments").load(second)
 
 
 @query("source_jdbc", "SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey > 1")

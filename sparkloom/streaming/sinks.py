@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +20,26 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, per_trigger: int =
     return reader.parquet(path)
 
 
-def replayed(spark: SparkSession, name: str, parts: list[DataFrame]) -> DataFrame:
-    """A stream whose batches are these tables, in order, all of one schema: written as one file each, to replay late arrivals."""
-    path = scratch(spark, f"replay-{name}")
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.02)  # files are taken by their time, in milliseconds
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+class Replay:
+    """A stream that gets these tables, all of one schema, one after another: what to_table() makes of it has seen all files of a
+    table before those of the next one come. Tables are written as they are dealt, in any number of files."""
+
+    def __init__(self, spark: SparkSession, name: str, parts: list[DataFrame]) -> None:
+        self.path, self.later = scratch(spark, f"replay-{name}"), parts[1:]
+        parts[0].write.parquet(self.path)
+        self.spark, self.schema = spark, parts[0].schema
+
+    @property
+    def stream(self) -> DataFrame:
+        """A new one each time, so that the two sides of a join are two."""
+        return self.spark.readStream.schema(self.schema).parquet(self.path)
+
+    def feed(self) -> bool:
+        """Writes the next table, if there is one."""
+        if not self.later:
+            return False
+        self.later.pop(0).write.mode("append").parquet(self.path)
+        return True
 
 
 def in_memory(stream: DataFrame, name: str, mode: str) -> DataFrame:
@@ -38,8 +50,8 @@ def in_memory(stream: DataFrame, name: str, mode: str) -> DataFrame:
     return stream.sparkSession.table(table)
 
 
-def to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream gives for all that is there now. Every batch is written by the executors to a folder of its own number,
+def to_table(stream: DataFrame, name: str, mode: str, replay: Replay | None = None, checkpoint: str | None = None) -> DataFrame:
+    """What a stream gives for all that is there now, and for what a replay has to come. Every batch is written by the executors to a folder of its own number,
     overwritten if the batch is repeated; in complete mode the last one counts, in the other modes all of them."""
     spark = stream.sparkSession
     root = scratch(spark, f"stream-{name}")
@@ -49,7 +61,10 @@ def to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
         last[0] = max(last[0], number)
 
-    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    more = True
+    while more:
+        stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint or f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+        more = bool(replay and replay.feed())
     if last[0] < 0:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{root}/out/batch={last[0]}" if mode == "complete" else f"{root}/out/batch=*")

@@ -21,11 +21,6 @@ def deduplicated(stream: DataFrame, at: str, keys: list[str], late: str = "1 hou
     return timed(stream, at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> None:
-    """All that is there now, into a table in memory."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 def sliding(stream: DataFrame, at: str, width: str, slide: str, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Counts per key and window, windows overlapping."""
     counted = timed(stream, at, late).groupBy(F.window(at, width, slide).alias("w"), *keys).agg(F.count("*").alias("n"))
@@ -45,6 +40,14 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, at: str, within:
     return a.join(b, (F.col("l_key") == F.col("r_key")) & near).select("l", "r")
 
 
+def outer_interval_join(left: DataFrame, right: DataFrame, key: str, at: str, within: str, late: str = "1 hour") -> DataFrame:
+    """interval_join with left's other rows, r being null. Such a row comes out once the watermarks of both sides have passed all
+    that it could meet, so the last ones need later rows on both sides."""
+    a, b = (timed(side, at, late).select(F.col(key).alias(f"{n}_key"), F.col(at).alias(f"{n}_at"), F.struct(*side.columns).alias(n)) for n, side in (("l", left), ("r", right)))
+    near = F.col("r_at").between(F.col("l_at"), F.col("l_at") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col("l_key") == F.col("r_key")) & near, "left_outer").select("l", "r")
+
+
 def rolled_up(stream: DataFrame, at: str, fine: str, coarse: str, late: str = "1 hour") -> DataFrame:
     """Two chained window aggregations: counts per fine window, and their number and sum per coarse one."""
     inner = timed(stream, at, late).groupBy(F.window(at, fine)).agg(F.count("*").alias("n"))
