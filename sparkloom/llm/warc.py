@@ -6,10 +6,16 @@ file name. A record is its header line, so many bytes as declared, and a newline
 WARC record's identifier (a name-based UUID of page and digest), its date (14 digits to ISO 8601), its type, and its payload
 and block digests (SHA-1 in base 32).
 
-`read_arc_files` reads archives of storage, plain or gzipped (a member for each record, or one for all): a row a record. A further
-version block, as of archives that were joined, sets the fields from there on. A newline that is missing between records is no
-fault. A record is damaged if what follows its declared bytes is neither the end nor a header line: its block then goes up to the
-next header line, or to the end where there is none, and `problem` says so; lines that are no header are skipped to the next.
+`read_arc_files` reads archives of storage, plain or gzipped (a member for each record, or one for all): a row a record.
+`convert_arc_files` writes them as WARC files. Bytes are unzipped and parsed as they come, so a task holds the file as it is stored,
+one record and the output of FILE_BYTES. URLs may hold raw spaces: the address and the date behind them tell where they end. Dates
+with missing or impossible parts become the first moment that the others allow. A record of an HTTP answer is a response of that
+type; any other, such as a `dns:` one, is a resource of the type that its header line declares.
+
+A further version block, as of archives that were joined, sets the fields from there on. A newline that is missing between
+records is no fault. A record is damaged if what follows its declared bytes is neither the end nor a header line: its block then
+goes up to the next header line, or to the end where there is none. Lines that are no header, and what can't be unzipped, are a
+record of their own without a URL. `problem` says what is wrong, so that no byte is lost without a word.
 
 Plan. Payload digests are computed by Spark; per digest the smallest page_id is found by a partial aggregation. Only digests
 of two or more pages are joined back: broadcast up to BROADCAST_ROWS of them, else by shuffle on the digest and a salt, so
@@ -32,6 +38,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -52,6 +59,7 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+URL_SAFE = "%/:=&?~#+!$,;'@()*[]"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -68,6 +76,7 @@ class ArcRecord:
     block: bytes
     status: int | None = None
     problem: str | None = None
+    version: bytes | None = None  # of the version block before it, where it is the first record after that
 
 
 def http_block(payload: bytes, mime: str) -> bytes:
@@ -88,73 +97,150 @@ def write_arc(records: list[ArcRecord], version: int, name: str = "pages.arc", d
 
     add(f"filedesc://{name}", "0.0.0.0", date, "text/plain", body, 200)
     for r in records:
-        add(quote(r.url, safe="%/:=&?~#+!$,;'@()*[]") or "unknown:", r.ip, r.date, r.mime, r.block, r.status or 200)
+        add(quote(r.url, safe=URL_SAFE) or "unknown:", r.ip, r.date, r.mime, r.block, r.status or 200)
     return b"".join(parts)
 
 
-#: A header line: URL, address, date, and at its end the length.
-HEADER = re.compile(rb"[^ \r\n]+ [^ \r\n]+ [0-9]{4,17} [^\r\n]*?(-?[0-9]+)\r?(?:\n|$)")
+#: A header line: URL, address, date, what depends on the fields, and the length. The first form allows spaces in the URL.
+LINE = 1 << 16  # bytes of a header line at most
+ADDRESS = rb"(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]+)"
+HEADERS = [re.compile(rb"(%s) (%s) ([0-9]{4,17}) ([^\r\n]*?)(-?[0-9]+)\r?(?:\n|$)" % x) for x in ((rb"[^ \r\n][^\r\n]{0,32000}?", ADDRESS), (rb"[^ \r\n]+", rb"[^ \r\n]+"))]
+CHUNK = 1 << 16  # compressed bytes that are unzipped at once
+
+
+def header(data: bytes | bytearray, at: int) -> re.Match | None:
+    return HEADERS[0].match(data, at) or HEADERS[1].match(data, at)
 
 
-def unzipped(data: bytes) -> Iterator[bytes]:
-    """The members of a gzipped archive, one by one; other bytes as they are. What can't be unzipped ends it."""
-    if not data.startswith(b"\x1f\x8b"):
-        yield data
+def members(data: bytes) -> Iterator[Iterator[bytes]]:
+    """The members of a gzipped archive, each in parts; other bytes as they are. Raises zlib.error or EOFError at what can't be unzipped."""
+    view, at = memoryview(data), 0
+    if data[:2] != b"\x1f\x8b":
+        yield iter([data])
         return
-    while data.startswith(b"\x1f\x8b"):
+
+    def parts() -> Iterator[bytes]:
+        nonlocal at
         member = zlib.decompressobj(31)
-        try:
-            yield member.decompress(data) + member.flush()
-        except zlib.error:
-            return
-        data = member.unused_data.lstrip(b"\0")
+        while not member.eof:
+            if at >= len(view):
+                raise EOFError("the last member is cut")
+            given = view[at : at + CHUNK]
+            out = member.decompress(given, CHUNK * 16)
+            while member.unconsumed_tail:
+                yield out
+                out = member.decompress(member.unconsumed_tail, CHUNK * 16)
+            at += len(given) - len(member.unused_data)
+            yield out
+
+    while at < len(view):
+        if view[at : at + 2] != b"\x1f\x8b":
+            if not any(view[at : at + CHUNK]):  # padding
+                at += CHUNK
+                continue
+            raise zlib.error(f"no member at {at}")
+        yield parts()
+
+
+class Incoming:
+    """Bytes that come in parts: `held` from `at` on is what isn't read yet."""
+
+    def __init__(self, parts: Iterator[bytes]) -> None:
+        self.parts, self.held, self.at, self.problem = parts, bytearray(), 0, None
+
+    def has(self, n: int) -> bool:
+        """Whether there are n bytes, which are then held."""
+        while self.problem is None and len(self.held) - self.at < n:
+            try:
+                part = next(self.parts, None)
+            except (zlib.error, EOFError) as e:
+                part, self.problem = None, f"the rest can't be unzipped: {e}"
+            if part is None:
+                self.problem = self.problem or ""
+                break
+            self.held += part
+        return len(self.held) - self.at >= n
+
+    def drop(self) -> None:
+        if self.at > 1 << 20:
+            del self.held[: self.at]
+            self.at = 0
+
+    def next_header(self, start: int) -> int:
+        """Where the next line behind so many bytes begins that is a header; the end without one."""
+        place = self.at + start
+        while True:
+            cut = self.held.find(b"\n", place)
+            if cut < 0:
+                place = len(self.held)
+                if not self.has(len(self.held) - self.at + 1):
+                    return len(self.held)
+                continue
+            place = cut + 1
+            self.has(place - self.at + LINE)
+            if header(self.held, place):
+                return place
 
 
 def read_arc(data: bytes, strict: bool = True) -> Iterator[ArcRecord]:
     """The records of an archive of either version, plain or gzipped; see above for damaged ones, which strict raises."""
-    fields = ARC_FIELDS[1].split(" ")
-    for part in unzipped(data):
-        at = 0
-        while at < len(part):
-            if part[at] in b"\r\n":
-                at += 1
+    fields, version = ARC_FIELDS[1].split(" "), None
+    each = members(data)
+    while True:
+        try:
+            parts = next(each, None)
+        except zlib.error as e:
+            if strict:
+                raise ValueError(str(e)) from e
+            yield ArcRecord("", "", "", "", b"", None, f"the rest can't be unzipped: {e}")
+            return
+        if parts is None:
+            return
+        source = Incoming(parts)
+        while source.has(1):
+            source.drop()
+            if source.held[source.at] in b"\r\n":
+                source.at += 1
                 continue
-            line = HEADER.match(part, at)
+            source.has(LINE)
+            line = header(source.held, source.at)
             if line is None:
                 if strict:
-                    raise ValueError(f"no header line at {at}")
-                at = next_header(part, at)
+                    raise ValueError(f"no header line in {bytes(source.held[source.at : source.at + 60])!r}")
+                end = source.next_header(0)
+                lost, source.at = bytes(source.held[source.at : end]), end
+                yield ArcRecord("", "", "", "", lost, None, "no header line")
                 continue
-            values = line.group().decode("utf-8", "replace").rstrip("\r\n").split(" ")
-            begin, length, problem = line.end(), int(line.group(1)), None
-            end = begin + length
-            if length < 0 or end > len(part) or not (end == len(part) or part[end] in b"\r\n" or HEADER.match(part, end)):
+            url, ip, date, rest = (line.group(i).decode("utf-8", "replace") for i in (1, 2, 3, 4))
+            length, problem = int(line.group(5)), None
+            begin = line.end() - source.at
+            whole = length >= 0 and source.has(begin + length)
+            source.has(begin + max(length, 0) + LINE)
+            after = source.at + begin + length
+            if not whole or not (after == len(source.held) or source.held[after] in b"\r\n" or header(source.held, after)):
                 problem = f"{length} bytes declared"
                 if strict:
-                    raise ValueError(f"the record at {at} is damaged: {problem}")
-                end = next_header(part, begin)
-            block, at = part[begin:end], end
+                    raise ValueError(f"the record of {url} is damaged: {problem}")
+                after = source.next_header(begin)
+            block, source.at = bytes(source.held[source.at + begin : after]), after
             if problem:
                 block = block.removesuffix(b"\n")
-            if values[0].startswith("filedesc:"):
+            if url.startswith("filedesc:"):
                 lines = block.decode("utf-8", "replace").splitlines()
-                version = lines[0].split(" ")[0] if lines else ""
-                fields = lines[1].split(" ") if len(lines) > 1 else ARC_FIELDS[2 if version == "2" else 1].split(" ")
+                kind = lines[0].split(" ")[0] if lines else ""
+                fields = lines[1].split(" ") if len(lines) > 1 else ARC_FIELDS[2 if kind == "2" else 1].split(" ")
+                version = block
                 continue
-            spare = len(values) - len(fields)  # a type with spaces in it
-            if spare > 0:
-                values[3 : 4 + spare] = [" ".join(values[3 : 4 + spare])]
-            said = dict(zip(fields, values))
+            mime, *more = rest.rstrip(" ").rsplit(" ", max(0, len(fields) - 5))  # a type may have spaces in it
+            said = dict(zip(fields[4:], more))
             code = said.get("Result-code", "-")
-            yield ArcRecord(values[0], values[1], values[2], values[3], block, int(code) if code.isdigit() else None, problem)
-
-
-def next_header(data: bytes, at: int) -> int:
-    """Where the next line begins that is a header; the end without one."""
-    while (at := data.find(b"\n", at) + 1) > 0:
-        if HEADER.match(data, at):
-            return at
-    return len(data)
+            yield ArcRecord(url, ip, date, mime, block, int(code) if code.isdigit() else None, problem, version)
+            version = None
+        if source.problem:
+            if strict:
+                raise ValueError(source.problem)
+            yield ArcRecord("", "", "", "", b"", None, source.problem)
+            return
 
 
 def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
@@ -169,7 +255,7 @@ def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
                 held: list[tuple] = []
                 size = 0
                 for r in read_arc(content.as_py(), strict=False):
-                    held.append((name.as_py(), r.url, r.ip, iso_date(r.date), r.mime, r.status, payload_of(r.block), r.problem))
+                    held.append((name.as_py(), r.url, r.ip, iso_date(r.date) if r.date else None, r.mime, r.status, payload_of(r.block), r.problem))
                     size += len(r.block)
                     if size > FILE_BYTES:
                         yield table_of(held, kinds, schema)
@@ -185,11 +271,20 @@ def table_of(rows: list[tuple], kinds: list[pa.DataType], schema: str) -> pa.Rec
 
 
 def iso_date(digits: str) -> str:
-    d = digits.ljust(14, "0")
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    """Year to second of up to 14 digits; from the first part on that is missing or impossible, the least there are."""
+    parts, least = [1, 1, 1, 0, 0, 0], (0, 4, 6, 8, 10, 12, 14)
+    for i in range(6):
+        piece = digits[least[i] : least[i + 1]]
+        try:
+            now = [*parts[:i], int(piece), *parts[i + 1 :]]
+            datetime(*now)
+        except ValueError:
+            break
+        parts = now
+    return datetime(*parts).strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
 
 
-def record_id(page: int | None, digest: str) -> str:
+def record_id(page: int | str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page}/{digest}')}>"
 
 
@@ -199,22 +294,27 @@ def payload_of(block: bytes) -> bytes:
     return block[cut + 4 :] if block.startswith(b"HTTP/") and cut >= 0 else block
 
 
-def to_warc(record: ArcRecord, page: int | None, refers_to: int | None, info: str) -> bytes:
-    """The WARC record of an ARC record; a revisit of a page if refers_to is given. info: the identifier of the file's warcinfo."""
+def to_warc(record: ArcRecord, page: int | str | None, refers_to: int | None, info: str) -> bytes:
+    """The WARC record of an ARC record; a revisit of a page if refers_to is given. page: what tells it from others, the number of a page
+    or any name. info: the identifier of the file's warcinfo."""
     payload = payload_of(record.block)
     digest = sha1_32(payload)
+    http = record.block.startswith(b"HTTP/")
     lines = [
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Type: {'revisit' if refers_to is not None else 'response' if http else 'resource'}",
         f"WARC-Record-ID: {record_id(page, digest)}",
         f"WARC-Date: {iso_date(record.date)}",
         f"WARC-Warcinfo-ID: {info}",
-        f"WARC-Target-URI: {record.url}",
-        f"WARC-IP-Address: {record.ip}",
+        f"WARC-Target-URI: {quote(record.url, safe=URL_SAFE) or 'unknown:'}",
+        f"WARC-IP-Address: {record.ip or '0.0.0.0'}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        "Content-Type: application/http; msgtype=response",
+        f"Content-Type: {'application/http; msgtype=response' if http else record.mime or 'application/octet-stream'}",
         f"X-Payload-Length: {len(payload)}",
-        f"X-Page-Id: {'' if page is None else page}",
     ]
+    if not isinstance(page, str):
+        lines.append(f"X-Page-Id: {'' if page is None else page}")
+    if record.problem:
+        lines.append(f"X-Problem: {record.problem}")
     block = record.block
     if refers_to is not None:
         block = block[: len(block) - len(payload)]
@@ -227,14 +327,59 @@ def whole_record(lines: list[str], block: bytes) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def warcinfo(name: str, about: bytes, date: str) -> tuple[str, bytes]:
+    """The identifier and the record that a WARC file begins with."""
+    info = f"<urn:uuid:{uuid.uuid5(NAMES, name)}>"
+    text = b"software: sparkloom\r\nformat: WARC File Format 1.0\r\ndescription: converted from an ARC file\r\n" + about
+    return info, whole_record(["WARC-Type: warcinfo", f"WARC-Record-ID: {info}", f"WARC-Date: {date}", "Content-Type: application/warc-fields"], text)
+
+
 def warc_file(legacy: bytes, pages: list[int | None], refers: list[int | None]) -> bytes:
     """The WARC file of an ARC file, whose records are of these pages."""
-    info = f"<urn:uuid:{uuid.uuid5(NAMES, f'{hashlib.sha1(legacy).hexdigest()}/{pages[0]}')}>"
-    about = b"software: sparkloom\r\nformat: WARC File Format 1.0\r\ndescription: converted from an ARC file\r\n"
-    first = whole_record(["WARC-Type: warcinfo", f"WARC-Record-ID: {info}", "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: application/warc-fields"], about)
+    info, first = warcinfo(f"{hashlib.sha1(legacy).hexdigest()}/{pages[0]}", b"", "2024-01-01T00:00:00Z")
     return first + b"".join(to_warc(r, i, to, info) for i, to, r in zip(pages, refers, read_arc(legacy), strict=True))
 
 
+def warc_files(name: str, content: bytes, most: int = FILE_BYTES) -> Iterator[bytes]:
+    """An ARC file of this name as WARC files of at most so many bytes, or of one record, each beginning with a warcinfo that has the ARC
+    file's name and version block. Records are told apart by the file's name and their number in it."""
+    about, out, size = f"arc-file: {name}\r\n".encode(), [], 0
+    info, first = "", b""
+    for number, r in enumerate(read_arc(content, strict=False)):
+        if r.version is not None:
+            said = b" / ".join(r.version.split(b"\n")).strip(b" /\r")
+            about = f"arc-file: {name}\r\narc-version-block: ".encode() + said.replace(b"\r", b"") + b"\r\n"
+        if not out:
+            info, first = warcinfo(f"{name}/{number}", about, iso_date(r.date))
+            out, size = [first], len(first)
+        record = to_warc(r, f"{name}#{number}", None, info)
+        if len(out) > 1 and size + len(record) > most:
+            yield b"".join(out)
+            info, first = warcinfo(f"{name}/{number}", about, iso_date(r.date))
+            record = to_warc(r, f"{name}#{number}", None, info)
+            out, size = [first], len(first)
+        out.append(record)
+        size += len(record)
+    if out:
+        yield b"".join(out)
+
+
+def convert_arc_files(spark: SparkSession, path: str, into: str | None = None) -> str:
+    """WARC files of all ARC files of a path, written to a folder (a new one of the shared folder unless given), whose path is returned.
+    An ARC file is one task's; what it becomes is written as it is made."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                for out in warc_files(name.as_py(), content.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([out[:-1]], pa.binary())], ["file"])  # the writer ends it with a newline
+
+    into = into or scratch(spark, "warc")
+    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file binary")
+    files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(into)
+    return into
+
+
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record, by declared lengths; names in lower case."""
     at = 0

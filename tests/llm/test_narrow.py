@@ -260,13 +260,82 @@ def test_arc_files(spark, tmp_path):
     one, two = ("a", "1.2.3.4", "1997-07-01T00:00:00Z", "text/html", None, b"hello world", None), ("b", "5.6.7.8", "1998-01-02T03:04:05Z", "text/html; charset=x", 404, b"no\n\n\n", None)
     assert got["one.arc"] == [one] and got["two.arc"] == [two] and got["whole.arc.gz"] == [one] and got["members.arc.gz"] == [two, two]
     assert got["joined.arc"] == [one, two, (*one[:4], 200, *one[5:])]
-    assert got["damaged.arc"] == [(*one[:6], "12 bytes declared"), one, (*one[:6], "3000 bytes declared")]
-    assert set(got) <= set(given) - {"empty.arc"} and len(got.get("cut.arc.gz", [])) <= 1
+    lost = ("", "", None, "", None)
+    assert got["damaged.arc"] == [(*lost, b"not a header\n", "no header line"), (*one[:6], "12 bytes declared"), one, (*one[:6], "3000 bytes declared")]
+    assert set(got) == set(given) - {"empty.arc"} and got["cut.arc.gz"][-1] == (*lost, b"", "the rest can't be unzipped: the last member is cut")
     record = next(warc.read_arc(given["two.arc"]))
     headers, block = next(warc.read_warc(warc.to_warc(record, 3, None, "<i>")))
     assert headers["warc-date"] == "1998-01-02T03:04:05Z" and headers["warc-target-uri"] == "http://b.example/x" and block == b"no\n\n\n"
 
 
+ODD = b"http://c.example/a b?c d 9.9.9.9 2024 1.2.3.4 19970701000000 text/html; charset=x 30\nHTTP/1.0 200 OK\r\n\r\nhello world"
+DNS = b"dns:a.example 1.2.3.4 199707 text/dns 14\n19970701\nA 1.2"
+
+
+def test_urls_with_spaces_and_other_types():
+    """URLs up to the first address that a date follows, types with spaces, dates in part, records that are no HTTP answers."""
+    spaced = ODD.replace(b" 9.9.9.9 2024", b"")
+    rows = list(warc.read_arc(V1 + b"\n" + spaced + b"\n" + DNS + b"\n" + ONE + b"\n"))
+    assert [(r.url, r.ip, r.mime, r.problem) for r in rows] == [("http://c.example/a b?c d", "1.2.3.4", "text/html; charset=x", None), ("dns:a.example", "1.2.3.4", "text/dns", None), ("http://a.example/", "1.2.3.4", "text/html", None)]
+    heads = [next(warc.read_warc(warc.to_warc(r, f"x#{i}", None, "<i>")))[0] for i, r in enumerate(rows)]
+    assert [h["warc-type"] for h in heads] == ["response", "resource", "response"] and [h["content-type"] for h in heads] == ["application/http; msgtype=response", "text/dns", "application/http; msgtype=response"]
+    assert heads[0]["warc-target-uri"] == "http://c.example/a%20b?c%20d" and heads[1]["warc-date"] == "1997-07-01T00:00:00Z"
+    two = V2 + b"\n" + TWO.replace(b"b.example/x", b"b.example/x y  z") + b"\n"
+    assert [(r.url, r.status, r.mime) for r in warc.read_arc(two)] == [("http://b.example/x y  z", 404, "text/html; charset=x")]
+
+
+@pytest.mark.parametrize("digits, want", [("2024", "2024-01-01T00:00:00Z"), ("20241399", "2024-01-01T00:00:00Z"), ("20240230120000", "2024-02-01T00:00:00Z"), ("20240229235960", "2024-02-29T23:59:00Z"), ("20240229120000123", "2024-02-29T12:00:00Z"), ("", "0001-01-01T00:00:00Z")])
+def test_dates_are_dates(digits, want):
+    assert warc.iso_date(digits) == want
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("chunk", [7, 1 << 16])
+def test_many_members(monkeypatch, version, chunk):
+    """A member for each of many records, or one for all, in time that grows with the bytes; parts of any size."""
+    import gzip
+    import time
+
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    n = 20_000 if chunk > 7 else 60
+    given = [warc.ArcRecord(f"http://a/{i}", "1.2.3.4", "20230102030405", "text/html", warc.http_block(b"x\n" * 150, "text/html")) for i in range(n)]
+    whole = warc.write_arc(given, version)
+    head = whole.index(b"http://a/0 ")
+    each = gzip.compress(whole[:head]) + b"".join(gzip.compress(warc.write_arc([r], version)[head:], 1) for r in given)
+    began = time.perf_counter()
+    for data in (each, gzip.compress(whole), whole, each + b"\0" * 100):
+        assert [(r.url, r.block, r.problem) for r in warc.read_arc(data)] == [(r.url, r.block, None) for r in given]
+    assert time.perf_counter() - began < 30
+    with pytest.raises(ValueError):
+        list(warc.read_arc(each[:-5]))
+    cut = list(warc.read_arc(each + b"junk", strict=False))
+    assert len(cut) == n + 1 and "unzipped" in cut[-1].problem
+
+
+@pytest.mark.parametrize("most", [32_000_000, 700])
+def test_arc_files_become_warc_files(spark, tmp_path, monkeypatch, most):
+    """Archives of storage, converted: every record once, with its type and digest, behind a warcinfo that names its archive."""
+    import gzip
+
+    monkeypatch.setattr(warc, "warc_files", lambda name, content, f=warc.warc_files: f(name, content, most))
+    (tmp_path / "in").mkdir()
+    given = {"a.arc": V1 + b"\n" + ONE + b"\n" + DNS + b"\n" + ONE + b"\n", "b.arc.gz": b"".join(map(gzip.compress, (V2 + b"\n", TWO + b"\n", TWO + b"\n"))), "c.arc": V1 + b"\njunk\n" + ONE.replace(b" 30\n", b" 12\n"), "d.arc": b""}
+    for name, data in given.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    out = warc.convert_arc_files(spark, f"{tmp_path}/in")
+    records, of_archive = [], Counter()
+    for f in spark.read.format("binaryFile").load(out).collect():
+        (first, about), *rest = warc.read_warc(bytes(f["content"]))
+        assert first["warc-type"] == "warcinfo" and b"arc-version-block: " in about and all(h["warc-warcinfo-id"] == first["warc-record-id"] for h, _ in rest)
+        of_archive[about.split(b"arc-file: ")[1].split(b"\r\n")[0].rpartition(b"/")[2]] += len(rest)
+        records += rest
+    assert of_archive == {b"a.arc": 3, b"b.arc.gz": 2, b"c.arc": 2}
+    assert len({h["warc-record-id"] for h, _ in records}) == 7 and Counter(h["warc-type"] for h, _ in records) == {"response": 3, "resource": 4}
+    assert all(h["warc-block-digest"] == "sha1:" + warc.sha1_32(b) and h["warc-payload-digest"] == "sha1:" + warc.sha1_32(warc.payload_of(b)) for h, b in records)
+    assert sorted(h["x-problem"] for h, _ in records if "x-problem" in h) == ["12 bytes declared", "no header line"]
+    assert {b for h, b in records if h["warc-target-uri"] == "dns:a.example"} == {b"19970701\nA 1.2"}
+
+
 @pytest.mark.parametrize("mark", [b"TAG", b"ID3\3\0\0\0\0\0\x10", b"\xff\xfa\xe8\x00", b"\xff" * 9])
 def test_audio_marks_in_payload(mark):
     """What looks like a tag or a header inside a payload, at every place from its end, is payload."""
