@@ -1,21 +1,23 @@
 """LM scoring by a hidden Markov language model trained by Baum-Welch.
 
 Tokens are the words of a text (ASCII white space apart, A-Z in lower case) and one end. The model's latent states emit one of
-CLASSES frequent words, the end, or "another word"; another word w has the further factor (c + 1) / Z, c being its count in
-training and Z the sum of c + 1 over the other words plus 1 for an unseen one. So every count of the corpus takes part, and
-the score is a proper probability of the whole sequence.
+CLASSES frequent words, the end, or one of BUCKETS groups of the other words, by their last letters and length. A word w of a group
+has the further factor (c + 1) / Z, c being its count in training and Z the sum of c + 1 over the group's words plus 1 for an unseen
+one. So every word's emission varies with the state, every count of the corpus takes part, and the score is a proper probability of
+the whole sequence. The model's size is set by these two numbers, however many words there are.
 
 Plan.
-1. Counts of all training words: summed per task (spilling parts of bounded size), then per word. Written to the shared folder.
-2. The HOT most frequent words of at most HOT_BYTES bytes, a bounded dictionary, are broadcast. Each text becomes a row: its
-   sums over hot words, its class sequence (2 bytes a token), and its rare words. Written to the shared folder.
+1. Counts of all training words: summed per task (spilling parts of bounded size), then per word. A word of over NAME_BYTES goes by
+   a hash of 128 bits. Written to the shared folder.
+2. The HOT most frequent words, a bounded dictionary, are broadcast. Each text becomes a row: its sums over hot words, its class
+   sequence (2 bytes a token), and its rare words. Written to the shared folder.
 3. Baum-Welch over all training sequences, each of them whole: exact forward and backward sums in double precision, until a
    round raises the likelihood by less than GAIN a token. A task's expected counts go out as a row per class that it saw, are
    summed by class over all tasks, and reach the driver as one row per class: the model's size. Sequences of like lengths go
    side by side; of one with more than GROUP tokens only the sums at some places are kept, and the rest is computed again on
-   the way back, so memory is bounded.
-4. Rare words join the counts by shuffle. Hot keys cannot skew it, as they are hot words (longer words than HOT_BYTES may,
-   which adaptive execution splits). Their sums go back to the row by its key.
+   the way back, so memory is bounded. Time is not: a sequence is one task's, step by step, some 30 microseconds a token and round
+   where it is alone in its length, so a text of a million words holds its task for half a minute a round.
+4. Rare words join the counts by shuffle. Hot keys cannot skew it, as they are hot words. Their sums go back to the row by its key.
 5. The scaled forward recursion runs over whole sequences, many texts side by side.
 
 Defined results: null text is the empty text, one end token. A null id is not held out. Repeated rows are scored one by one.
@@ -25,8 +27,11 @@ training and scoring. Other columns, whatever their names, are not looked at.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +41,14 @@ from pyspark.sql import functions as F
 
 from .common import remainder, save
 
-CLASSES = 20_000
+CLASSES = 24_000
+BUCKETS = 8_000
 STATES = 16
 STICK = 0.9  # of the first transitions: the weight of staying in a state, without which training lingers where all states are alike
 PRIOR = 100  # words, dealt as in the corpus, that each state is taken to have emitted besides its own
-GAIN = 0.005  # of log10 likelihood a token; a round that gains less is the last
-ROUNDS = 30  # at most
+GAIN = 0.002  # of log10 likelihood a token; a round that gains less is the last
 HOT = 80_000
-HOT_BYTES = 128
+NAME_BYTES = 64
 PART = 300_000  # distinct words that a task counts before it passes them on
 GROUP = 200_000  # tokens whose sums are held side by side
 SIDE = 64  # sequences side by side at least, however long
@@ -57,6 +62,16 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def name_of(word: bytes) -> bytes:
+    """The word, or what stands for a long one; 0xFF begins no UTF-8."""
+    return word if len(word) <= NAME_BYTES else b"\xff" + hashlib.blake2b(word, digest_size=16).digest()
+
+
+def bucket(word: bytes, buckets: int) -> int:
+    """The group of a word that has no emission of its own: by its last three bytes and its length."""
+    return zlib.crc32(word[-3:] + bytes([min(len(word), 15)])) % buckets
+
+
 def as_bytes(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
@@ -72,7 +87,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in rows:
             for text in as_bytes(batch, 0):
-                counts.update(tokens(text))
+                counts.update(map(name_of, tokens(text)))
                 if len(counts) > PART:
                     yield out()
                     counts.clear()
@@ -81,8 +96,27 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
+def bucket_sums(counts: DataFrame, own: set[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket: the count of its words in training, and how many there are. counts: (w, c); own: words that are in none."""
+    given = counts.sparkSession.sparkContext.broadcast(own)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, buckets), np.int64)
+        for batch in rows:
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if w not in given.value:
+                    sums[:, bucket(w, buckets)] += (c, 1)
+        at = np.nonzero(sums[1])[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["b", "c", "n"])
+
+    found = counts.select("w", "c").mapInArrow(run, "b long, c long, n long").groupBy("b").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).toArrow()
+    out = np.zeros((2, buckets))
+    out[:, found.column(0).to_numpy()] = found.column(1).to_numpy(), found.column(2).to_numpy()
+    return out[0], out[1]
+
+
 class Model:
-    """Start, transition and emission probabilities; classes: words by rank, then another word, then the end."""
+    """Start, transition and emission probabilities; classes: words by rank, then the groups of other words, then the end."""
 
     def __init__(self, unigrams: np.ndarray, states: int = STATES, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
@@ -224,16 +258,18 @@ def unpack(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), "<u2").astype(np.int64), sizes
 
 
-def encode(docs: DataFrame, hot: list[tuple[bytes, int]], ends: int, classes: int) -> DataFrame:
-    """A row for each of docs (doc_id, held_out, text): see the plan's second step."""
-    given = docs.sparkSession.sparkContext.broadcast((hot, ends, classes))
+def encode(docs: DataFrame, hot: list[tuple[bytes, int]], ends: int, classes: int, log_z: np.ndarray) -> DataFrame:
+    """A row for each of docs (doc_id, held_out, text): see the plan's second step. log_z: of each bucket, log10 of its Z."""
+    given = docs.sparkSession.sparkContext.broadcast((hot, ends, classes, log_z))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, ends, classes = given.value
-        used = min(classes, len(hot))
+        hot, ends, classes, log_z = given.value
+        used, buckets = min(classes, len(hot)), len(log_z)
         number = {w: i for i, (w, _) in enumerate(hot)}
-        logs = np.append(np.log10(np.array([c for _, c in hot], dtype=float) + 1), 0)
+        logs = np.log10(np.array([c for _, c in hot], dtype=float) + 1)
+        # Of each hot word: its class.
+        of = np.array([i if i < used else used + bucket(w, buckets) for i, (w, _) in enumerate(hot)], np.int64)
         key = TaskContext.get().partitionId() << 36
         for batch in rows:
             texts, out = as_bytes(batch, 2), []
@@ -246,33 +282,43 @@ def encode(docs: DataFrame, hot: list[tuple[bytes, int]], ends: int, classes: in
                 for text in texts[start:stop]:
                     ws = tokens(text)
                     ids = np.fromiter((number.get(w, -1) for w in ws), np.int64, len(ws))
-                    rare = [w for w, i in zip(ws, ids.tolist()) if i < 0] if len(ws) else []
-                    own = logs[ids]
-                    other = own[(ids < 0) | (ids >= used)]
-                    obs = np.append(np.where((ids < 0) | (ids >= used), used, ids), used + 1).astype("<u2")
-                    out.append((len(ws) + 1, len(ws) - len(rare) + (ends > 0), own.sum() + np.log10(ends + 1), len(other), other.sum(), obs.tobytes(), rare))
+                    far = np.nonzero(ids < 0)[0]
+                    names = [name_of(ws[i]) for i in far.tolist()]
+                    again = np.fromiter((number.get(w, -1) for w in names), np.int64, len(names))  # long words have other names
+                    ids[far] = again
+                    rare = [w for w, i in zip(names, again.tolist()) if i < 0]
+                    known = ids >= 0
+                    own = np.zeros(len(ws))
+                    own[known] = logs[ids[known]]
+                    kinds = np.empty(len(ws) + 1, np.int64)
+                    kinds[:-1][known] = of[ids[known]]
+                    kinds[:-1][~known] = [used + bucket(w, buckets) for w in rare]
+                    kinds[-1] = used + buckets
+                    other = kinds[:-1] >= used
+                    other_sum = own[other].sum() - log_z[kinds[:-1][other] - used].sum()
+                    out.append((len(ws) + 1, len(ws) - len(rare) + (ends > 0), own.sum() + np.log10(ends + 1), other_sum, kinds.astype("<u2").tobytes(), rare))
                 part = batch.slice(start, stop - start)
                 columns = list(zip(*out))
                 keys = np.arange(key, key + len(out))
                 key += len(out)
                 out.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())))]],
-                    ["key", "doc_id", "held_out", "n_tokens", "n_known", "log_sum", "other_n", "other_sum", "obs", "rare"],
+                    [pa.array(keys), part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())))]],
+                    ["key", "doc_id", "held_out", "n_tokens", "n_known", "log_sum", "other_sum", "obs", "rare"],
                 )
                 start = stop
 
-    schema = f"key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, log_sum double, other_n long, other_sum double, obs binary, rare array<binary>"
+    schema = f"key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, log_sum double, other_sum double, obs binary, rare array<binary>"
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def train(sequences: DataFrame, model: Model, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
-    """Baum-Welch over the column obs, until a round gains less than `gain` a token or there were `rounds`."""
+def train(sequences: DataFrame, model: Model, rounds: int | None = None, gain: float = GAIN) -> Model:
+    """Baum-Welch over the column obs, until a round gains less than `gain` a token or, if given, there were so many rounds."""
     spark = sequences.sparkSession
     shape = (sum(model.emit.shape) + 2, len(model.start))
     tokens = sequences.agg(F.sum(F.octet_length("obs") / 2)).first()[0]
     last = -np.inf
-    for _ in range(rounds if tokens else 0):
+    for _ in (range(rounds) if rounds is not None else count()) if tokens else ():
         given = spark.sparkContext.broadcast(model)
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +379,7 @@ def groups(values: list[bytes], most: int = BATCH, least: int = 1) -> Iterator[t
         yield unpack(values[start:])
 
 
-def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, classes: int = CLASSES, hot_words: int = HOT) -> tuple[DataFrame, Model]:
+def score(docs: DataFrame, states: int = STATES, rounds: int | None = None, classes: int = CLASSES, hot_words: int = HOT, buckets: int = BUCKETS) -> tuple[DataFrame, Model]:
     """docs: doc_id, held_out, text. Returns a row each (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), and the model."""
     spark = docs.sparkSession
     training = docs.filter(~F.col("held_out"))
@@ -341,13 +387,12 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, classes:
     ends = training.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + ends, total["v"] + (ends > 0)
-    rows = counts.filter(F.octet_length("w") <= HOT_BYTES).orderBy(F.desc("c"), "w").limit(hot_words).toArrow()
+    rows = counts.orderBy(F.desc("c"), "w").limit(hot_words).toArrow()
     hot = list(zip(rows.column("w").to_pylist(), rows.column("c").to_pylist()))
     used = min(classes, len(hot))
-    other = total["n"] - sum(c for _, c in hot[:used])
-    log_z = np.log10(other + total["v"] - used + 1)
-    encoded = save(encode(docs, hot, ends, classes), "lm-encoded")
-    model = Model(np.array([c for _, c in hot[:used]] + [other, ends], dtype=float), states)
+    other, kinds = bucket_sums(counts, {w for w, _ in hot[:used]}, buckets)
+    encoded = save(encode(docs, hot, ends, classes, np.log10(other + kinds + 1)), "lm-encoded")
+    model = Model(np.array([*[c for _, c in hot[:used]], *other, ends], dtype=float), states)
     train(encoded.filter(~F.col("held_out")), model, rounds)
     given = spark.sparkContext.broadcast(model)
 
@@ -357,8 +402,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, classes:
             if done:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(done) / LOG10)], ["key", "hmm"])
 
-    fields = "struct<key:bigint,n_tokens:bigint,n_known:bigint,log_sum:double,other_n:bigint,other_sum:double,held_out:boolean,doc_id:" + docs.schema["doc_id"].dataType.simpleString() + ">"
-    own = encoded.select(F.struct("key", "n_tokens", "n_known", "log_sum", "other_n", "other_sum", "held_out", "doc_id").alias("key"), "obs")
+    fields = "struct<key:bigint,n_tokens:bigint,n_known:bigint,log_sum:double,other_sum:double,held_out:boolean,doc_id:" + docs.schema["doc_id"].dataType.simpleString() + ">"
+    own = encoded.select(F.struct("key", "n_tokens", "n_known", "log_sum", "other_sum", "held_out", "doc_id").alias("key"), "obs")
     forward = own.mapInArrow(run, f"key {fields}, hmm double").select("key.*", "hmm")
     rare = encoded.select(F.col("key").alias("rare_key"), F.explode("rare").alias("w"))
     met = rare.join(counts, "w").groupBy("rare_key").agg(F.count("*").alias("rare_n"), F.sum(F.log10(F.col("c") + 1)).alias("rare_sum"))
@@ -371,7 +416,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, classes:
         (F.col("n_known") + rare_n).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_sum") + rare_sum - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        (F.col("hmm") + F.col("other_sum") + rare_sum - F.col("other_n") * float(log_z)).alias("score"),
+        (F.col("hmm") + F.col("other_sum") + rare_sum).alias("score"),
     )
     return result, model
 

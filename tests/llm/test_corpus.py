@@ -62,7 +62,7 @@ def test_best_fit_is_tightest():
 def test_lm(spark, corpus, texts, docs, empty):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     rows = corpus.select("doc_id", (lm_scoring.remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
-    out, model = lm_scoring.score(rows, states=3, rounds=2, classes=50, hot_words=200)
+    out, model = lm_scoring.score(rows, states=3, rounds=2, classes=50, hot_words=200, buckets=7)
     counts = Counter()
     for i, t in texts.items():
         if not held[i]:
@@ -71,15 +71,16 @@ def test_lm(spark, corpus, texts, docs, empty):
     n, v = sum(counts.values()), len(counts)
     ranked = sorted((w for w in counts if w is not None), key=lambda w: (-counts[w], w))[:50]
     number = {w: i for i, w in enumerate(ranked)}
-    z = sum(c + 1 for w, c in counts.items() if w is not None and w not in number) + 1
+    z = [sum(c + 1 for w, c in counts.items() if w is not None and w not in number and lm_scoring.bucket(w, 7) == b) + 1 for b in range(7)]
+    class_of = lambda w: 57 if w is None else number.get(w, 50 + lm_scoring.bucket(w, 7))
     for r in out.collect():
         ws = [*texts[r["doc_id"]].encode().lower().split(), None]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(counts[w] > 0 for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
         a, total = model.start, 0.0
         for k, w in enumerate(ws):
-            a = (a @ model.move if k else a) * model.emit[:, 51 if w is None else number.get(w, 50)]
-            total += math.log10(a.sum()) + (0 if w is None or w in number else math.log10((counts[w] + 1) / z))
+            a = (a @ model.move if k else a) * model.emit[:, class_of(w)]
+            total += math.log10(a.sum()) + (0 if w is None or w in number else math.log10((counts[w] + 1) / z[class_of(w) - 50]))
             a = a / a.sum()
         assert r["score"] == pytest.approx(total)
     for given in (docs, empty):
@@ -87,6 +88,17 @@ def test_lm(spark, corpus, texts, docs, empty):
         assert lm_scoring.score(rows)[0].count() == given.count()
 
 
+def test_lm_of_long_words(spark):
+    """Frequent and rare words of any length have an emission and a count: by a name of bounded size."""
+    long, other = "x" * 5000, "y" * 300
+    rows = spark.createDataFrame([(i, i % 4 == 0, f"a b {long} c {other if i == 7 else 'd'}") for i in range(40)], "doc_id long, held_out boolean, text string")
+    out = {r["doc_id"]: r for r in lm_scoring.score(rows, states=2, classes=3, hot_words=4, buckets=2)[0].collect()}
+    assert all(r["n_tokens"] == 6 and r["n_known"] == 6 and math.isfinite(r["score"]) for r in out.values()) and out[7]["score"] < out[9]["score"]
+    assert len(lm_scoring.name_of(long.encode())) == 17 and lm_scoring.name_of(b"z" * 64) == b"z" * 64
+    total = 10 ** out[4]["score"]
+    assert 0 < total < 1
+
+
 def brute_counts(model, sequences):
     """Expected counts of all paths of states written out."""
     s, k = model.emit.shape
