@@ -133,7 +133,7 @@ def python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     for part in (rows.filter("event_type = 'view'"), rows.filter("event_type <> 'view'")):
         part.write.format("segments").mode("append").save(path)
-    return spark.read.format("segments").load(path).filter("event_id >= 300 AND event_type = 'purchase' AND value > 10")
+    return spark.read.format("segments").option("filters", "true").load(path).filter("event_id >= 300 AND event_type = 'purchase' AND value > 10")
 
 
 @query("source_python_stream", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer")

@@ -1,8 +1,9 @@
 """A table format as a data source written in Python: Parquet segments, listed by manifests that are written one for each commit.
 
 Batch and stream, both read and written. A write's tasks make a segment each and tell its least and largest values; the commit
-then lists them in the next manifest, so readers see all of a write or none of it. What a failed write has left is deleted. A batch
-read leaves out segments that pushed filters rule out, and applies the filters to the others. A stream's offsets are numbers of
+then lists them in the next manifest, so readers see all of a write or none of it. A task that fails deletes its segment, an abort
+those of the tasks that had ended; what tasks leave that were killed is in no manifest, and `Store.clean` deletes it. A batch
+read with the option `filters` leaves out segments that pushed filters rule out, and applies the filters to the others. A stream's offsets are numbers of
 manifests. A stream's writes carry its name and the batch's number, so a batch that is repeated after a failure is committed once.
 
 Writers have to take turns: two commits at the same time aren't told apart. The path is one that all executors share.
@@ -71,6 +72,15 @@ class Store:
         for f in files:
             fs.delete_file(f"{base}/data/{f}")
 
+    def clean(self) -> int:
+        """Deletes the segments that no manifest lists, and returns their number; not while anything is written."""
+        fs, base = self.open()
+        listed = {f["file"] for m in self.manifests() for f in m["files"]}
+        found = fs.get_file_info(pfs.FileSelector(f"{base}/data", allow_not_found=True))
+        gone = [f.base_name for f in found if f.base_name not in listed]
+        self.delete(gone)
+        return len(gone)
+
     def write(self, batches: Iterator[pa.RecordBatch]) -> Wrote:
         """A task's segment; one that fails leaves nothing."""
         fs, base = self.open()
@@ -101,7 +111,9 @@ def listed(messages: Iterable[Wrote | None]) -> list[dict]:
 
 
 class Segments(d.DataSource):
-    """Options: path; stream, the name under which a stream's batches are committed. See register()."""
+    """Options: path; stream, the name under which a stream's batches are committed; filters, "true" to apply filters here. A frame
+    loaded with it serves one query: Spark 4.1 keeps what a query has pushed down for the next one over the same frame, even
+    if that has other filters. See register()."""
 
     @classmethod
     def name(cls) -> str:
@@ -118,7 +130,8 @@ class Segments(d.DataSource):
         return StructType.fromJson(known[-1]["schema"])
 
     def reader(self, schema: StructType) -> SegmentsReader:
-        return SegmentsReader(self.store)
+        filtered = str(self.options.get("filters", "false")).lower() == "true"
+        return FilteredReader(self.store) if filtered else SegmentsReader(self.store)
 
     def writer(self, schema: StructType, overwrite: bool) -> SegmentsWriter:
         return SegmentsWriter(self.store, schema, overwrite)
@@ -188,15 +201,6 @@ class SegmentsReader(d.DataSourceReader):
     def __init__(self, store: Store) -> None:
         self.store, self.kept = store, []
 
-    def pushFilters(self, filters: list[d.Filter]) -> Iterable[d.Filter]:
-        """Comparisons of whole numbers and text are applied here; Spark applies the others."""
-        for f in filters:
-            simple = type(f) in COMPARED and len(f.attribute) == 1 and type(f.value) in (int, str)
-            if simple:
-                self.kept.append((type(f), f.attribute[0], f.value))
-            else:
-                yield f
-
     def partitions(self) -> list[Segment]:
         files: list[dict] = []
         for m in self.store.manifests():
@@ -214,6 +218,17 @@ class SegmentsReader(d.DataSourceReader):
         yield from read_segment(self.store, partition.file, condition)
 
 
+class FilteredReader(SegmentsReader):
+    def pushFilters(self, filters: list[d.Filter]) -> Iterable[d.Filter]:
+        """Comparisons of whole numbers and text are applied here; Spark applies the others."""
+        for f in filters:
+            simple = type(f) in COMPARED and len(f.attribute) == 1 and type(f.value) in (int, str)
+            if simple:
+                self.kept.append((type(f), f.attribute[0], f.value))
+            else:
+                yield f
+
+
 class SegmentsStream(d.DataSourceStreamReader):
     def __init__(self, store: Store) -> None:
         self.store = store

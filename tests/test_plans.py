@@ -92,8 +92,7 @@ def percentiles_equal(rows, share, **how):
     return got
 
 
-@pytest.mark.parametrize("share", [0.0, 0.00015, 0.5, 0.9, 0.99995, 1.0])
-@pytest.mark.parametrize("how", [{}, {"bins": 3}, {"discrete": True}])
+@pytest.mark.parametrize("share, how", [*[(s, {}) for s in (0.0, 0.00015, 0.5, 0.9, 0.99995, 1.0)], (0.5, {"bins": 3}), (0.9, {"discrete": True})])
 def test_percentile(spark, share, how):
     """Ties, few rows, groups of one, nulls, a null key; both bounds of the range; several rounds."""
     rows = spark.range(20_000).selectExpr("IF(id % 5 = 0, NULL, id % 3) AS g", "IF(id % 7 = 0, NULL, CAST(pow(id % 997, 2) AS DOUBLE)) AS v")
@@ -101,7 +100,7 @@ def test_percentile(spark, share, how):
     assert percentiles_equal(rows, share, **how)[7] == 5
 
 
-@pytest.mark.parametrize("share", [0.1, 0.25, 1 / 3, 0.75, 0.9])
+@pytest.mark.parametrize("share", [0.1, 1 / 3, 0.9])
 def test_percentile_of_few_rows(spark, share):
     """Groups of 1 to 60 rows without ties: places at the bounds of the sketch."""
     rows = spark.range(61 * 61).selectExpr("id div 61 AS g", "id % 61 AS i", "CAST(hash(id) AS DOUBLE) AS v").filter("i < g")
@@ -109,7 +108,7 @@ def test_percentile_of_few_rows(spark, share):
         assert len(percentiles_equal(rows, share, discrete=discrete)) == 60
 
 
-@pytest.mark.parametrize("share", [0.001, 0.25, 0.5, 0.501, 0.75, 0.999])
+@pytest.mark.parametrize("share", [0.001, 0.5, 0.75])
 def test_percentile_of_any_doubles(spark, monkeypatch, share):
     """Magnitudes far apart, heavy ties, signs, zeros, infinite values and numbers that differ in the last bit; the sketch sees one bound only."""
     monkeypatch.setattr(ranks, "ACCURACY", 2)
@@ -159,7 +158,7 @@ def test_asof_edges(spark):
 
 @pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
 @pytest.mark.parametrize("by", [[], ["k"]])
-@pytest.mark.parametrize("parts", [1, 6, 25])
+@pytest.mark.parametrize("parts", [1, 6])
 def test_asof_by_ranges(spark, direction, by, parts):
     """A hot key, many equal times, nulls, values that are null: as the join by keys gives them."""
     left = spark.range(300).selectExpr("id", "IF(id % 29 = 0, NULL, IF(id % 10 < 7, 'hot', CAST(id % 4 AS STRING))) AS k", "IF(id % 31 = 0, NULL, id * 17 % 40) AS at")
