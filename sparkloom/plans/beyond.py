@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fixpoint, neighbours, samples
@@ -107,3 +107,13 @@ def stored_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored_variants(spark, sf_dir)
     return rows.groupBy("event_type").agg(F.count("v").alias("n"), F.sum(F.variant_get("v", "$.k", "bigint")).alias("s"), F.schema_of_variant_agg("v").alias("shape"))
+
+
+@query("sink_noop", "SELECT count(*) AS n, sum(l_quantity) AS q, count(DISTINCT l_returnflag) AS flags FROM lineitem")
+def sink_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines into the sink that keeps nothing; what is observed on the way is one row."""
+    seen = Observation("lines")
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag")
+    flags = F.size(F.collect_set("l_returnflag")).cast("long")
+    rows.observe(seen, F.count("*").alias("n"), F.sum("l_quantity").alias("q"), flags.alias("flags")).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["n"], seen.get["q"], seen.get["flags"])], "n long, q double, flags long")
