@@ -48,16 +48,6 @@ def test_shuffled_hash(spark, no_broadcast):
     assert "ShuffledHashJoin" in query_plan(spark, "hash_join")
 
 
-#: Joins without an equality, asked for as such or with a side of one row.
-NESTED = {"cross_join", "theta_join", "sample", "cosine_to_first", "stream_chained_windows"}
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_nested_loop_only_where_asked(spark, name):
-    text = query_plan(spark, name)
-    assert name in NESTED or ("NestedLoop" not in text and "Cartesian" not in text)
-
-
 def test_nested_loop_where_asked(spark):
     assert all("NestedLoop" in query_plan(spark, name) for name in ("theta_join", "cross_join", "sample"))
 
