@@ -11,8 +11,9 @@ Plan.
    a hash of 128 bits. Written to the shared folder.
 2. The HOT most frequent words, a bounded dictionary, are broadcast. Each text becomes a row: its sums over hot words, its class
    sequence (2 bytes a token), and its rare words. Written to the shared folder.
-3. Baum-Welch over all training sequences, each of them whole: exact forward and backward sums in double precision, until a
-   round raises the likelihood by less than GAIN a token. A task's expected counts go out as a row per class that it saw, are
+3. Baum-Welch over all training sequences, each of them whole: exact forward and backward sums, single precision at a token and
+   double over tokens, until a round raises the likelihood by less than GAIN a token. The first rounds are over a share of the
+   sequences, which gives states to begin with at less cost; those over all of them end by the same rule. A task's expected counts go out as a row per class that it saw, are
    summed by class over all tasks, and reach the driver as one row per class: the model's size. Sequences of like lengths go
    side by side; of one with more than GROUP tokens only the sums at some places are kept, and the rest is computed again on
    the way back, so memory is bounded. Time is not: a sequence is one task's, step by step, some 30 microseconds a token and round
@@ -50,6 +51,8 @@ GAIN = 0.002  # of log10 likelihood a token; a round that gains less is the last
 HOT = 80_000
 NAME_BYTES = 64
 PART = 300_000  # distinct words that a task counts before it passes them on
+SHARE = 8  # one of so many sequences is learned from first, until that gains little; all of them follow, until that does
+TASKS = 3  # of a round, for each core
 GROUP = 200_000  # tokens whose sums are held side by side
 SIDE = 64  # sequences side by side at least, however long
 BUFFER = 4_000_000  # tokens that are sorted by length before they are grouped
@@ -165,36 +168,37 @@ def in_steps(flat: np.ndarray, offset: np.ndarray, active: np.ndarray, a: int, b
 _held: list[np.ndarray] = []
 
 
-def workspace(rows: int, columns: int) -> list[np.ndarray]:
+def workspace(rows: int, columns: int, kind: type = np.float64) -> list[np.ndarray]:
     """Two arrays of so many rows at least, kept by the worker, as new ones cost more than what is done in them."""
-    if not _held or _held[0].shape[0] < rows or _held[0].shape[1] != columns:
-        _held[:] = [np.empty((rows, columns)) for _ in range(2)]
+    if not _held or _held[0].shape[0] < rows or _held[0].shape[1] != columns or _held[0].dtype != kind:
+        _held[:] = [np.empty((rows, columns), kind) for _ in range(2)]
     return _held
 
 
-def expected(model: Model, flat: np.ndarray, sizes: np.ndarray, most: int = GROUP) -> np.ndarray:
+def expected(model: Model, flat: np.ndarray, sizes: np.ndarray, most: int = GROUP, kind: type = np.float64) -> np.ndarray:
     """Baum-Welch counts of whole sequences, a column for each state: a row for each class (emissions), one for the starts, one
-    for each state (moves from it), and a last one whose first number is the log likelihood."""
+    for each state (moves from it), and a last one whose first number is the log likelihood. kind: of the numbers at a token,
+    which are scaled to a sum of one; what is added up over tokens is double."""
     s, k = model.emit.shape
     order, active = side_by_side(sizes)
     offset = (np.cumsum(sizes) - sizes)[order]
-    table, turned = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    table, move, turned = (np.ascontiguousarray(x, kind) for x in (model.emit.T, model.move, model.move.T))
     sums, moves = np.zeros((k + s + 2, s)), np.zeros((s, s))
     parts = spans(active, most)
-    alphas, emitted = workspace(max(int(active[a:b].sum()) for a, b in parts), s)  # of a span's tokens, step by step
-    ones = np.ones((s, 1))
+    alphas, emitted = workspace(max(int(active[a:b].sum()) for a, b in parts), s, kind)  # of a span's tokens, step by step
+    ones = np.ones((s, 1), kind)
 
     def forward(now: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """From the sums before step a: the span's classes, the places where its steps begin, one by its scales, and the sums behind it."""
         seen, cuts = in_steps(flat, offset, active, a, b)
         np.take(table, seen, axis=0, out=emitted[: len(seen)], mode="clip")
-        scale = np.empty((len(seen), 1))
+        scale = np.empty((len(seen), 1), kind)
         bounds = cuts.tolist()
         for t in range(a, b):
             low, high = bounds[t - a], bounds[t - a + 1]
             own = alphas[low:high]
             if t:
-                np.matmul(now[: high - low], model.move, out=own)
+                np.matmul(now[: high - low], move, out=own)
             else:
                 own[:] = now[: high - low]
             own *= emitted[low:high]
@@ -203,10 +207,10 @@ def expected(model: Model, flat: np.ndarray, sizes: np.ndarray, most: int = GROU
             now = own
         return seen, cuts, scale, now
 
-    entries = [np.tile(model.start, (len(sizes), 1))]
+    entries = [np.tile(model.start.astype(kind), (len(sizes), 1))]
     for a, b in parts[:-1]:
         entries.append(forward(entries[-1], a, b)[-1].copy())
-    back = np.ones((0, s))
+    back = np.ones((0, s), kind)
     for (a, b), entry in zip(reversed(parts), reversed(entries)):
         seen, cuts, scale, _ = forward(entry, a, b)
         into = emitted[: len(seen)]
@@ -215,7 +219,7 @@ def expected(model: Model, flat: np.ndarray, sizes: np.ndarray, most: int = GROU
         for t in range(b - 1, a - 1, -1):
             low, high = bounds[t - a], bounds[t - a + 1]
             if len(back) < high - low:  # sequences that end here
-                back = np.concatenate([back, np.ones((high - low - len(back), s))])
+                back = np.concatenate([back, np.ones((high - low - len(back), s), kind)])
             own = into[low:high]
             own *= back
             alphas[low:high] *= back
@@ -224,10 +228,10 @@ def expected(model: Model, flat: np.ndarray, sizes: np.ndarray, most: int = GROU
                 moves += before.T @ own
                 back = own @ turned
             else:
-                sums[k] = alphas[:high].sum(axis=0)
+                sums[k] = alphas[:high].sum(axis=0, dtype=float)
         for i in range(s):
             sums[:k, i] += np.bincount(seen, weights=alphas[: len(seen), i], minlength=k)
-        sums[-1, 0] += np.log(scale).sum()
+        sums[-1, 0] += np.log(scale, dtype=float).sum()
     sums[k + 1 : k + 1 + s] = moves * model.move
     return sums
 
@@ -312,9 +316,11 @@ def encode(docs: DataFrame, hot: list[tuple[bytes, int]], ends: int, classes: in
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def train(sequences: DataFrame, model: Model, rounds: int | None = None, gain: float = GAIN) -> Model:
-    """Baum-Welch over the column obs, until a round gains less than `gain` a token or, if given, there were so many rounds."""
+def train(sequences: DataFrame, model: Model, rounds: int | None = None, gain: float = GAIN, kind: type = np.float64) -> Model:
+    """Baum-Welch over the column obs, until a round gains less than `gain` a token or, if given, there were so many rounds. A task's
+    counts are as large as the model however few rows it has, so there are TASKS for each core, not one for each split of the input."""
     spark = sequences.sparkSession
+    sequences = sequences.select("obs").coalesce(TASKS * spark.sparkContext.defaultParallelism)
     shape = (sum(model.emit.shape) + 2, len(model.start))
     tokens = sequences.agg(F.sum(F.octet_length("obs") / 2)).first()[0]
     last = -np.inf
@@ -325,7 +331,7 @@ def train(sequences: DataFrame, model: Model, rounds: int | None = None, gain: f
             sums = np.zeros(shape)
             for values in buffers(rows):
                 for g in groups(sorted(values, key=len), GROUP, SIDE):
-                    sums += expected(given.value, *g)
+                    sums += expected(given.value, *g, GROUP, kind)
             yield counts_batch(sums)
 
         def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +341,7 @@ def train(sequences: DataFrame, model: Model, rounds: int | None = None, gain: f
             yield counts_batch(sums)
 
         schema = "i long, v binary"
-        found = sequences.select("obs").mapInArrow(run, schema).repartition("i").mapInArrow(add, schema).toArrow()
+        found = sequences.mapInArrow(run, schema).repartition("i").mapInArrow(add, schema).toArrow()
         sums = np.zeros(shape)
         sums[found.column(0).to_numpy()] = np.frombuffer(b"".join(found.column(1).to_pylist())).reshape(-1, shape[1])
         model.update(sums)
@@ -393,7 +399,9 @@ def score(docs: DataFrame, states: int = STATES, rounds: int | None = None, clas
     other, kinds = bucket_sums(counts, {w for w, _ in hot[:used]}, buckets)
     encoded = save(encode(docs, hot, ends, classes, np.log10(other + kinds + 1)), "lm-encoded")
     model = Model(np.array([*[c for _, c in hot[:used]], *other, ends], dtype=float), states)
-    train(encoded.filter(~F.col("held_out")), model, rounds)
+    own = encoded.filter(~F.col("held_out"))
+    for part in (own.filter(F.pmod(F.xxhash64("key"), F.lit(SHARE)) == 0), own):
+        train(part, model, rounds, kind=np.float32)
     given = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,6 +127,28 @@ def test_baum_welch_counts(most):
     assert np.allclose(lm_scoring.log_likelihood(model, np.concatenate(sequences), np.array(list(map(len, sequences)))).sum(), got[-1, 0])
 
 
+def test_single_precision_at_tokens():
+    """Counts are added up in double, so that single precision at a token costs some digits of each only."""
+    rng = np.random.default_rng(5)
+    model = lm_scoring.Model(rng.integers(1, 99, 400).astype(float), 6)
+    sequences = [rng.integers(0, 400, n) for n in rng.integers(1, 900, 60)]
+    flat, sizes = np.concatenate(sequences), np.array(list(map(len, sequences)))
+    one, two = (lm_scoring.expected(model, flat, sizes, 2000, kind) for kind in (np.float32, np.float64))
+    assert np.abs(one - two)[:-1].max() < 1e-4 * two[:-1].max() and abs(one[-1, 0] - two[-1, 0]) < 1e-6 * len(flat)
+    assert one[:400].sum() == pytest.approx(len(flat), rel=1e-6) and lm_scoring.workspace(5, 6, np.float64)[0].dtype == float
+
+
+def test_training_begins_with_a_share(spark, monkeypatch):
+    """The rounds over all sequences end by the same rule, whatever share came first, and score as well."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", (lm_scoring.remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
+    found = []
+    for share in (1 << 62, 4):
+        monkeypatch.setattr(lm_scoring, "SHARE", share)
+        out = lm_scoring.score(rows, states=4, classes=500, buckets=50)[0].collect()
+        found.append(sum(r["score"] for r in out) / sum(r["n_tokens"] for r in out))
+    assert abs(found[0] - found[1]) < 0.05
+
+
 def test_baum_welch_raises_likelihood():
     rng = np.random.default_rng(6)
     flat, sizes = rng.choice(8, 3000, p=np.arange(1, 9) / 36), np.array([700, 300, 1, 1999])

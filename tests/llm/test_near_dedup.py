@@ -25,7 +25,7 @@ def got(df):
 SMALL = {"BLOCK": 7, "SHARE": 1, "SMALL": 5}
 
 
-@pytest.mark.parametrize("settings", [{}, SMALL, SMALL | {"BROADCAST_ROWS": 0}, SMALL | {"LEVELS": (1, 2)}, SMALL | {"LEVELS": (2,)}])
+@pytest.mark.parametrize("settings", [{}, SMALL, SMALL | {"BROADCAST_ROWS": 0}, SMALL | {"LEVELS": (1, 2)}])
 def test_components(spark, texts, monkeypatch, settings):
     """Nodes that branch again, by pivots and blocks, by broadcast and by salts."""
     for name, value in settings.items():
