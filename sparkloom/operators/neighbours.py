@@ -75,16 +75,21 @@ def search(rows: DataFrame, queries: DataFrame, id: str, vector: str, k: int, ce
     """(query, place, id, score): the k most similar rows of each query, from place 1; exact with one cell. Both have the columns id and
     vector, of equal lengths. Null vectors are neither found nor looked for. A query finds itself where it is one of the rows."""
     centres = fit(rows, vector, cells) if cells > 1 else np.zeros((1, 1))
-    if cells > 1 and len(centres):
-        inside, asked = celled(rows, id, vector, centres, 1), celled(queries, id, vector, centres, probes)
-    else:
+    whole = cells <= 1 or not len(centres)
+    blocks = lambda c, most: F.ceil(c / most).cast("int")
+    if whole:
         inside, asked = (x.filter(F.col(vector).isNotNull()).select(F.lit(0).cast("long").alias("cell"), F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector")) for x in (rows, queries))
-    sizes = inside.groupBy("cell").agg(F.count("*").alias("n")).join(asked.groupBy("cell").agg(F.count("*").alias("m")), "cell")
-    blocks = lambda c, most: F.ceil(F.col(c) / most).cast("int")
-    sizes = sizes.select(F.col("cell").alias("c"), blocks("n", ROW_BLOCK).alias("a"), blocks("m", QUERY_BLOCK).alias("b"))
+        n, m = inside.count(), asked.count()
+    else:
+        inside, asked = celled(rows, id, vector, centres, 1), celled(queries, id, vector, centres, probes)
+        sizes = inside.groupBy("cell").agg(F.count("*").alias("n")).join(asked.groupBy("cell").agg(F.count("*").alias("m")), "cell")
+        sizes = F.broadcast(sizes.select(F.col("cell").alias("c"), blocks(F.col("n"), ROW_BLOCK).alias("a"), blocks(F.col("m"), QUERY_BLOCK).alias("b")))  # a row for each cell
 
     def dealt(side: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
-        met = side.join(F.broadcast(sizes), F.col("cell") == F.col("c"))  # a row for each cell
+        if whole:
+            met = side.withColumns({"a": blocks(F.lit(max(n, 1)), ROW_BLOCK), "b": blocks(F.lit(max(m, 1)), QUERY_BLOCK)})
+        else:
+            met = side.join(sizes, F.col("cell") == F.col("c"))
         met = met.withColumn(names[0], F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
         return met.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("cell", "x", "y", "id", "vector")
 
