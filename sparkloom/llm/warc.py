@@ -192,7 +192,7 @@ def read_arc(data: bytes, strict: bool = True) -> Iterator[ArcRecord]:
         except zlib.error as e:
             if strict:
                 raise ValueError(str(e)) from e
-            yield ArcRecord("", "", "", "", b"", None, f"the rest can't be unzipped: {e}")
+            yield ArcRecord("", "", "", "", b"", None, f"the rest can't be unzipped: {e}", version)
             return
         if parts is None:
             return
@@ -209,7 +209,8 @@ def read_arc(data: bytes, strict: bool = True) -> Iterator[ArcRecord]:
                     raise ValueError(f"no header line in {bytes(source.held[source.at : source.at + 60])!r}")
                 end = source.next_header(0)
                 lost, source.at = bytes(source.held[source.at : end]), end
-                yield ArcRecord("", "", "", "", lost, None, "no header line")
+                yield ArcRecord("", "", "", "", lost, None, "no header line", version)
+                version = None
                 continue
             url, ip, date, rest = (line.group(i).decode("utf-8", "replace") for i in (1, 2, 3, 4))
             length, problem = int(line.group(5)), None
@@ -239,7 +240,7 @@ def read_arc(data: bytes, strict: bool = True) -> Iterator[ArcRecord]:
         if source.problem:
             if strict:
                 raise ValueError(source.problem)
-            yield ArcRecord("", "", "", "", b"", None, source.problem)
+            yield ArcRecord("", "", "", "", b"", None, source.problem, version)
             return
 
 
