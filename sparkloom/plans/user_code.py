@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 import pandas as pd
 import pyarrow as pa
@@ -151,7 +150,6 @@ def python_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("source_jdbc", "SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey > 1")
 def jdbc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written to and read from the database that comes with Spark, which lives in one JVM: for local runs only."""
-    url, driver = f"jdbc:derby:memory:loom{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    jdbc.write(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), url, "nation", **driver)
-    return jdbc.read(spark, url, "nation", "n_nationkey", (0, 25), 3, **driver).filter("n_regionkey > 1").toDF("n_nationkey", "n_regionkey")
+    """From the database that comes with Spark, sealed so that every executor reads its parts of the table."""
+    url = jdbc.sealed(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), "nation")
+    return jdbc.read(spark, url, "nation", "n_nationkey", (0, 25), 3, **jdbc.EMBEDDED).filter("n_regionkey > 1").toDF("n_nationkey", "n_regionkey")
