@@ -21,6 +21,8 @@ FIT_ROWS = 20_000
 FIT_ROUNDS = 12
 ROW_BLOCK = 20_000  # rows of a cell that one task compares with so many queries
 QUERY_BLOCK = 2_000
+HELD = 1_000_000  # similarities that a task holds at once
+CELLED = 1_000  # rows that get their cells at once
 DIGITS = 9  # to which similarities are compared: equal vectors tie whatever the order of sums
 
 
@@ -52,8 +54,9 @@ def celled(rows: DataFrame, id: str, vector: str, centres: np.ndarray, probes: i
     given = rows.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for start in range(0, whole.num_rows, CELLED):
+                batch = whole.slice(start, CELLED)
                 near = np.argsort(-(matrix(batch.column(1)) @ given.value.T), axis=1, kind="stable")[:, :probes]
                 at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["cell", "id", "vector"])
@@ -62,13 +65,24 @@ def celled(rows: DataFrame, id: str, vector: str, centres: np.ndarray, probes: i
 
 
 def best_of(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """(query, id, score): the best k of rows for each of queries; of equal ones those of the least ids."""
+    """(query, id, score): the best k of rows for each of queries; of equal ones those of the least ids. So many similarities are held
+    at once, whatever the block."""
     ids = rows.column("id").combine_chunks()
     order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
-    scores = np.round(matrix(queries.column("vector").combine_chunks()) @ matrix(rows.column("vector").combine_chunks())[order].T, DIGITS)
-    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    at = np.repeat(np.arange(len(scores)), best.shape[1])
-    return pa.table({"query": queries.column("id").combine_chunks().take(pa.array(at)), "id": ids.take(pa.array(order[best.ravel()])), "score": scores[at, best.ravel()]})
+    given, asked = matrix(rows.column("vector").combine_chunks())[order], matrix(queries.column("vector").combine_chunks())
+    k = min(k, len(given))
+    best, found = np.empty((len(asked), k), np.int64), np.empty((len(asked), k))
+    step = max(1, HELD // max(1, len(given)))
+    for start in range(0, len(asked) if k else 0, step):
+        scores = np.round(asked[start : start + step] @ given.T, DIGITS)
+        np.negative(scores, out=scores)
+        last = np.partition(scores, k - 1, axis=1)[:, k - 1]
+        for i, (own, most) in enumerate(zip(scores, last), start):
+            near = np.nonzero(~(own > most))[0]  # the k best and what ties with the last of them
+            best[i] = near[np.argsort(own[near], kind="stable")[:k]]
+            found[i] = -own[best[i]] + 0.0
+    at = np.repeat(np.arange(len(asked)), k)
+    return pa.table({"query": queries.column("id").combine_chunks().take(pa.array(at)), "id": ids.take(pa.array(order[best.ravel()])), "score": found.ravel()})
 
 
 def search(rows: DataFrame, queries: DataFrame, id: str, vector: str, k: int, cells: int = 1, probes: int = 1) -> DataFrame:

@@ -2,8 +2,13 @@
 
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+
+from sparkloom.operators import neighbours
 from sparkloom.sources import jdbc
 
 ROOT = str(Path(__file__).parent.parent)
@@ -30,3 +35,34 @@ def test_sealed_database_keeps_values(spark):
     url = jdbc.sealed(spark.createDataFrame(rows, "k int, v string").repartition(3), "pairs")
     back = jdbc.read(spark, url, "pairs", "k", (0, 5), 2, **jdbc.EMBEDDED)
     assert sorted((r["k"], r["v"]) for r in back.collect()) == sorted(rows)
+
+
+def vectors(n: int, seed: int) -> pa.Table:
+    rng = np.random.default_rng(seed)
+    return pa.table({"id": rng.permutation(n), "vector": pa.array(list(rng.integers(-1, 2, (n, 8)).astype(float)), pa.list_(pa.float64()))})
+
+
+def test_best_of_holds_few_similarities():
+    """A block's similarities, 40 million here, are not held at once; ties and vectors that have none come out as before."""
+    rows, queries = vectors(neighbours.ROW_BLOCK, 1), vectors(neighbours.QUERY_BLOCK, 2)
+    tracemalloc.start()
+    got = neighbours.best_of(queries, rows, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000
+    ids = rows.column("id").to_numpy()
+    given, asked = (neighbours.matrix(x.column("vector").combine_chunks()) for x in (rows, queries))
+    for q in (0, 999, 1999):
+        scores = np.round(given @ asked[q], neighbours.DIGITS)
+        best = np.lexsort((ids, -scores))[:10]
+        assert got.column("id").to_pylist()[q * 10 : q * 10 + 10] == ids[best].tolist()
+        assert np.allclose(got.column("score").to_numpy()[q * 10 : q * 10 + 10], scores[best])
+
+
+def test_best_of_without_numbers():
+    """Of not a number the similarity is the last one."""
+    table = lambda *v: pa.table({"id": list(range(len(v))), "vector": pa.array(v, pa.list_(pa.float64()))})
+    rows = table([float("nan"), 1.0], [1.0, 0.0], [0.0, 1.0])
+    assert neighbours.best_of(table([1.0, 1.0]), rows, 2).column("id").to_pylist() == [1, 2]
+    assert neighbours.best_of(table([1.0, 1.0]), rows, 5).column("id").to_pylist() == [1, 2, 0]
+    assert neighbours.best_of(table([1.0, 1.0]), rows.slice(0, 0), 5).num_rows == 0
