@@ -8,7 +8,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 
-from sparkloom.operators import neighbours
+from pyspark.sql import functions as F
+
+from sparkloom.operators import joins, neighbours
 from sparkloom.sources import jdbc
 
 ROOT = str(Path(__file__).parent.parent)
@@ -66,3 +68,15 @@ def test_best_of_without_numbers():
     assert neighbours.best_of(table([1.0, 1.0]), rows, 2).column("id").to_pylist() == [1, 2]
     assert neighbours.best_of(table([1.0, 1.0]), rows, 5).column("id").to_pylist() == [1, 2, 0]
     assert neighbours.best_of(table([1.0, 1.0]), rows.slice(0, 0), 5).num_rows == 0
+
+
+def test_range_join_deals_a_full_bucket(spark, monkeypatch):
+    """All points and spans are of one bucket; its pairs are many tasks' work, and each comes once."""
+    monkeypatch.setattr(joins, "BLOCK", 100, raising=False)
+    points = spark.range(1000).selectExpr("id AS p", "CAST(id % 7 AS DOUBLE) AS at")
+    spans = spark.range(300).selectExpr("id AS s", "CAST(id % 5 AS DOUBLE) AS low", "CAST(id % 5 + 2 AS DOUBLE) AS high")
+    pairs = joins.range_join(points, spans, "at", "low", "high", 1000)
+    by_task = pairs.groupBy(F.spark_partition_id()).count().collect()
+    want = sum(1 for p in range(1000) for s in range(300) if s % 5 <= p % 7 <= s % 5 + 2)
+    assert sum(r["count"] for r in by_task) == want == pairs.select("p", "s").distinct().count()
+    assert max(r["count"] for r in by_task) < 0.2 * want
