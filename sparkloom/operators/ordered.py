@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..names import unused
 from ..stored import save
 
+RANGE_ROWS = 250_000
+
 #: What `running` makes. Those of the second line look at a value, the others at places only.
 PLACES = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
 VALUES = ("count", "sum", "avg", "min", "max")
@@ -30,10 +32,17 @@ def directed(order: list[str]) -> list[Column]:
 
 def in_ranges(rows: DataFrame, keys: list[str], order: list[str], part: str, parts: int | None = None) -> DataFrame:
     """rows, saved, with the number of the range of (keys, order) that they are in. Rows equal in both stay together, so what
-    isn't to be kept together needs a further column to be ordered by. Without a number of parts, Spark chooses."""
+    isn't to be kept together needs a further column to be ordered by. Without a number of parts, there are as many as rows need at
+    RANGE_ROWS each, and no fewer than cores, so that a task's memory doesn't grow with the table; rows are counted for it."""
     by = [*[F.col(k).asc() for k in keys], *directed(order)]
-    dealt = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
-    return save(dealt.withColumn(part, F.spark_partition_id()), "ranges")
+    parts = parts or max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
+    return save(rows.repartitionByRange(parts, *by).withColumn(part, F.spark_partition_id()), "ranges")
+
+
+def by_part(ranged: DataFrame, part: str) -> DataFrame:
+    """ranged with each range in one task, and as many tasks as ranges (of a file each): otherwise the number of tasks would not grow
+    with the table."""
+    return ranged.repartition(max(len(ranged.inputFiles()), 1), part)
 
 
 def key_of(keys: list[str]) -> Column:
@@ -92,7 +101,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], made: dict[str,
                 partial[f"{name}_{into}"] = f(value)
                 over[f"{name}_{into}"] = (f"{name}_{into}", F.sum if name in ("c", "s") else f)
     side = carried(ranged, keys, part, partial, over)
-    met = with_carried(ranged, keys, part, side, [kept, k, p])
+    met = with_carried(by_part(ranged, part), keys, part, side, [kept, k, p])
     own = Window.partitionBy(*keys, part)
     places, frame = own.orderBy(*directed(order)), Window.unboundedPreceding
     values = places.rangeBetween(frame, 0) if peers else places.rowsBetween(frame, 0)

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import joins, neighbours
+from sparkloom.operators import joins, neighbours, ordered
 from sparkloom.sources import jdbc
 
 ROOT = str(Path(__file__).parent.parent)
@@ -80,3 +80,14 @@ def test_range_join_deals_a_full_bucket(spark, monkeypatch):
     want = sum(1 for p in range(1000) for s in range(300) if s % 5 <= p % 7 <= s % 5 + 2)
     assert sum(r["count"] for r in by_task) == want == pairs.select("p", "s").distinct().count()
     assert max(r["count"] for r in by_task) < 0.2 * want
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    """A task's share of an order is a number of rows, not a part of the table."""
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100, raising=False)
+    rows = spark.range(5000).selectExpr("id", "id % 3 AS key")
+    ranged = ordered.in_ranges(rows, ["key"], ["id"], "part")
+    sizes = [r["count"] for r in ranged.groupBy("part").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 300
+    found = ordered.running(rows, ["key"], ["id"], {"n": ("row_number",)})
+    assert found.filter("n <> (id - key) / 3 + 1").count() == 0
