@@ -55,8 +55,9 @@ class Totals(StatefulProcessor):
 class Sessions(StatefulProcessor):
     """Sessions of a key that a pause of `gap` ends, from rows in any order within the watermark.
 
-    A list holds the open ones (start, end, rows), merged with what comes; a timer at each one's end plus the gap closes it: when the
-    watermark has passed that, no row can reach it any more. A map counts the rows of each kind over the key's whole life."""
+    A list holds the open ones (start, end, rows), merged with what comes. When the watermark has passed one's end plus the gap, no row
+    can reach it any more: a key has a single timer, for the first of its sessions, and when that rings all that are over
+    come out at once. A map counts the rows of each kind over the key's whole life."""
 
     def __init__(self, gap: int) -> None:
         self.gap = gap  # milliseconds
@@ -78,30 +79,30 @@ class Sessions(StatefulProcessor):
             else:
                 merged.append((start, end, n))
         for kind, n in kinds.items():
-            self.kinds.updateValue((kind,), ((self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0) + n,))
-        self.keep(merged)
-        yield pd.DataFrame(NO_SESSIONS)
-
-    def keep(self, spans: list[tuple[int, int, int]]) -> None:
-        """The open sessions, with a timer each."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+            self.kinds.updateValue((kind,), ((self.kinds.getValue((kind,)) or (0,))[0] + n,))
+        self.keep(merged, list(self.handle.listTimers()))
+        return iter(())
+
+    def keep(self, spans: list[tuple[int, int, int]], timers: list[int]) -> None:
+        """The open sessions, with a timer for the first to end; timers: those there are."""
+        first = min(end for _, end, _ in spans) + self.gap + 1 if spans else None
+        for t in timers:
+            if t != first:
+                self.handle.deleteTimer(t)
         if spans:
             self.open.put(spans)
+            if first not in timers:
+                self.handle.registerTimer(first)
         else:
             self.open.clear()
-        for _, end, _ in spans:
-            self.handle.registerTimer(end + self.gap + 1)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()
         spans = [tuple(map(int, x)) for x in self.open.get()]
         done = [s for s in spans if s[1] + self.gap < now]
-        rest = [s for s in spans if s[1] + self.gap >= now]
-        if rest:
-            self.open.put(rest)
-        else:
-            self.open.clear()
+        if not done:
+            return
+        self.keep([s for s in spans if s[1] + self.gap >= now], [])  # the timer that rang goes by itself
         yield pd.DataFrame({"key": [key[0]] * len(done), "start": [s[0] for s in done], "end": [s[1] for s in done], "n": [s[2] for s in done]}).astype(NO_SESSIONS.dtypes.to_dict())
 
     def close(self) -> None:

@@ -4,14 +4,17 @@ import subprocess
 import sys
 import tracemalloc
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from pyspark.sql import functions as F
 
 from sparkloom.operators import joins, neighbours, ordered
 from sparkloom.sources import jdbc
+from sparkloom.streaming import state
 
 ROOT = str(Path(__file__).parent.parent)
 
@@ -91,3 +94,37 @@ def test_ranges_grow_with_the_rows(spark, monkeypatch):
     assert len(sizes) > 40 and max(sizes) < 300
     found = ordered.running(rows, ["key"], ["id"], {"n": ("row_number",)})
     assert found.filter("n <> (id - key) / 3 + 1").count() == 0
+
+
+def test_sessions_have_one_timer_a_key():
+    """Fifty open sessions, one timer; when it rings, all that the watermark has passed come out."""
+
+    class Fake:
+        def __init__(self):
+            self.timers, self.calls, self.rows = set(), 0, []
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+            self.calls += 1
+
+        def deleteTimer(self, t):
+            self.timers.discard(t)
+
+        def listTimers(self):
+            return iter(sorted(self.timers))
+
+        def getListState(self, *_):
+            return SimpleNamespace(get=lambda: iter(self.rows), put=lambda x: self.__dict__.update(rows=list(x)), clear=self.rows.clear)
+
+        def getMapState(self, *_):
+            held = {}
+            return SimpleNamespace(getValue=held.get, containsKey=held.__contains__, updateValue=held.__setitem__)
+
+    fake, work = Fake(), state.Sessions(10)
+    work.init(fake)
+    list(work.handleInputRows((1,), iter([pd.DataFrame({"at": [100 * i for i in range(50)], "kind": ["a"] * 50})]), None))
+    assert fake.calls == 1 and fake.timers == {11}
+    fake.timers.clear()
+    at = lambda t: (SimpleNamespace(getCurrentWatermarkInMs=lambda: t), SimpleNamespace(getExpiryTimeInMs=lambda: 11))
+    out = pd.concat(work.handleExpiredTimer((1,), *at(2_011)))
+    assert out["start"].tolist() == [100 * i for i in range(21)] and fake.timers == {2_111} and len(fake.rows) == 29
