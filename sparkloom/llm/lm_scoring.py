@@ -50,13 +50,14 @@ PRIOR = 100  # words, dealt as in the corpus, that each state is taken to have e
 GAIN = 0.002  # of log10 likelihood a token; a round that gains less is the last
 HOT = 80_000
 NAME_BYTES = 64
-PART = 300_000  # distinct words that a task counts before it passes them on
+PART = 150_000  # distinct words that a task counts before it passes them on
 SHARE = 8  # one of so many sequences is learned from first, until that gains little; all of them follow, until that does
 TASKS = 3  # of a round, for each core
 GROUP = 200_000  # tokens whose sums are held side by side
 SIDE = 64  # sequences side by side at least, however long
-BUFFER = 4_000_000  # tokens that are sorted by length before they are grouped
-BATCH = 3_000_000  # tokens scored side by side
+BUFFER = 2_000_000  # tokens that are sorted by length before they are grouped
+BATCH = 1_000_000  # tokens scored side by side
+ROWS = 1_000  # texts or sequences that a task unpacks at once
 LOG10 = np.log(10)
 
 
@@ -79,6 +80,13 @@ def as_bytes(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ROWS at most: unpacked, they take several times their bytes."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(w, c) of all words of the one column."""
 
@@ -88,7 +96,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["w", "c"])
 
-        for batch in rows:
+        for batch in sliced(rows):
             for text in as_bytes(batch, 0):
                 counts.update(map(name_of, tokens(text)))
                 if len(counts) > PART:
@@ -275,12 +283,12 @@ def encode(docs: DataFrame, hot: list[tuple[bytes, int]], ends: int, classes: in
         # Of each hot word: its class.
         of = np.array([i if i < used else used + bucket(w, buckets) for i, (w, _) in enumerate(hot)], np.int64)
         key = TaskContext.get().partitionId() << 36
-        for batch in rows:
+        for batch in sliced(rows):
             texts, out = as_bytes(batch, 2), []
             start = 0
             while start < len(texts):  # parts of some MB
                 stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop] or b"") < 8_000_000):
+                while stop < len(texts) and (stop == start or size + len(texts[stop] or b"") < 4_000_000):
                     size += len(texts[stop] or b"")
                     stop += 1
                 for text in texts[start:stop]:
@@ -342,6 +350,7 @@ def train(sequences: DataFrame, model: Model, rounds: int | None = None, gain: f
 
         schema = "i long, v binary"
         found = sequences.mapInArrow(run, schema).repartition("i").mapInArrow(add, schema).toArrow()
+        given.destroy()  # executors would hold the models of all rounds
         sums = np.zeros(shape)
         sums[found.column(0).to_numpy()] = np.frombuffer(b"".join(found.column(1).to_pylist())).reshape(-1, shape[1])
         model.update(sums)
@@ -362,7 +371,7 @@ def buffers(rows: Iterator[pa.RecordBatch], most: int = BUFFER) -> Iterator[list
     """The values of the first column in lists of about so many tokens."""
     held: list[bytes] = []
     size = 0
-    for batch in rows:
+    for batch in sliced(rows):
         for v in batch.column(0).to_pylist():
             held.append(v)
             size += len(v) // 2

@@ -9,6 +9,7 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -128,3 +129,11 @@ def test_sessions_have_one_timer_a_key():
     at = lambda t: (SimpleNamespace(getCurrentWatermarkInMs=lambda: t), SimpleNamespace(getExpiryTimeInMs=lambda: 11))
     out = pd.concat(work.handleExpiredTimer((1,), *at(2_011)))
     assert out["start"].tolist() == [100 * i for i in range(21)] and fake.timers == {2_111} and len(fake.rows) == 29
+
+
+def test_texts_are_unpacked_few_at_once():
+    lm = pytest.importorskip("sparkloom.llm.lm_scoring")
+    given = [pa.RecordBatch.from_arrays([pa.array(range(n))], ["v"]) for n in (2 * lm.ROWS + 1, 0, 3)]
+    got = list(lm.sliced(iter(given)))
+    assert max(b.num_rows for b in got) <= lm.ROWS
+    assert [v for b in got for v in b.column(0).to_pylist()] == [v for b in given for v in b.column(0).to_pylist()]
