@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 from ..names import unused  # noqa: F401  (for the operators)
 from ..session import scratch
@@ -49,18 +50,38 @@ def salts_of(mask: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda z: F.col(mask).bitwiseAND(F.call_function("shiftleft", F.lit(1), z)) != 0)
 
 
-def attach(rows: DataFrame, side: DataFrame, on: list[str], member: str, how: str = "inner", size: str | None = None) -> DataFrame:
+def by_shuffle(side: DataFrame) -> DataFrame:
+    """A side that grows with the input, to join with by a shuffle: Spark would gather it in the driver for a broadcast as long as its
+    compressed files or shuffle blocks are below a threshold, though the driver then holds far more than these."""
+    return side.hint("merge")
+
+
+def held(side: DataFrame) -> Column:
+    """About the bytes of a row in a broadcast table, its place in the map included."""
+    sizes = []
+    for field in side.schema:
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, ArrayType):
+            sizes.append(F.coalesce(F.size(c), F.lit(0)) * 8 + 24)
+        elif isinstance(kind, BinaryType | StringType):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)) + 8)
+        else:
+            sizes.append(F.lit(8 * (2 + len(kind) if isinstance(kind, StructType) else 1)))
+    return sum(sizes, F.lit(64)).cast("long")
+
+
+def attach(rows: DataFrame, side: DataFrame, on: list[str], member: str, how: str = "inner") -> DataFrame:
     """rows joined with side, a saved table with a row at most for each value of the columns `on`, of which rows may have very many.
 
-    Broadcast up to BROADCAST_ROWS (and, given a binary column `size`, BROADCAST_BYTES), else dealt by a salt of the member."""
+    Broadcast up to BROADCAST_ROWS and BROADCAST_BYTES, else dealt by a salt of the member."""
     own = {c: f"__{c}" for c in on}
     other = side.withColumnsRenamed(own)
     match = [F.col(c) == F.col(name) for c, name in own.items()]
-    found = side.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(size)) if size else F.lit(0), F.lit(0)).alias("bytes")).first()
+    found = side.agg(F.count("*").alias("n"), F.coalesce(F.sum(held(side)), F.lit(0)).alias("bytes")).first()
     if found["n"] <= BROADCAST_ROWS and found["bytes"] <= BROADCAST_BYTES:
         return rows.join(F.broadcast(other), match, how).drop(*own.values())
     other = other.withColumn("__z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(other, [*match, salted(member) == F.col("__z")], how).drop("__z", *own.values())
+    return rows.join(by_shuffle(other), [*match, salted(member) == F.col("__z")], how).drop("__z", *own.values())
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import SALTS, attach, drop, salt_mask, salted, salts_of, save
+from .common import SALTS, attach, by_shuffle, drop, salt_mask, salted, salts_of, save
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -309,7 +309,7 @@ def hot_prefixes(rows: DataFrame, most: int) -> DataFrame | None:
     sizes = attach(rows, hot, ["prefix"], "node").groupBy("prefix").agg(F.sum(far).alias("n"), F.count("*").alias("all"))
     blocks = lambda n: F.ceil(n / BLOCK)
     sizes = sizes.select(F.col("prefix").alias("__p"), blocks(F.col("n")).alias("far_blocks"), blocks(F.col("all") - F.col("n")).alias("near_blocks"))
-    return save(hot.join(sizes, F.col("prefix") == F.col("__p")).drop("__p"), "join-prefixes")
+    return save(hot.join(by_shuffle(sizes), F.col("prefix") == F.col("__p")).drop("__p"), "join-prefixes")
 
 
 def differing(a: str, b: str) -> Column:
@@ -370,17 +370,17 @@ def components(edges: DataFrame, name: str = "component-edges") -> DataFrame:
         least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_set("s").alias("salts"))
         least = least.select(F.col("a").alias("u"), F.least("a", "m").alias("m"), F.explode("salts").alias("z"))
         # Large star: neighbours above a node point to the smallest of all its neighbours and itself.
-        large = both.filter("b > a").join(least, (F.col("a") == F.col("u")) & (F.col("s") == F.col("z"))).select(F.col("m").alias("a"), "b").distinct()
+        large = both.filter("b > a").join(by_shuffle(least), (F.col("a") == F.col("u")) & (F.col("s") == F.col("z"))).select(F.col("m").alias("a"), "b").distinct()
         # Small star: neighbours below a node, and itself, point to the smallest.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low.withColumnRenamed("b", "u"), F.col("b") == F.col("u"))
+        small = large.join(by_shuffle(low.withColumnRenamed("b", "u")), F.col("b") == F.col("u"))
         small = small.select(F.explode(F.array("a", "b")).alias("b"), F.col("m").alias("a")).filter("a < b").select("a", "b").distinct()
         new = save(small, name)
         # Done when each node has one edge, to a node that has none itself.
         shape = new.agg(F.count("*").alias("n"), F.count_distinct("b").alias("d")).first()
         drop(now)
         now = new
-        if shape["n"] == shape["d"] and not new.join(new.select(F.col("b").alias("x")), F.col("a") == F.col("x"), "left_semi").head(1):
+        if shape["n"] == shape["d"] and not new.join(by_shuffle(new.select(F.col("b").alias("x"))), F.col("a") == F.col("x"), "left_semi").head(1):
             break
     found = save(now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()), name)
     drop(now)
@@ -492,7 +492,7 @@ def verify(members: DataFrame, threshold: float, gram: int = GRAM) -> tuple[Data
     any_large = bool(large.head(1))
     if any_large:
         found = save(pivots(large, gram), "join-pivots")
-        sided = attach(sided, found, ["root"], "node", "left", "pivot")
+        sided = attach(sided, found, ["root"], "node", "left")
     else:
         sided = sided.withColumn("pivot", F.lit(None).cast("binary"))
     made = save(differences(sided, limit, gram), "join-differences")
@@ -562,7 +562,7 @@ def join_texts(
     signed_rows = save(sign(docs), "join-signatures")
     texts = signed_rows.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("copies"), salt_mask("row").alias("salts"))
     texts = save(texts, "join-texts")
-    own = signed_rows.join(texts.select("node"), F.col("row") == F.col("node"), "left_semi")
+    own = signed_rows.join(by_shuffle(texts.select("node")), F.col("row") == F.col("node"), "left_semi")
     own = save(own.drop("key", "h1", "h2", *also).withColumnRenamed("row", "node"), "join-forest")
     slim = save(signed_rows.select("row", "key", "h1", "h2", *also), "join-rows")  # the signatures go before texts are dealt
     drop(signed_rows)
@@ -572,22 +572,22 @@ def join_texts(
     # One document's text for each text of a component.
     sizes = save(found.groupBy("root").agg(F.count("*").alias("texts")).filter(F.col("texts") > VERIFY_BLOCK), "join-large")
     chosen = attach(found, sizes, ["root"], "node", "left")
-    chosen = chosen.join(texts.select(F.col("node").alias("__n"), "copies"), F.col("node") == F.col("__n"))
-    chosen = save(chosen.join(signed_rows.select("row", "key"), F.col("node") == F.col("row")).select("key", "root", "node", "copies", "texts"), "join-chosen")
+    chosen = by_shuffle(chosen).join(by_shuffle(texts.select(F.col("node").alias("__n"), "copies")), F.col("node") == F.col("__n"))
+    chosen = save(by_shuffle(chosen).join(by_shuffle(signed_rows.select("row", "key")), F.col("node") == F.col("row")).select("key", "root", "node", "copies", "texts"), "join-chosen")
     members = save(attach(docs.select(F.col(key).alias("key"), "text"), chosen, ["key"], "key"), "join-members")
     merges, counts, kept = verify(members, threshold, gram)
     classes = components(merges, "join-merges")
     links = counts.groupBy(F.col("node").alias("linked")).agg(F.sum("links").alias("links"))
-    of_text = texts.join(classes.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").join(links, F.col("node") == F.col("linked"), "left")
+    of_text = texts.join(by_shuffle(classes.withColumnRenamed("node", "__n")), F.col("node") == F.col("__n"), "left").join(by_shuffle(links), F.col("node") == F.col("linked"), "left")
     several = of_text.filter("root IS NOT NULL OR copies > 1").select(
         F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.coalesce("root", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.explode(salts_of("salts")).alias("z")
     )
-    rows = signed_rows.select("row", "key", "h1", "h2", *also).join(several, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")) & (salted("row") == F.col("z")), "left")
+    rows = signed_rows.select("row", "key", "h1", "h2", *also).join(by_shuffle(several), (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")) & (salted("row") == F.col("z")), "left")
     rows = save(rows.select("row", "key", *also, F.col("h1").isNull().alias("blank"), "class", F.coalesce("links", F.lit(0)).alias("links")), "join-rows")
     drop(signed_rows, texts, found, sizes, chosen, members, classes, *kept)
     names = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("first"), F.min("key.doc_id").alias("class_id"), salt_mask("row").alias("salts"))
     names = names.select(F.col("class").alias("c"), "first", "class_id", F.explode(salts_of("salts")).alias("z"))
-    named = rows.join(names, (F.col("class") == F.col("c")) & (salted("row") == F.col("z")), "left")
+    named = rows.join(by_shuffle(names), (F.col("class") == F.col("c")) & (salted("row") == F.col("z")), "left")
     alone = F.col("class").isNull()
     return named.select(
         "key",
@@ -630,4 +630,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def listed(keys: DataFrame) -> DataFrame:
     """Keys to join with, broadcast if few."""
     side = keys.select(F.col("key").alias("__key"))
-    return F.broadcast(side) if keys.count() <= common.BROADCAST_ROWS else side
+    return F.broadcast(side) if keys.count() <= common.BROADCAST_ROWS else by_shuffle(side)

@@ -39,6 +39,28 @@ def test_components(spark, texts, monkeypatch, settings):
     assert got(near_dedup.deduplicate(rows)) == brute(given)
 
 
+@pytest.mark.parametrize("limit", ["BROADCAST_ROWS", "BROADCAST_BYTES"])
+def test_driver_gathers_nothing_beyond_the_limit(spark, texts, monkeypatch, limit):
+    """Sides that grow with the input are dealt by shuffles, however small Spark takes them to be."""
+    for name, value in SMALL.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(common, limit, -1)  # not even an empty side
+    given = near_copies(texts)
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    known = max((e.executionId() for e in executions(store)), default=-1)
+    assert got(near_dedup.deduplicate(spark.createDataFrame(list(given.items()), "doc_id long, text string"))) == brute(given)
+    bus.waitUntilEmpty(30_000)
+    plans = [e.physicalPlanDescription() for e in executions(store) if e.executionId() > known]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [line for p in plans for line in p.splitlines() if "Broadcast" in line]
+
+
+def executions(store):
+    found = store.executionsList()
+    return [found.apply(i) for i in range(found.size())]
+
+
 def test_other_grams_and_threshold(spark):
     given = dict(enumerate(star(50, [f"w{i}" for i in range(30)], np.random.default_rng(9)))) | {100 + k: f"a{k % 4} b c{k % 3} d e" for k in range(12)}
     rows = spark.createDataFrame(list(given.items()), "doc_id long, text string")
