@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType
@@ -35,10 +37,14 @@ def sessions(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
 AGGREGATES = ("sum", "avg", "count", "min", "max")
 
 
-def excluding(rows: DataFrame, keys: list[str], order: str, before: int, after: int, made: dict[str, tuple[str, str]], what: str = "current row") -> DataFrame:
+def excluding(rows: DataFrame, keys: list[str], order: str, before: int, after: int, made: dict[str, tuple[str, str]], what: str = "current row",
+              ties: Sequence[str] = ()) -> DataFrame:
     """Aggregates (name -> (sum, avg, count, min or max; column)) over a ROWS frame with an EXCLUDE clause: current row, group (the row
     and its peers) or ties (its peers only).
 
+    `ties` are columns by which peers are put in order within the frame, all ascending; they stay peers. Without them, or where they are
+    equal, too, the order of peers, and with it what a frame holds, depends on how Spark deals the rows.
+
     Without the current row, a frame is the two on its sides. Without a group or ties, counts and sums are the frame's less those of
     the peers within it, which are a frame of the same bounds over the peers alone; of doubles, so that finite values only are taken
     from each other, with the precision of the frame's largest. Only min and max over these hold the frame, once for all of
@@ -48,7 +54,7 @@ def excluding(rows: DataFrame, keys: list[str], order: str, before: int, after:
         raise ValueError(f"EXCLUDE {what} with {made}")
     number, rank, frame = unused(["number", "rank", "frame"], [*rows.columns, *made])
     by = Window.partitionBy(*keys).orderBy(order)
-    numbered = rows.withColumn(number, F.row_number().over(by))
+    numbered = rows.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties)))
     place = Window.partitionBy(*keys).orderBy(number)
     if what == "current row":
         columns = {into: beside(how, c, place, before, after) for into, (how, c) in made.items()}

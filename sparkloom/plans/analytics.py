@@ -102,7 +102,7 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def other_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the parts of a brand, less those of the row's own type."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("long").alias("size"))
-    return windows.excluding(rows, ["p_brand"], "p_type", 200, 200, {"s": ("sum", "size"), "m": ("max", "size")}, "group").select("p_partkey", "s", "m")
+    return windows.excluding(rows, ["p_brand"], "p_type", 200, 200, {"s": ("sum", "size"), "m": ("max", "size")}, "group", ["p_partkey"]).select("p_partkey", "s", "m")
 
 
 @query("exclude_ties", "SELECT p_partkey, count(p_size) OVER w AS n, avg(p_size) OVER w AS a FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_type ROWS BETWEEN 200 PRECEDING AND 200 FOLLOWING EXCLUDE TIES)")

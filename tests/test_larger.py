@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import joins, neighbours, ordered
+from sparkloom.plans.catalogue import QUERIES
 from sparkloom.sources import jdbc
 from sparkloom.streaming import state
 
@@ -137,3 +138,31 @@ def test_texts_are_unpacked_few_at_once():
     got = list(lm.sliced(iter(given)))
     assert max(b.num_rows for b in got) <= lm.ROWS
     assert [v for b in got for v in b.column(0).to_pylist()] == [v for b in given for v in b.column(0).to_pylist()]
+
+
+def excluded(sizes, keep):
+    """(sum, max, count, average) over 200 rows before and after each place, of those that keep says."""
+    out = []
+    for i in range(len(sizes)):
+        inside = [sizes[j] for j in range(max(0, i - 200), min(len(sizes), i + 201)) if keep(i, j)]
+        out.append((sum(inside), max(inside), len(inside), sum(inside) / len(inside)) if inside else (None, None, 0, None))
+    return out
+
+
+@pytest.mark.parametrize("name", ["exclude_group"])
+def test_exclude_gives_one_result_for_ties(spark, tmp_path, name):
+    """Equal rows come in an order of their own, not in that of the files: some 150 of a type, in frames of 401 rows."""
+    n = 900
+    parts = pd.DataFrame({"p_partkey": range(n), "p_brand": "b", "p_type": [f"t{k % 6}" for k in range(n)], "p_size": [k * k % 47 for k in range(n)]})
+    parts = parts.astype({"p_size": "int32"})
+    found = []
+    for i, order in enumerate((parts, parts[::-1], parts.sample(frac=1, random_state=5))):
+        (tmp_path / str(i)).mkdir()
+        order.to_parquet(tmp_path / str(i) / "part.parquet", index=False)
+        found.append(sorted(map(tuple, QUERIES[name](spark, str(tmp_path / str(i))).collect())))
+    ordered_rows = parts.sort_values(["p_type", "p_partkey"])
+    types, keys, sizes = (ordered_rows[c].tolist() for c in ("p_type", "p_partkey", "p_size"))
+    ties = name == "exclude_ties"
+    values = excluded(sizes, lambda i, j: types[i] != types[j] or ties and i == j)
+    want = sorted((k, *(v[2:] if ties else v[:2])) for k, v in zip(keys, values, strict=True))
+    assert found[0] == found[1] == found[2] == want
