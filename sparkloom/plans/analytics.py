@@ -108,7 +108,7 @@ def other_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("exclude_ties", "SELECT p_partkey, count(p_size) OVER w AS n, avg(p_size) OVER w AS a FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_type ROWS BETWEEN 200 PRECEDING AND 200 FOLLOWING EXCLUDE TIES)")
 def without_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("long").alias("size"))
-    return windows.excluding(rows, ["p_brand"], "p_type", 200, 200, {"n": ("count", "size"), "a": ("avg", "size")}, "ties").select("p_partkey", "n", "a")
+    return windows.excluding(rows, ["p_brand"], "p_type", 200, 200, {"n": ("count", "size"), "a": ("avg", "size")}, "ties", ["p_partkey"]).select("p_partkey", "n", "a")
 
 
 @query("percentiles", "SELECT p_brand, percentile_disc(0.9) WITHIN GROUP (ORDER BY p_retailprice) AS d, percentile_cont(0.25) WITHIN GROUP (ORDER BY p_retailprice) AS c, median(p_size) AS m FROM part GROUP BY p_brand")

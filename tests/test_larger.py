@@ -149,7 +149,7 @@ def excluded(sizes, keep):
     return out
 
 
-@pytest.mark.parametrize("name", ["exclude_group"])
+@pytest.mark.parametrize("name", ["exclude_group", "exclude_ties"])
 def test_exclude_gives_one_result_for_ties(spark, tmp_path, name):
     """Equal rows come in an order of their own, not in that of the files: some 150 of a type, in frames of 401 rows."""
     n = 900
