@@ -87,6 +87,61 @@ def test_range_join_deals_a_full_bucket(spark, monkeypatch):
     assert max(r["count"] for r in by_task) < 0.2 * want
 
 
+def shuffled_rows(node) -> int:
+    """Rows that the exchanges of a plan that has run wrote."""
+    kind, found = node.getClass().getSimpleName(), 0
+    inner = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan", "ResultQueryStageExec": "plan"}.get(kind)
+    if kind == "ShuffleExchangeExec":
+        found = node.metrics().apply("shuffleRecordsWritten").value()
+    below = [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    return found + sum(map(shuffled_rows, below))
+
+
+def test_range_join_copies_few_rows(spark, monkeypatch):
+    """A million pairs of one bucket: rows are copied for blocks, but not for each of thousands of blocks."""
+    monkeypatch.setattr(joins, "BLOCK", 20)
+    monkeypatch.setattr(joins, "BLOCKS", 16, raising=False)
+    points = spark.range(2000).selectExpr("id AS p", "CAST(id % 7 AS DOUBLE) AS at")
+    spans = spark.range(500).selectExpr("id AS s", "CAST(id % 5 AS DOUBLE) AS low", "CAST(id % 5 + 2 AS DOUBLE) AS high")
+    pairs = joins.range_join(points, spans, "at", "low", "high", 1000)
+    assert len(pairs.collect()) == sum(1 for p in range(2000) for s in range(500) if s % 5 <= p % 7 <= s % 5 + 2)
+    assert 2500 <= shuffled_rows(pairs._jdf.queryExecution().executedPlan()) < 5 * 2500
+
+
+def test_range_join_deals_no_span_to_empty_buckets(spark):
+    """Points are in a few buckets of many spans."""
+    points = spark.range(-10, 10).selectExpr("id AS p", "CAST(id AS DOUBLE) AS at")
+    spans = spark.range(-2000, 2000).selectExpr("id AS s", "CAST(id AS DOUBLE) AS low", "CAST(id + 50 AS DOUBLE) AS high")
+    pairs = joins.range_join(points.hint("merge"), spans, "at", "low", "high", 50)
+    assert len(pairs.collect()) == 20 * 51
+    assert 0 < shuffled_rows(pairs._jdf.queryExecution().executedPlan()) < 500
+
+
+def test_range_join_makes_small_files(spark, monkeypatch, tmp_path):
+    """Four million pairs come in an order that files make something of."""
+    monkeypatch.setattr(joins, "BLOCK", 1000)
+    points = spark.range(2000).selectExpr("id AS p", "CAST(pmod(hash(id), 1000) AS DOUBLE) / 10 AS at")
+    spans = spark.range(2000).selectExpr("id AS s", "CAST(pmod(hash(id, 1), 1000) AS DOUBLE) / 10 - 450 AS low").withColumn("high", F.col("low") + 500)
+    joins.range_join(points, spans, "at", "low", "high", 500).select("p", "s").write.parquet(str(tmp_path / "pairs"))
+    n, size = spark.read.parquet(str(tmp_path / "pairs")).count(), sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert n > 3_000_000 and size < 0.5 * n
+
+
+@pytest.mark.parametrize("kind", ["DOUBLE", "BIGINT", "DECIMAL(12,2)"])
+def test_range_join_in_blocks_of_any_span(spark, monkeypatch, kind):
+    """Cut buckets of several levels: nulls in all columns, rows that come twice, reversed spans, chunks that are partly met."""
+    monkeypatch.setattr(joins, "BLOCK", 10)
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 20, raising=False)
+    monkeypatch.setattr(joins, "CHUNK", 16, raising=False)
+    points = spark.range(700).selectExpr("IF(id % 11 = 0, NULL, id % 600) AS chunk", f"CAST(IF(id % 13 = 0, NULL, id * 37 % 450 - 150) AS {kind}) AS c0")
+    spans = spark.range(300).selectExpr("IF(id % 7 = 0, NULL, id % 200) AS held", f"CAST(IF(id % 17 = 0, NULL, id * 29 % 400 - 200) AS {kind}) AS low", f"CAST(IF(id % 19 = 0, NULL, id * 29 % 400 - 203 + id % 40 * (id % 5)) AS {kind}) AS high")
+    got = joins.range_join(points, spans, "c0", "low", "high", 25)
+    assert got.dtypes == points.dtypes + spans.dtypes
+    missing = lambda rows: sorted(rows, key=lambda r: [(v is not None, v or 0) for v in r])
+    want = [(*p, *s) for p in points.collect() for s in spans.collect() if None not in (p[1], s[1], s[2]) and s[1] <= p[1] <= s[2]]
+    assert missing(map(tuple, got.collect())) == missing(want) and len(want) > 5000
+
+
 def test_ranges_grow_with_the_rows(spark, monkeypatch):
     """A task's share of an order is a number of rows, not a part of the table."""
     monkeypatch.setattr(ordered, "RANGE_ROWS", 100, raising=False)
